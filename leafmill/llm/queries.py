@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, near_dup, sharding, token_store
+from . import decontam, near_dup, sharding, token_store, top_k
 from .common import read
 
 
@@ -33,11 +34,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_sharding": op6_sharding,
     "op10_decontamination": op10_decontamination,
+    "op7_top_k": op7_top_k,
 }
 
 ORACLES: dict[str, str] = {}

@@ -49,3 +49,11 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like name that is not taken."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dup, sharding, token_store, top_k
+from . import decontam, near_dup, pii, sharding, token_store, top_k
 from .common import read
 
 
@@ -38,12 +38,21 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
 
 
+#: A stand-in: a real run takes its key from a secret store.
+PII_KEY = "key of the registered queries"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, "n_replaced")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_sharding": op6_sharding,
     "op10_decontamination": op10_decontamination,
     "op7_top_k": op7_top_k,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {}

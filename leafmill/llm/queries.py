@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dup, pii, sharding, token_store, top_k
+from . import decontam, language, near_dup, pii, sharding, token_store, top_k
 from .common import read
 
 
@@ -46,6 +46,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, "n_replaced")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(language.sample(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op4_near_duplicates": op4_near_duplicates,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op7_top_k": op7_top_k,
     "op9_pii": op9_pii,
+    "op2_language": op2_language,
 }
 
 ORACLES: dict[str, str] = {}

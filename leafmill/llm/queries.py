@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, near_dup, pii, sharding, token_store, top_k
+from . import decontam, language, near_dup, pieces, pii, sharding, token_store, top_k
 from .common import read
 
 
@@ -51,6 +51,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(language.sample(docs)))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op4_near_duplicates": op4_near_duplicates,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_top_k": op7_top_k,
     "op9_pii": op9_pii,
     "op2_language": op2_language,
+    "op5_sentencepiece": op5_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}

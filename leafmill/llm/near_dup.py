@@ -1,11 +1,11 @@
 """Near-duplicate documents by a multi-index Hamming join of MinHash signatures.
 
-Each document's set of 3-word shingles becomes a signature of ``CHUNKS * SYMBOLS`` symbols of 16 bits (b-bit MinHash).
-If two signatures differ in at most ``2 * CHUNKS - 1`` symbols, then by the pigeonhole principle they differ in at most
+Each document's set of word shingles becomes a signature of ``chunks * symbols`` symbols of 16 bits (b-bit MinHash).
+If two signatures differ in at most ``2 * chunks - 1`` symbols, then by the pigeonhole principle they differ in at most
 one symbol of some chunk; the allowed error is enumerated by masking each of the chunk's symbols in turn, so equal
-masked chunks find all pairs within that distance. At a similarity of 0.85 a symbol differs with probability 0.15: a
-pair shares no masked chunk, or is farther than ``NEAR`` symbols, with probability 8e-7; below that it can't be lost.
-Every link is confirmed on the full sets.
+masked chunks find all pairs within that distance. Pairs found are kept up to a distance of ``near`` and confirmed on
+the full sets. At a similarity of 0.85 a symbol differs with probability 0.15: with CONTRACT's numbers such a pair
+shares no masked chunk, or is too far, with probability 8e-7; with CORPUS', at 0.8, with 2e-6; more alike, with less.
 
 Documents with equal sets are one class from the start. In a bucket all classes are first compared with its smallest
 one; then, once the links found are joined to components, only classes of different components are compared. A large
@@ -15,6 +15,7 @@ group of near copies thus costs its size and not its square, and no link between
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,33 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, saved, utf8
 
-CHUNKS, SYMBOLS = 8, 5
-K = CHUNKS * SYMBOLS
-#: Pairs at this distance or less are confirmed on their sets.
-NEAR = 19
+
+@dataclass(frozen=True)
+class Rules:
+    """Words of a shingle, least similarity in percent, chunks of a signature, symbols of a chunk, greatest distance."""
+
+    shingle: int
+    percent: int
+    chunks: int
+    symbols: int
+    near: int
+
+    @property
+    def k(self) -> int:
+        return self.chunks * self.symbols
+
+
+CONTRACT = Rules(3, 85, 8, 5, 19)
+CORPUS = Rules(5, 80, 10, 5, 26)
 #: Up to so many classes to confirm, their ids (24 bytes each) are broadcast to the second scan; beyond, shuffled.
 BROADCAST_CLASSES = 200_000
 
 _RNG = np.random.default_rng(20240607)
-_MUL = _RNG.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, K, dtype=np.uint64)
-_P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_MUL = _RNG.integers(1, 2**62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 2**63, 256, dtype=np.uint64)
+#: A shingle's hash adds its words' hashes, each times its own odd number.
+_PLACE = _RNG.integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_P1, _P2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Hashes(dict):
@@ -50,7 +67,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_sets(texts: list[bytes | None], known: _Hashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], known: _Hashes, size: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles."""
     if len(known) > 300_000:
         known.clear()
@@ -58,21 +75,22 @@ def shingle_sets(texts: list[bytes | None], known: _Hashes) -> list[np.ndarray]:
     for text in texts:
         w = text.translate(LOWER).split() if text else []
         h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-        if len(h) >= 3:
-            out.append(np.unique(_mixed(h[:-2] * _P1 + h[1:-1] * _P2 + h[2:] * _P3)))
+        if len(h) >= size:
+            n = len(h) - size + 1
+            out.append(np.unique(_mixed(sum(h[i : i + n] * _PLACE[i] for i in range(size)))))
         else:
             out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=len(w))], np.uint64) if w else np.empty(0, np.uint64))
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(K, 2**64 - 1, np.uint64)
+def signature(shingles: np.ndarray, k_: int) -> np.ndarray:
+    least = np.full(k_, 2**64 - 1, np.uint64)
     for k in range(0, len(shingles), 4096):
-        np.minimum(least, (shingles[k : k + 4096, None] * _MUL + _ADD).min(axis=0), out=least)
+        np.minimum(least, (shingles[k : k + 4096, None] * _MUL[:k_] + _ADD[:k_]).min(axis=0), out=least)
     return (_mixed(least * _P1) >> np.uint64(48)).astype("<u2")
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, rules: Rules) -> DataFrame:
     """doc_id, n_shingles, set_digest and sig of every row; no digest and sig if the set is empty."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("sig", pa.binary())])
 
@@ -83,57 +101,59 @@ def _signed(docs: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 rows["doc_id"] += part.column(0).to_pylist()
-                for s in shingle_sets(utf8(part.column(1)), known):
+                for s in shingle_sets(utf8(part.column(1)), known, rules.shingle):
                     rows["n_shingles"].append(len(s))
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                     rows["set_digest"].append(d)
                     if d is not None and d not in last:
                         if len(last) > 5000:
                             last.clear()
-                        last[d] = signature(s).tobytes()
+                        last[d] = signature(s, rules.k).tobytes()
                     rows["sig"].append(last[d] if d is not None else None)
             yield pa.RecordBatch.from_pydict(rows, schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_digest binary, sig binary")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, rules: Rules) -> DataFrame:
     """(key, class_id): for every chunk and every masked symbol a hash of the rest."""
 
+    chunks, symbols = rules.chunks, rules.symbols
+
     def enumerate_errors(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, CHUNKS, SYMBOLS).astype(np.uint64) + np.uint64(1)
-            keys = np.empty((len(sig), CHUNKS, SYMBOLS), np.uint64)
-            for masked in range(SYMBOLS):
-                h = np.arange(CHUNKS, dtype=np.uint64)[None, :] * np.uint64(SYMBOLS) + np.uint64(masked + 1)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, chunks, symbols).astype(np.uint64) + np.uint64(1)
+            keys = np.empty((len(sig), chunks, symbols), np.uint64)
+            for masked in range(symbols):
+                h = np.arange(chunks, dtype=np.uint64)[None, :] * np.uint64(symbols) + np.uint64(masked + 1)
                 h = np.repeat(h, len(sig), axis=0)
-                for s in range(SYMBOLS):
+                for s in range(symbols):
                     if s != masked:
                         h = _mixed(h * _P1 + sig[:, :, s])
                 keys[:, :, masked] = _mixed(h)
-            ids = np.repeat(batch.column(0).to_numpy(), K)
+            ids = np.repeat(batch.column(0).to_numpy(), rules.k)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "class_id"])
 
     return classes.select("class_id", "sig").mapInArrow(enumerate_errors, "key long, class_id long")
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are within NEAR symbols."""
+def _near(pairs: DataFrame, classes: DataFrame, rules: Rules) -> DataFrame:
+    """The pairs (a, b) whose signatures are within rules.near symbols."""
     sig = classes.groupBy("class_id").agg(F.first("sig").alias("sig"))
     both = pairs.join(sig.select(F.col("class_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("class_id").alias("a"), F.col("sig").alias("sig_a")), "a")
 
     def within(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, K) for i in (2, 3))
-                ok = pa.array((x != y).sum(axis=1) <= NEAR)
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, rules.k) for i in (2, 3))
+                ok = pa.array((x != y).sum(axis=1) <= rules.near)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(within, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union, counted on the full sets."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rules: Rules) -> DataFrame:
+    """The pairs with 100 * intersection >= rules.percent * union, counted on the full sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
     wanted = saved(classes.select("class_id", "set_digest").join(wanted, "class_id"), "wanted")
     few = wanted.count() <= BROADCAST_CLASSES
@@ -145,7 +165,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
             rows: dict[str, list] = {"class_id": [], "shingles": []}
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                for c, d, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(utf8(part.column(1)), known), strict=True):
+                for c, d, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(utf8(part.column(1)), known, rules.shingle), strict=True):
                     if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d:
                         rows["class_id"].append(c)
                         rows["shingles"].append(s.astype("<u8").tobytes())
@@ -162,7 +182,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 inside = int((y[at] == x).sum())
-                ok.append(100 * inside >= percent * (len(x) + len(y) - inside))
+                ok.append(100 * inside >= rules.percent * (len(x) + len(y) - inside))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -191,22 +211,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, rules: Rules = CORPUS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
-    percent: the least similarity, 85 or a little less; NEAR and the chunks are made for it. A null, empty or blank
-    text has no shingles, is linked with nothing and kept. A null doc_id takes no part: its row has a null component
+    A null, empty or blank text has no shingles, is linked with nothing and kept. A null doc_id takes no part: its row has a null component
     and is kept. Rows of equal doc_id and text all have their component and are all kept or all not; rows of equal
     doc_id and different texts are looked at one by one. An empty table gives no rows; other columns aren't looked at.
     """
-    signed = saved(_signed(docs), "signed")
+    signed = saved(_signed(docs, rules), "signed")
     full = signed.filter("set_digest is not null and doc_id is not null")
     classes = saved(full.groupBy("set_digest", "sig").agg(F.min("doc_id").alias("class_id")), "classes")
-    keys = _keys(classes)
+    keys = _keys(classes, rules)
     shared = keys.groupBy("key").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).filter("first < last")
     hits = saved(keys.join(shared.select("key", "first"), "key"), "hits")
-    stars = saved(_near(hits.filter("class_id <> first").select(F.col("first").alias("a"), F.col("class_id").alias("b")).distinct(), classes), "stars")
-    links = saved(_confirmed(stars, docs, classes, percent), "links")
+    stars = saved(_near(hits.filter("class_id <> first").select(F.col("first").alias("a"), F.col("class_id").alias("b")).distinct(), classes, rules), "stars")
+    links = saved(_confirmed(stars, docs, classes, rules), "links")
     joined = components(links)
     # What is left: classes that share a bucket and are not yet in one component.
     placed = hits.join(joined, hits["class_id"] == joined["node"], "left").select("key", "class_id", F.coalesce("component", "class_id").alias("component"))
@@ -215,8 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_ = saved(placed.join(mixed, "key"), "open")
     x, y = (open_.select("key", F.col("class_id").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
     across = x.join(y, "key").filter("ca <> cb and a < b").select("a", "b").distinct()
-    rest = saved(_near(across.join(stars, ["a", "b"], "left_anti"), classes), "rest")
-    more = saved(_confirmed(rest, docs, classes, percent), "links")
+    rest = saved(_near(across.join(stars, ["a", "b"], "left_anti"), classes, rules), "rest")
+    more = saved(_confirmed(rest, docs, classes, rules), "links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     by_set = classes.join(joined, classes["class_id"] == joined["node"], "left").select("set_digest", F.coalesce("component", "class_id").alias("component_id"))
@@ -225,10 +244,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+def one_of_each(docs: DataFrame, rules: Rules = CORPUS) -> DataFrame:
     """docs' rows, with all their columns, without those that ``near_duplicates`` doesn't keep; of rows with equal
     doc_id and text one stays."""
-    kept = near_duplicates(docs, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_duplicates(docs, rules).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
     named = docs.filter("doc_id is not null")
     stay = named.join(kept, named["doc_id"] == kept["_kept_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
     again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")

@@ -23,7 +23,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), 85)
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), near_dup.CONTRACT)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

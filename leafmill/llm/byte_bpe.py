@@ -7,6 +7,7 @@ character are handed to the library whole, so no result depends on two libraries
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import unicodedata
@@ -14,7 +15,7 @@ import unicodedata
 import numpy as np
 
 #: At about 200 bytes each.
-KEEP = 900_000
+KEEP = 1_200_000
 
 
 def _classes() -> tuple[str, str]:
@@ -37,7 +38,7 @@ _L, _N = _classes()
 _S = r"\t-\r \x85\xa0"
 #: The pieces of byte-level BPE (a fixed pattern of the published format) for texts that _OTHER doesn't match.
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_OTHER = re.compile(r"[^\x00-ɏ‐-‧‰-⁞₠-₿]|[\x1c-\x1f]")
+_OTHER = re.compile(r"[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 
 
 class Encoder:
@@ -51,9 +52,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32 bits) of each text."""
-        cut = [None if _OTHER.search(t) else _PIECE.findall(t) for t in texts]
+        cut = [_PIECE.findall(t) if t.isascii() or not _OTHER.search(t) else None for t in texts]
         known = self.known
-        missing = list({p for pieces in cut if pieces for p in pieces if p not in known})
+        missing = list(set(itertools.chain.from_iterable(p for p in cut if p)).difference(known))
         if len(known) + len(missing) > KEEP:
             known = dict(known)  # for this batch only
         for k in range(0, len(missing), 10_000):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, near_dup, pieces, pii, sharding, token_store, top_k
+from . import decontam, language, mixing, near_dup, pieces, pii, sharding, token_store, top_k
 from .common import read
 
 
@@ -38,6 +38,12 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model, counts = mixing.fit(docs)
+    return mixing.score(docs, model, counts)
+
+
 #: A stand-in: a real run takes its key from a secret store.
 PII_KEY = "key of the registered queries"
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op2_language": op2_language,
     "op5_sentencepiece": op5_sentencepiece,
+    "op8_language_model": op8_language_model,
 }
 
 ORACLES: dict[str, str] = {}

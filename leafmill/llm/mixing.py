@@ -1,14 +1,15 @@
 """Language-model scores by online logistic context mixing.
 
 A text is a sequence of words and one end. Each token is a path of binary decisions in a Huffman tree over the HEAD
-commonest words, the end, and an escape; a word behind the escape is spelled in bytes, each eight decisions more.
+commonest words, the end, and an escape. A word behind the escape is drawn from two sources, weighted as often as
+training met a new word there: the counts of the other training words, or its spelling in bytes of eight decisions.
 
 For a token's decision three predictors look up how often the bit was one: at the tree's node alone, with the word
 before, with the two words before (hashed into tables of SLOTS counters, filled from all training documents). Their
 log-odds are mixed by weights from a set that is chosen by how much the two longer contexts have been seen; after each
 bit the weights move against the error, and a small adaptive table refines the result. Weights and refinement start
 anew every SEGMENT tokens, while contexts go on, so a text of any length is scored in parallel steps. Spelling mixes
-the one, two and three bytes before in the same way, with weights that stay.
+one to six bytes before in the same way, with weights that stay; it learns each different word once.
 
 The probability of the text is the product over all decisions. Beside it stands the base score, the exact add-one
 unigram model over all training tokens: the commonest words' counts (BASE_HEAD of them at most) are broadcast, and all
@@ -30,13 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, saved, utf8
 
-HEAD, BASE_HEAD = 8190, 300_000
+HEAD, BASE_HEAD = 2046, 300_000
 SLOTS = 1 << 20
 #: Hash classes of words outside the head, as contexts.
 CLASSES = 1024
 SEGMENT = 256
-RATE, REFINE, LIMIT = 0.015, 0.03, 12.0
+RATE, REFINE, LIMIT = 0.1, 0.03, 12.0
 BUCKETS = 24
+PRIOR, SPELL_PRIOR = np.float32(4), np.float32(4)
+#: Bytes before the one that is spelled.
+ORDERS = (1, 2, 3, 4, 6)
+#: Where the weights begin, shortest context first.
+WEIGHTS, SPELL_WEIGHTS = (0.0, 0.4, 0.6), (0.0, 0.0, 0.2, 0.4, 0.5)
 _STOP = 0x20  #: ends a spelled word; no word contains it
 
 
@@ -48,13 +54,22 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
-def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
+def _chances(counts: list[np.ndarray], slots: list[np.ndarray], prior: np.float32) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The chance of a one in each table, from the shortest context to the longest, and how often each was seen."""
+    out, seen, p = [], [], np.float32(0.5)
+    for k, (count, slot) in enumerate(zip(counts, slots, strict=True)):
+        pair = count.view(np.complex64)[:, 0].take(slot)  # zeros and ones in one look-up
+        n = pair.real + pair.imag
+        own = prior if k else np.float32(0.8)
+        p = (pair.imag + own * p) / (n + own)
+        out.append(p)
+        seen.append(n)
+    return out, seen
 
 
 def _seen(n: np.ndarray) -> np.ndarray:
     """How much a context has been seen, from 0 to 3."""
-    return np.digitize(n, [1, 4, 32]).astype(np.uint8)
+    return (n >= 1).astype(np.int64) + (n >= 4) + (n >= 32)
 
 
 @dataclass
@@ -147,25 +162,28 @@ def decisions(tree: Tree, batch: Batch) -> tuple[np.ndarray, np.ndarray, list[np
 
 
 def _bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte to spell with the three before it, as one number; and its word."""
-    s = np.frombuffer(b"".join(b"   " + w + b" " for w in words), np.uint8).astype(np.uint32)
+    """Each byte to spell with the six before it, as one number; and its word."""
+    pad = max(ORDERS)
+    s = np.frombuffer(b"".join(b" " * pad + w + b" " for w in words), np.uint8).astype(np.uint64)
     n = np.array([len(w) + 1 for w in words])
     word = np.repeat(np.arange(len(words)), n)
-    at = np.arange(n.sum()) + 3 * (word + 1)
-    return s[at - 3] << 24 | s[at - 2] << 16 | s[at - 1] << 8 | s[at], word
-
-
-def _spelled(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots (three tables) and bits of the eight decisions of each gram's last byte."""
-    byte = grams & np.uint32(255)
-    slots, bits = np.empty((3, len(grams), 8), np.int64), np.empty((len(grams), 8), np.uint8)
-    node = np.ones(len(grams), np.uint32)
-    for k in range(8):
-        bits[:, k] = byte >> (7 - k) & 1
-        for t, mask in enumerate((0x0000FF00, 0x00FFFF00, 0xFFFFFF00)):
-            h = ((grams & np.uint32(mask)).astype(np.uint64) | node.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            slots[t, :, k] = ((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).astype(np.int64)
-        node = node << np.uint32(1) | bits[:, k]
+    at = np.arange(n.sum()) + pad * (word + 1)
+    gram = np.zeros(len(at), np.uint64)
+    for k in range(pad, -1, -1):
+        gram = gram << np.uint64(8) | s[at - k]
+    return gram, word
+
+
+def _spelled(grams: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Slots (a table for each of ORDERS) and bits of the eight decisions of each gram's last byte."""
+    byte = grams & np.uint64(255)
+    bits = (byte[:, None] >> np.arange(7, -1, -1, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+    node = (byte | np.uint64(256))[:, None] >> np.arange(8, 0, -1, dtype=np.uint64)
+    slots = []
+    for order in ORDERS:
+        context = grams >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
+        h = (context * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(order))[:, None] ^ node * np.uint64(0x9E3779B97F4A7C15)
+        slots.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).astype(np.int64))
     return slots, bits
 
 
@@ -176,8 +194,9 @@ class Model:
     ends: int
     total: int
     distinct: int
-    log_odds: list[np.ndarray]  #: three tables of tokens' decisions, then three of spelling
-    seen: list[np.ndarray]
+    other: int  #: training tokens outside the head, and different words of them
+    other_words: int
+    bits: list[np.ndarray]  #: (zeros, ones) by slot: three tables of tokens' decisions, then those of spelling
 
     def spell(self, words: list[bytes]) -> np.ndarray:
         """Natural log-probability of each word's spelling."""
@@ -186,77 +205,98 @@ class Model:
         score = np.empty(len(different))
         for k in range(0, len(different), 100_000):
             slots, bits = _spelled(different[k : k + 100_000])
-            mixed = np.zeros(bits.shape, np.float32)
-            weight = np.zeros(bits.shape, np.float32)
-            for t in range(3):
-                # Longer contexts count for more, the more they have been seen.
-                w = (1 + t) ** 2 * self.seen[3 + t][slots[t]].astype(np.float32) + 0.01
-                mixed += w * self.log_odds[3 + t][slots[t]]
-                weight += w
-            x = np.clip(mixed / weight, -LIMIT, LIMIT)
+            p, _ = _chances(self.bits[3:], slots, SPELL_PRIOR)
+            x = sum(w * np.log(q / (1 - q)) for w, q in zip(SPELL_WEIGHTS, (np.clip(q, 1e-6, 1 - 1e-6) for q in p), strict=True))
+            x = np.clip(x, -LIMIT, LIMIT)
             score[k : k + 100_000] = -np.logaddexp(0, np.where(bits == 1, -x, x)).sum(axis=1)
         return np.bincount(word, score[inverse], minlength=len(words))
 
     def mix(self, batch: Batch) -> np.ndarray:
         """Natural log-probability of each token's decisions."""
         token, bit, slots = decisions(self.tree, batch)
-        inputs = np.stack([self.log_odds[t][slots[t]] for t in range(3)], axis=1)
-        gate = self.seen[1][slots[1]].astype(np.int64) * 4 + self.seen[2][slots[2]]
-        # Segments: runs of SEGMENT tokens of a text.
+        chances, n = _chances(self.bits[:3], slots, PRIOR)
+        p = np.clip(np.stack(chances), 1e-6, 1 - 1e-6)
+        inputs = np.log(p / (1 - p))
+        gate = _seen(n[1]) * 4 + _seen(n[2])
+        # Segments: runs of SEGMENT tokens of a text; all take their t-th step together, the longest first, so what a
+        # step needs lies in one piece.
         begin = np.flatnonzero(np.concatenate([[True], batch.doc[1:] != batch.doc[:-1]]))
-        place = np.arange(len(batch.ids)) - begin[np.searchsorted(begin, np.arange(len(batch.ids)), side="right") - 1]
+        place = np.arange(len(batch.ids)) - np.repeat(begin, np.diff([*begin, len(batch.ids)]))
         new = (place % SEGMENT == 0)[token] & np.concatenate([[True], token[1:] != token[:-1]])
         start = np.flatnonzero(new)
         length = np.diff([*start, len(token)])
-        order = np.argsort(-length, kind="stable")
-        start, length = start[order], length[order]
-        weights = np.full((len(start), 16, 3), 0.3, np.float32)
-        weights[:, :, 0] = 0.4
-        weights[:, [4 * i + j for i in range(4) for j in range(1, 4)], 2] = 0.4
-        refined = np.repeat((1 / (1 + np.exp(-np.linspace(-6, 6, BUCKETS))))[None, :], len(start), axis=0).astype(np.float32)
-        loss, active = np.zeros(len(token), np.float32), len(start)
-        rows = np.arange(len(start))
-        for t in range(int(length[0]) if len(length) else 0):
-            while length[active - 1] <= t:
-                active -= 1
-            r, at = rows[:active], start[:active] + t
-            x, g, y = inputs[at], gate[at], bit[at]
-            w = weights[r, g]
-            z = np.clip((w * x).sum(axis=1), -LIMIT, LIMIT)
-            p = 1 / (1 + np.exp(-z))
-            k = np.clip(((z + 6) * ((BUCKETS - 1) / 12) + 0.5).astype(np.int64), 0, BUCKETS - 1)
-            q = refined[r, k]
-            final = np.clip(0.75 * p + 0.25 * q, 1e-6, 1 - 1e-6)
-            loss[at] = np.log(np.where(y == 1, final, 1 - final))
-            weights[r, g] = w + (RATE * (y - p))[:, None] * x
-            refined[r, k] = q + REFINE * (y - q)
-        return np.bincount(token, loss.astype(np.float64), minlength=len(batch.ids))
+        rank = np.empty(len(start), np.int64)
+        rank[np.argsort(-length, kind="stable")] = np.arange(len(start))
+        step = np.arange(len(token)) - np.repeat(start, length)
+        rank_of = np.repeat(rank, length)
+        active = np.bincount(step)
+        first = np.cumsum(active) - active
+        to = first[step] + rank_of
+        x = np.empty((3, len(token)), np.float32)
+        x[:, to] = inputs
+        y, g, final = np.empty(len(token), np.float32), np.empty(len(token), np.int64), np.empty(len(token), np.float32)
+        y[to], g[to] = bit, gate + 16 * rank_of
+        weights = [np.full(16 * len(start), w, np.float32) for w in WEIGHTS]
+        refined = np.tile((1 / (1 + np.exp(-np.linspace(-6, 6, BUCKETS)))).astype(np.float32), len(start))
+        own = np.arange(len(start)) * BUCKETS
+        for f, n in zip(first.tolist(), active.tolist(), strict=True):
+            at = slice(f, f + n)
+            i, bits = g[at], y[at]
+            w = [v.take(i) for v in weights]
+            z = w[0] * x[0, at] + w[1] * x[1, at] + w[2] * x[2, at]
+            p = 1 / (1 + np.exp(np.clip(-z, -LIMIT, LIMIT)))
+            k = np.clip((z + 6) * ((BUCKETS - 1) / 12) + 0.5, 0, BUCKETS - 1).astype(np.int64) + own[:n]
+            q = refined.take(k)
+            final[at] = 0.75 * p + 0.25 * q
+            error = RATE * (bits - p)
+            for j in range(3):
+                weights[j][i] = w[j] + error * x[j, at]
+            refined[k] = q + REFINE * (bits - q)
+        final = np.clip(final, 1e-6, 1 - 1e-6)
+        loss = np.log(np.where(y == 1, final, 1 - final))[to]
+        return np.bincount(token, loss, minlength=len(batch.ids))
 
     def score(self, texts: list[bytes | None]) -> dict[str, list]:
         batch = numbered(self.tree, texts)
         n = np.bincount(batch.doc, minlength=len(texts))
         log_p = self.mix(batch)
         end = len(self.tree.words)
-        if batch.others:
-            other = batch.ids > end + 1
-            log_p[other] += self.spell(batch.others)[batch.ids[other] - end - 2]
         known = np.array([self.counts.get(w, -1) for w in batch.words])
         known[end], known[end + 1] = self.ends if self.ends else -1, -1
+        # Behind the escape: a word of the base head is settled here, by its count alone (its spelling would add next
+        # to nothing), any other by the join.
+        spelled, drawn = np.zeros(len(batch.words)), np.zeros(len(batch.words))
+        strange = np.flatnonzero(known < 0)
+        strange = strange[strange > end + 1]
+        if len(strange):
+            spelled[strange] = self.spell([batch.words[i] for i in strange.tolist()]) / math.log(10)
+        drawn[known > 0] = np.log10(self.old * known[known > 0]) if self.old else 0
+        drawn[: end + 2] = 0
         c = known[batch.ids]
-        # Words outside the base head wait for the join: each text's, with how often it has them.
+        local = np.where((c >= 0) | (batch.ids <= end + 1), drawn[batch.ids], 0)
         left = np.flatnonzero((c < 0) & (batch.ids != end))
         pair, times = np.unique(np.stack([batch.doc[left], batch.ids[left]]), axis=1, return_counts=True) if len(left) else (np.zeros((2, 0), np.int64), [])
         rest: list[list] = [[] for _ in texts]
         for d, i, m in zip(*pair.tolist(), list(times), strict=True):
-            rest[d].append({"word": batch.words[i], "times": int(m)})
+            rest[d].append({"word": batch.words[i], "times": int(m), "spelled": float(spelled[i])})
         return {
             "n_tokens": n.tolist(),
             "n_head": np.bincount(batch.doc, c >= 0, minlength=len(texts)).astype(np.int64).tolist(),
             "log_head": np.bincount(batch.doc, np.log10(np.maximum(c, 0) + 1.0), minlength=len(texts)).tolist(),
-            "score": (np.bincount(batch.doc, log_p, minlength=len(texts)) / math.log(10)).tolist(),
+            "score": (np.bincount(batch.doc, log_p / math.log(10) + local, minlength=len(texts))).tolist(),
             "rest": rest,
         }
 
+    @property
+    def old(self) -> float:
+        """What a count of one is worth behind the escape: the chance of a known word, shared out by counts."""
+        return 1 / (self.other + self.other_words) if self.other else 0.0
+
+    @property
+    def new(self) -> float:
+        """The chance of a new word behind the escape."""
+        return self.other_words / (self.other + self.other_words) if self.other else 1.0
+
 
 def _parts(batch: pa.RecordBatch, column: int, size: int = 1 << 22):
     """Slices of batch of about size bytes of text. A larger text is a slice of its own."""
@@ -296,23 +336,23 @@ def _word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _tables(rows: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Sums of (slot, n0, n1); at most six tables of SLOTS slots, a bound whatever the rows."""
-    table = rows.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    out = np.zeros((6 * SLOTS, 2))
+def _tables(rows: DataFrame) -> np.ndarray:
+    """Sums of (slot, n0, n1); at most eight tables of SLOTS slots, a bound whatever the rows."""
+    table = rows.groupBy("slot").agg(*[F.sum(n).cast("float").alias(n) for n in ("n0", "n1")]).toArrow()
+    out = np.zeros(((3 + len(ORDERS)) * SLOTS, 2), np.float32)
     at = table.column("slot").to_numpy()
     out[at, 0], out[at, 1] = table.column("n0").to_numpy(), table.column("n1").to_numpy()
-    return out.reshape(6, SLOTS, 2)
+    return out.reshape(-1, SLOTS, 2)
 
 
-_SLOTS = "slot long, n0 long, n1 long"
+_SLOTS = "slot int, n0 long, n1 long"
 
 
 def _emit(total: np.ndarray, base: int):
     at = np.flatnonzero(total.any(axis=1))
     for k in range(0, len(at), 100_000):
         part = at[k : k + 100_000]
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(part + base, pa.int64()), "n0": pa.array(total[part, 0].astype(np.int64)), "n1": pa.array(total[part, 1].astype(np.int64))})
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(part + base, pa.int32()), "n0": pa.array(total[part, 0].astype(np.int64)), "n1": pa.array(total[part, 1].astype(np.int64))})
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -345,27 +385,23 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
             yield from _emit(table, k * SLOTS)
 
     def learn_spelling(batches):
-        tables = [np.zeros((SLOTS, 2)) for _ in range(3)]
-        common = set(sent.value.words) | {b" "}
+        tables = [np.zeros((SLOTS, 2)) for _ in ORDERS]
         for batch in batches:
-            rows = [(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in common]
-            for k in range(0, len(rows), 20_000):
-                grams, word = _bytes([w for w, _ in rows[k : k + 20_000]])
-                different, inverse = np.unique(grams, return_inverse=True)
-                times = np.bincount(inverse, np.array([c for _, c in rows[k : k + 20_000]], np.float64)[word])
+            words = [w for w in batch.column(0).to_pylist() if w != b" "]
+            for k in range(0, len(words), 20_000):
+                different, times = np.unique(_bytes(words[k : k + 20_000])[0], return_counts=True)
                 slots, bits = _spelled(different)
-                for t, table in enumerate(tables):
-                    table += np.bincount((slots[t] * 2 + bits).reshape(-1), np.repeat(times, 8), minlength=2 * SLOTS).reshape(SLOTS, 2)
+                for table, slot in zip(tables, slots, strict=True):
+                    table += np.bincount((slot * 2 + bits).reshape(-1), np.repeat(times, 8), minlength=2 * SLOTS).reshape(SLOTS, 2)
         for k, table in enumerate(tables):
             yield from _emit(table, (3 + k) * SLOTS)
 
-    tables = _tables(training.select("text").mapInArrow(learn, _SLOTS).unionByName(counts.mapInArrow(learn_spelling, _SLOTS)))
-    log_odds = [_stretch(t[:, 0], t[:, 1]) for t in tables]
-    seen = [_seen(t.sum(axis=1)) for t in tables]
-    return Model(tree, head, ends, total, distinct, log_odds, seen), counts
+    tables = _tables(training.select("text").mapInArrow(learn, _SLOTS).unionByName(counts.select("word").mapInArrow(learn_spelling, _SLOTS)))
+    other = total - ends - sum(c for _, c in top)
+    return Model(tree, head, ends, total, distinct, other, distinct - bool(ends) - len(top), list(tables)), counts
 
 
-_SCORED = "rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_head long, log_head double, score double, rest array<struct<word:binary,times:int>>"
+_SCORED = "rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_head long, log_head double, score double, rest array<struct<word:binary,times:int,spelled:double>>"
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -379,7 +415,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches):
         rid = TaskContext.get().partitionId() << 40
-        rest = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+        rest = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32()), ("spelled", pa.float64())]))
         for batch in batches:
             for part in _parts(batch, 2):
                 texts = utf8(part.column(2))
@@ -393,8 +429,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     scored = saved(rows.mapInArrow(run, _SCORED), "scored")
-    rest = scored.select("rid", F.inline("rest")).join(counts, "word").groupBy("rid").agg(F.sum("times").alias("n_rest"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_rest"))
+    c = F.coalesce("c", F.lit(0))
+    drawn = F.col("times") * F.log10(F.lit(model.old) * c + F.lit(model.new) * F.pow(F.lit(10.0), F.col("spelled")))
+    # A chance too small for a double keeps the spelling's logarithm.
+    drawn = F.when(c > 0, drawn).otherwise(F.col("times") * (F.lit(math.log10(model.new) if model.new else -400.0) + F.col("spelled")))
+    rest = scored.select("rid", F.inline("rest")).join(counts, "word", "left").groupBy("rid").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rest"), F.sum(F.col("times") * F.log10(c + 1)).alias("log_rest"), F.sum(drawn).alias("drawn"))
     base = F.col("log_head") + F.coalesce("log_rest", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.total + model.distinct + 1)
+    whole = F.col("score") + F.coalesce("drawn", F.lit(0.0))
     return scored.join(rest, "rid", "left").select(
         "doc_id",
         "held_out",
@@ -402,6 +443,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         (F.col("n_head") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
-        F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        whole.alias("score"),
+        F.when(F.col("n_bytes") > 0, -whole * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -8,8 +8,11 @@ the full sets. At a similarity of 0.85 a symbol differs with probability 0.15: w
 shares no masked chunk, or is too far, with probability 8e-7; with CORPUS', at 0.8, with 2e-6; more alike, with less.
 
 Documents with equal sets are one class from the start. In a bucket all classes are first compared with its smallest
-one; then, once the links found are joined to components, only classes of different components are compared. A large
-group of near copies thus costs its size and not its square, and no link between components is left untested.
+one; then, once the links found are joined to components, only classes of different components are. Of these a pair is
+looked at only if it shares one of the shingles that come first in each set, rarest first: sets that are similar enough
+must share one, within bounds on lengths and places. In a large group of near copies the rare shingles are each copy's
+own changes, so copies that changed too much meet nobody, and those that changed little are in one component already:
+the group costs about its size and not its square, and no link is left untested.
 """
 
 from __future__ import annotations
@@ -45,6 +48,7 @@ CONTRACT = Rules(3, 85, 8, 5, 19)
 CORPUS = Rules(5, 80, 10, 5, 26)
 #: Up to so many classes to confirm, their ids (24 bytes each) are broadcast to the second scan; beyond, shuffled.
 BROADCAST_CLASSES = 200_000
+RARITY_SLOTS = 1 << 21
 
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(1, 2**62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,10 +156,8 @@ def _near(pairs: DataFrame, classes: DataFrame, rules: Rules) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(within, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rules: Rules) -> DataFrame:
-    """The pairs with 100 * intersection >= rules.percent * union, counted on the full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    wanted = saved(classes.select("class_id", "set_digest").join(wanted, "class_id"), "wanted")
+def _sets(wanted: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
+    """(class_id, shingles) of the wanted classes (class_id, set_digest), from a second look at their texts."""
     few = wanted.count() <= BROADCAST_CLASSES
     texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(F.broadcast(wanted) if few else wanted, "class_id")
 
@@ -171,8 +173,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rules: Rul
                         rows["shingles"].append(s.astype("<u8").tobytes())
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("class_id", pa.int64()), ("shingles", pa.binary())]))
 
-    sets = texts.select("class_id", "text", "set_digest").mapInArrow(build, "class_id long, shingles binary")
-    sets = saved(sets, "sets")
+    return texts.select("class_id", "text", "set_digest").mapInArrow(build, "class_id long, shingles binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
+    """The pairs with 100 * intersection >= rules.percent * union, counted on the full sets."""
     both = pairs.join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("set_a")), "a")
 
     def confirm(batches):
@@ -189,6 +194,62 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rules: Rul
     return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct()
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """Counts of shingles by slot; at most RARITY_SLOTS, fewer for small inputs. Any fixed order of shingles is right:
+    where two share a slot the order is only less good."""
+    n = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    slots = 1 << min(RARITY_SLOTS.bit_length() - 1, max(10, (n // 8).bit_length()))
+
+    def count(batches):
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                flat = np.frombuffer(b"".join(batch.column(0).slice(k, 200).to_pylist()), "<u8")
+                at, n = np.unique((flat & np.uint64(slots - 1)).astype(np.int64), return_counts=True)
+                total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int32()), "n": pa.array(total[at])})
+
+    found = sets.select("shingles").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(slots, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _across(sets: DataFrame, placed: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs (a, b) of classes in different components that could be similar enough. placed: class_id, component."""
+    sent = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def first(batches):
+        count = sent.value
+        mask = np.uint64(len(count) - 1)
+        for batch in batches:
+            ids, tokens, sizes, places = [], [], [], []
+            for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(s, "<u8")
+                n = len(x) - -(-rules.percent * len(x) // 100) + 1
+                rank = count[(x & mask).astype(np.int64)]
+                tokens.append(x[np.lexsort((x, rank))[:n]])
+                ids.append(np.full(n, c))
+                sizes.append(np.full(n, len(x)))
+                places.append(np.arange(n))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "class_id", "n", "place"])
+
+    rows = sets.select("class_id", "shingles").mapInArrow(first, "token long, class_id long, n long, place long")
+    rows = saved(rows.join(placed, "class_id"), "prefixes")
+    kinds = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    # Tokens of one component only are done with; of the others, the commonest component needn't meet itself.
+    mixed = kinds.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token", "most")
+    open_ = saved(rows.join(mixed, "token"), "open")
+    x, y = (open_.select("token", "most", F.col("class_id").alias(n), F.col("component").alias(f"c{n}"), F.col("n").alias(f"n{n}"), F.col("place").alias(f"p{n}")) for n in "xy")
+    t = rules.percent
+    shared = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    near = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= t * F.greatest("nx", "ny")) & (shared * (100 + t) >= t * (F.col("nx") + F.col("ny")))
+    met = x.filter("cx <> most").join(y.drop("most"), "token").filter(near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable by links (a, b), for every node that has a link.
 
@@ -225,17 +286,18 @@ def near_duplicates(docs: DataFrame, rules: Rules = CORPUS) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).filter("first < last")
     hits = saved(keys.join(shared.select("key", "first"), "key"), "hits")
     stars = saved(_near(hits.filter("class_id <> first").select(F.col("first").alias("a"), F.col("class_id").alias("b")).distinct(), classes, rules), "stars")
-    links = saved(_confirmed(stars, docs, classes, rules), "links")
+    wanted = saved(classes.select("class_id", "set_digest").join(hits.select("class_id").distinct(), "class_id"), "wanted")
+    sets = saved(_sets(wanted, docs, rules), "sets")
+    links = saved(_confirmed(stars, sets, rules), "links")
     joined = components(links)
     # What is left: classes that share a bucket and are not yet in one component.
     placed = hits.join(joined, hits["class_id"] == joined["node"], "left").select("key", "class_id", F.coalesce("component", "class_id").alias("component"))
     placed = saved(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
-    open_ = saved(placed.join(mixed, "key"), "open")
-    x, y = (open_.select("key", F.col("class_id").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-    across = x.join(y, "key").filter("ca <> cb and a < b").select("a", "b").distinct()
+    open_ = saved(placed.join(mixed, "key").select("class_id", "component").distinct(), "open")
+    across = _across(saved(sets.join(open_, "class_id", "left_semi"), "open-sets"), open_, rules)
     rest = saved(_near(across.join(stars, ["a", "b"], "left_anti"), classes, rules), "rest")
-    more = saved(_confirmed(rest, docs, classes, rules), "links")
+    more = saved(_confirmed(rest, sets, rules), "links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     by_set = classes.join(joined, classes["class_id"] == joined["node"], "left").select("set_digest", F.coalesce("component", "class_id").alias("component_id"))

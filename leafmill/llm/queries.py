@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, mixing, near_dup, pieces, pii, sharding, token_store, top_k
+from . import decontam, language, mixing, near_dup, pieces, pii, quality, sharding, token_store, top_k
 from .common import read
 
 
@@ -44,6 +44,16 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score(docs, model, counts)
 
 
+#: Toxic documents are rated lowest, then poor ones, then good ones.
+GRADE = "case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end"
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    ratings = read(spark, sf_dir, "labels").select("doc_id", F.expr(GRADE).alias("grade"))
+    return quality.grade(docs, quality.fit(quality.sample(docs, ratings), 3))
+
+
 #: A stand-in: a real run takes its key from a secret store.
 PII_KEY = "key of the registered queries"
 
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_language_model": op8_language_model,
+    "op3_quality": op3_quality,
 }
 
 ORACLES: dict[str, str] = {}

@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, saved, utf8
 
 HEAD, BASE_HEAD = 2046, 300_000
-SLOTS = 1 << 20
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
+#: Texts are taken in parts of about so many bytes, which bounds a worker's memory.
+PART = 3 << 19
 #: Hash classes of words outside the head, as contexts.
 CLASSES = 1024
 SEGMENT = 256
@@ -157,7 +160,7 @@ def decisions(tree: Tree, batch: Batch) -> tuple[np.ndarray, np.ndarray, list[np
     slots = [node]
     for h in (a, b):
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        slots.append((h >> np.uint64(44)).astype(np.int64))
+        slots.append((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
     return token, bit, slots
 
 
@@ -183,7 +186,7 @@ def _spelled(grams: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     for order in ORDERS:
         context = grams >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
         h = (context * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(order))[:, None] ^ node * np.uint64(0x9E3779B97F4A7C15)
-        slots.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).astype(np.int64))
+        slots.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
     return slots, bits
 
 
@@ -298,7 +301,7 @@ class Model:
         return self.other_words / (self.other + self.other_words) if self.other else 1.0
 
 
-def _parts(batch: pa.RecordBatch, column: int, size: int = 1 << 22):
+def _parts(batch: pa.RecordBatch, column: int, size: int = PART):
     """Slices of batch of about size bytes of text. A larger text is a slice of its own."""
     start = total = 0
     lengths = [len(x) if x else 0 for x in utf8(batch.column(column))]
@@ -329,7 +332,7 @@ def _word_counts(training: DataFrame) -> DataFrame:
                 found[b" "] = found.get(b" ", 0) + 1
                 for w in tokens(text):
                     found[w] = found.get(w, 0) + 1
-            if len(found) > 600_000:
+            if len(found) > 400_000:
                 yield from flush()
         yield from flush()
 

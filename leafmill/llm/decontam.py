@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, saved, utf8
+from .common import ALNUM, saved, slices, utf8
 
 WINDOW = 10
 SHINGLE = 3
@@ -156,7 +156,7 @@ def _count(docs: DataFrame, block: Block) -> dict[int, int]:
     def count(batches):
         block, keys = sent.value
         total = np.zeros(len(keys), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             block.counts(utf8(batch.column(0)), keys, total)
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"i": pa.array(i), "n": pa.array(total[i])})
@@ -185,7 +185,7 @@ def spans(docs: DataFrame, prepared_blocks: list[Block]) -> DataFrame:
 
         def find(batches, sent=sent):
             block = sent.value
-            for batch in batches:
+            for batch in slices(batches):
                 n, found = block.hits(utf8(batch.column(1)))
                 before = batch.column(2).to_pylist()
                 hits = [old + [{"begin": b, "end": e, "items": block.items[w]} for b, e, w in new] for old, new in zip(before, found, strict=True)]
@@ -232,7 +232,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches, sent=sent, at=docs.columns.index("text")):
-            for batch in batches:
+            for batch in slices(batches):
                 _, found = sent.value.hits(utf8(batch.column(at)))
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ORDER = 5
 #: The bounded sample for fitting: so many different texts a language, each of at most so many bytes, whole.
 TEXTS_PER_LANGUAGE, TEXT_BYTES = 400, 100_000
@@ -108,7 +110,7 @@ class Model:
         while pieces:
             number: dict[str, int] = {}
             group, size = [], 0
-            while pieces and size < 1 << 22:
+            while pieces and size < 1 << 21:
                 t, piece = pieces.pop()
                 size += len(piece)
                 words = _WORD.findall(piece.lower())
@@ -227,7 +229,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, rejected = sent.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -240,7 +242,7 @@ def known_language(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(fit(sample(docs)))
 
     def keep(batches, at=docs.columns.index("text")):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(~sent.value.predict(batch.column(at).to_pylist())[2]))
 
     return docs.mapInArrow(keep, docs.schema)

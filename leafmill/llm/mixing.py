@@ -5,7 +5,7 @@ commonest words, the end, and an escape. A word behind the escape is drawn from
 training met a new word there: the counts of the other training words, or its spelling in bytes of eight decisions.
 
 For a token's decision three predictors look up how often the bit was one: at the tree's node alone, with the word
-before, with the two words before (hashed into tables of SLOTS counters, filled from all training documents). Their
+before, with the two words before (hashed into tables of fixed size, filled from all training documents). Their
 log-odds are mixed by weights from a set that is chosen by how much the two longer contexts have been seen; after each
 bit the weights move against the error, and a small adaptive table refines the result. Weights and refinement start
 anew every SEGMENT tokens, while contexts go on, so a text of any length is scored in parallel steps. Spelling mixes
@@ -19,6 +19,7 @@ other words are joined to the table of counts.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, saved, utf8
 
 HEAD, BASE_HEAD = 2046, 300_000
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
+#: Bits of a slot in each table: three of tokens' decisions, then one for each of ORDERS.
+TABLE_BITS = (18, 18, 18, 18, 18, 20, 20, 20)
+OFFSETS = [0, *itertools.accumulate(1 << b for b in TABLE_BITS)]
 #: Texts are taken in parts of about so many bytes, which bounds a worker's memory.
 PART = 3 << 19
 #: Hash classes of words outside the head, as contexts.
@@ -158,9 +160,9 @@ def decisions(tree: Tree, batch: Batch) -> tuple[np.ndarray, np.ndarray, list[np
     a = (key * np.uint64(0x9E3779B97F4A7C15)) ^ ((one[token].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
     b = a ^ ((two[token].astype(np.uint64) + np.uint64(7)) * np.uint64(0x165667B19E3779F9))
     slots = [node]
-    for h in (a, b):
+    for h, bits in ((a, TABLE_BITS[1]), (b, TABLE_BITS[2])):
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        slots.append((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+        slots.append((h >> np.uint64(64 - bits)).astype(np.int64))
     return token, bit, slots
 
 
@@ -183,10 +185,10 @@ def _spelled(grams: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     bits = (byte[:, None] >> np.arange(7, -1, -1, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
     node = (byte | np.uint64(256))[:, None] >> np.arange(8, 0, -1, dtype=np.uint64)
     slots = []
-    for order in ORDERS:
+    for order, table in zip(ORDERS, TABLE_BITS[3:], strict=True):
         context = grams >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
         h = (context * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(order))[:, None] ^ node * np.uint64(0x9E3779B97F4A7C15)
-        slots.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+        slots.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - table)).astype(np.int64))
     return slots, bits
 
 
@@ -339,13 +341,18 @@ def _word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _tables(rows: DataFrame) -> np.ndarray:
-    """Sums of (slot, n0, n1); at most eight tables of SLOTS slots, a bound whatever the rows."""
+def _tables(rows: DataFrame) -> list[np.ndarray]:
+    """Sums of (slot, n0, n1), a table each; the tables' size bounds them whatever the rows."""
     table = rows.groupBy("slot").agg(*[F.sum(n).cast("float").alias(n) for n in ("n0", "n1")]).toArrow()
-    out = np.zeros(((3 + len(ORDERS)) * SLOTS, 2), np.float32)
+    out = np.zeros((OFFSETS[-1], 2), np.float32)
     at = table.column("slot").to_numpy()
     out[at, 0], out[at, 1] = table.column("n0").to_numpy(), table.column("n1").to_numpy()
-    return out.reshape(-1, SLOTS, 2)
+    return [out[a:b].copy() for a, b in itertools.pairwise(OFFSETS)]
+
+
+def _fewer(rows: DataFrame) -> DataFrame:
+    """A fourth of the partitions: each sends tables of the same size, however few its words."""
+    return rows.coalesce(max(1, rows.rdd.getNumPartitions() // 4))
 
 
 _SLOTS = "slot int, n0 long, n1 long"
@@ -378,28 +385,28 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     sent = docs.sparkSession.sparkContext.broadcast(tree)
 
     def learn(batches):
-        tables = [np.zeros((SLOTS, 2)) for _ in range(3)]
+        tables = [np.zeros((1 << b, 2), np.int64) for b in TABLE_BITS[:3]]
         for batch in batches:
             for part in _parts(batch, 0):
                 _, bit, slots = decisions(sent.value, numbered(sent.value, utf8(part.column(0))))
                 for table, slot in zip(tables, slots, strict=True):
-                    table += np.bincount(slot * 2 + bit, minlength=2 * SLOTS).reshape(SLOTS, 2)
+                    table += np.bincount(slot * 2 + bit, minlength=table.size).reshape(-1, 2)
         for k, table in enumerate(tables):
-            yield from _emit(table, k * SLOTS)
+            yield from _emit(table, OFFSETS[k])
 
     def learn_spelling(batches):
-        tables = [np.zeros((SLOTS, 2)) for _ in ORDERS]
+        tables = [np.zeros((1 << b, 2), np.int64) for b in TABLE_BITS[3:]]
         for batch in batches:
             words = [w for w in batch.column(0).to_pylist() if w != b" "]
             for k in range(0, len(words), 20_000):
                 different, times = np.unique(_bytes(words[k : k + 20_000])[0], return_counts=True)
                 slots, bits = _spelled(different)
                 for table, slot in zip(tables, slots, strict=True):
-                    table += np.bincount((slot * 2 + bits).reshape(-1), np.repeat(times, 8), minlength=2 * SLOTS).reshape(SLOTS, 2)
+                    table += np.bincount((slot * 2 + bits).reshape(-1), np.repeat(times, 8), minlength=table.size).reshape(-1, 2).astype(np.int64)
         for k, table in enumerate(tables):
-            yield from _emit(table, (3 + k) * SLOTS)
+            yield from _emit(table, OFFSETS[3 + k])
 
-    tables = _tables(training.select("text").mapInArrow(learn, _SLOTS).unionByName(counts.select("word").mapInArrow(learn_spelling, _SLOTS)))
+    tables = _tables(training.select("text").mapInArrow(learn, _SLOTS).unionByName(_fewer(counts.select("word")).mapInArrow(learn_spelling, _SLOTS)))
     other = total - ends - sum(c for _, c in top)
     return Model(tree, head, ends, total, distinct, other, distinct - bool(ends) - len(top), list(tables)), counts
 

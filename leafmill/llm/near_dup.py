@@ -73,7 +73,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes | None], known: _Hashes, size: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles."""
-    if len(known) > 300_000:
+    if len(known) > 150_000:
         known.clear()
     out = []
     for text in texts:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 GIANT, CHUNK, NEAR = 65_536, 32_768, 512
-KEEP = 500_000
+KEEP = 200_000
 SPACE = "▁"
 #: A segment: spaces and what follows up to the next space. Segments are encoded independently of each other.
 _SEGMENT = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")

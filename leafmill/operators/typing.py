@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.paths import shape
+from leafmill.functions.text import nfc
 from leafmill.sources.type_maps import Automaton, PatternMap
 
 
 def by_patterns(leaves: DataFrame, entries: PatternMap) -> DataFrame:
-    """leaves (path, json_kind, ...) with ``tag``, null where no entry fits. Keys must be in NFC.
+    """leaves (path, json_kind, ...) with ``tag``, null where no entry fits. Keys are compared in NFC.
 
     Patterns are compared once for each different shape, as equal keys: closed ones with the shape, open ones with its
     beginnings. The map is metadata of a few thousand entries, whose size from_text fixes, so it is broadcast.
     """
     table = F.broadcast(entries.table(leaves.sparkSession))
     shaped = leaves.withColumn("_shape", shape(F.col("path")))
-    kinds = shaped.select("_shape", "json_kind").distinct()
-    parts = F.split("_shape", r"(?<!\\)/")
+    kinds = shaped.select("_shape", "json_kind").distinct().withColumn("_normal", nfc(F.col("_shape")))
+    parts = F.split("_normal", r"(?<!\\)/")
     begins = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    asked = kinds.select("_shape", F.col("json_kind").alias("_kind"), F.explode(F.concat(F.array(F.struct(F.col("_shape").alias("s"), F.lit(False).alias("o"))), F.transform(begins, lambda b: F.struct(b.alias("s"), F.lit(True).alias("o"))))).alias("q"))
+    asked = kinds.select("_shape", F.col("json_kind").alias("_kind"), F.explode(F.concat(F.array(F.struct(F.col("_normal").alias("s"), F.lit(False).alias("o"))), F.transform(begins, lambda b: F.struct(b.alias("s"), F.lit(True).alias("o"))))).alias("q"))
     found = asked.join(table, (F.col("q.s") == F.col("shape")) & (F.col("q.o") == F.col("open")) & (F.col("json_kind").isNull() | (F.col("json_kind") == F.col("_kind"))))
     first = found.groupBy(F.col("_shape").alias("_at"), "_kind").agg(F.min_by("tag", "ordinal").alias("tag"))
     return shaped.join(first, (shaped["_shape"] == first["_at"]) & (shaped["json_kind"] == first["_kind"]), "left").drop("_shape", "_at", "_kind")

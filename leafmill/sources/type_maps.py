@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ _TOKEN = re.compile(r"\[(\*|[0-9]+)\]|([^.\[\]]+)")
 def _tokens(pattern: str) -> list[str]:
     """Segments of a pattern in the form of ``functions.paths.shape``: .key, or [*]."""
     out = []
-    for m in _TOKEN.finditer(pattern):
+    for m in _TOKEN.finditer(unicodedata.normalize("NFC", pattern)):
         key = m[2]
         out.append("[*]" if key is None else "**" if key == "**" else "." + key.replace("\\", "\\\\").replace("/", "\\/"))
     return out
@@ -68,5 +69,5 @@ class Automaton:
 
     def steps(self) -> dict[str, int]:
         """state and segment, as in a path's shape, to the next state."""
-        escaped = lambda k: k.replace("\\", "\\\\").replace("/", "\\/")
+        escaped = lambda k: unicodedata.normalize("NFC", k).replace("\\", "\\\\").replace("/", "\\/")
         return {f"{s}.{escaped(k)}": t for (s, k), t in self.keys.items()} | {f"{s}[*]": t for s, t in self.any_index.items()}

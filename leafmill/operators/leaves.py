@@ -58,7 +58,7 @@ def encoded(leaves: DataFrame, ascii_only: bool = False) -> DataFrame:
     return out.withColumn("reason", reason).withColumn("carrier", F.when(F.col("reason").isNull(), text)).withColumn("encoded_value", F.when(F.col("reason").isNull(), encode_value(tag, F.col("carrier"), normal=True)))
 
 
-def draw_salts(leaves: DataFrame, store: str) -> DataFrame:
+def draw_salts(leaves: DataFrame, store: str, mode: str = "error") -> DataFrame:
     """Draws a salt from the system's generator for every leaf and returns what was stored: record_id, encoded_path, salt.
 
     A retried or repeated computation would draw anew, so salts exist only once written; nothing else is ever used.
@@ -69,7 +69,7 @@ def draw_salts(leaves: DataFrame, store: str) -> DataFrame:
         return pd.Series([secrets.token_bytes(C.SALT_BYTES) for _ in range(len(n))])
 
     drawn = leaves.select("record_id", "encoded_path").withColumn("salt", draw.asNondeterministic()(F.octet_length("encoded_path")))
-    drawn.write.parquet(store)
+    drawn.write.mode(mode).parquet(store)
     return leaves.sparkSession.read.parquet(store)
 
 

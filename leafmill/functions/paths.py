@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -20,10 +21,6 @@ def path(*segments: str | int | Column) -> Column:
     return F.array(*items).cast(PATH_TYPE)
 
 
-def keys_path(keys: Sequence[str]) -> Column:
-    return path(*keys)
-
-
 def encode_path(p: Column) -> Column:
     """The canonical bytes of a path whose keys are in NFC: its identity and its place in path order. Null if an index
     is out of range."""
@@ -33,6 +30,12 @@ def encode_path(p: Column) -> Column:
     return F.concat(u32be(F.size(p)), F.aggregate(p, F.lit(bytearray(b"")), lambda a, s: F.concat(a, segment(s))))
 
 
+def known_path(keys: Sequence[str]) -> Column:
+    """The canonical bytes of a path of keys, as a constant."""
+    parts = [unicodedata.normalize("NFC", k).encode() for k in keys]
+    return F.lit(bytearray(len(parts).to_bytes(4, "big") + b"".join(b"\x01" + len(p).to_bytes(4, "big") + p for p in parts)))
+
+
 def display_path(p: Column) -> Column:
     """a.b[0].c, for people; never hashed or parsed."""
     step = lambda a, s: F.when(s["key"].isNull(), F.concat(a, F.lit("["), s["index"].cast("string"), F.lit("]"))).when(a == "", s["key"]).otherwise(F.concat(a, F.lit("."), s["key"]))

@@ -17,13 +17,13 @@ from leafmill.functions.values import carrier, encode_value, value_reason
 IDENTITY = ["record_type", "schema_version", "type_map_id", "issuer_id", "issuer_key_id"]
 
 
-def reserved_leaves(records: DataFrame, ordering: str = "path") -> DataFrame:
+def reserved_leaves(records: DataFrame, ordering: str = "path", identity_id: str = "record_id") -> DataFrame:
     """The identity of each record (record_id and IDENTITY) as leaves: record_id, path, tag, json_kind, literal.
 
     Absent optional members give no leaf; the ordering is a leaf only where it isn't the default.
     """
     merkle.domain(ordering)
-    named = [(C.RECORD_TYPE, F.col("record_type")), (C.SCHEMA_VERSION, F.col("schema_version")), (C.TYPE_MAP_ID, F.col("type_map_id")), (C.RECORD_ID, F.col("record_id")), (C.ISSUER_ID, F.col("issuer_id")), (C.ISSUER_KEY_ID, F.col("issuer_key_id")), (C.ORDERING, F.lit(ordering if ordering != "path" else None).cast("string"))]
+    named = [(C.RECORD_TYPE, F.col("record_type")), (C.SCHEMA_VERSION, F.col("schema_version")), (C.TYPE_MAP_ID, F.col("type_map_id")), (C.RECORD_ID, F.col(identity_id)), (C.ISSUER_ID, F.col("issuer_id")), (C.ISSUER_KEY_ID, F.col("issuer_key_id")), (C.ORDERING, F.lit(ordering if ordering != "path" else None).cast("string"))]
     items = F.array(*[F.when(v.isNotNull(), F.struct(path(k).alias("path"), v.cast("string").alias("literal"))) for k, v in named])
     return records.select("record_id", F.explode(F.array_compact(items)).alias("r")).select("record_id", "r.path", F.lit(C.STRING).alias("tag"), F.lit("string").alias("json_kind"), "r.literal")
 
@@ -117,14 +117,15 @@ def trees(leaves: DataFrame, ordering: str = "path") -> DataFrame:
     return rows.select("record_id", F.size("k").alias("leaf_count"), F.transform("k", lambda x: x["leaf_hash"]).alias("hashes")).withColumn("root", merkle.root(F.col("hashes")))
 
 
-def commit(records: DataFrame, typed: DataFrame, salts: DataFrame, ordering: str = "path", ascii_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(leaves, roots) of records. typed: record_id, path, tag, json_kind, literal of the records' own leaves.
+def commit(records: DataFrame, typed: DataFrame, salts: DataFrame, ordering: str = "path", ascii_only: bool = False, identity_id: str = "record_id") -> tuple[DataFrame, DataFrame]:
+    """(leaves, roots) of records. identity_id: the column that is committed as the record's id, where record_id only groups.
+    typed: record_id, path, tag, json_kind, literal of the records' own leaves.
 
     roots: record_id, leaf_count, root, reason - the first reason in path order that any leaf has against it, or that
     of the record (no leaves, paths or hashes twice, a salt missing); a record with a reason has no root.
     """
     own = typed.select("record_id", "path", "tag", "json_kind", "literal", F.lit(False).alias("reserved"))
-    both = own.unionByName(reserved_leaves(records, ordering).withColumn("reserved", F.lit(True)))
+    both = own.unionByName(reserved_leaves(records, ordering, identity_id).withColumn("reserved", F.lit(True)))
     rows = hashed(with_salts(encoded(both, ascii_only), salts), ordering)
     bad = F.coalesce("reason", F.when(F.col("salt").isNull(), F.lit("salt-missing-for-leaf")), F.when(F.octet_length("salt") != C.SALT_BYTES, F.lit("salt-length")))
     key = F.struct("encoded_path", "leaf_hash") if ordering == "path" else F.struct("leaf_hash", "encoded_path")

@@ -13,8 +13,8 @@ from leafmill import constants as C
 from leafmill.functions import binary, merkle, numbers, values
 from leafmill.functions.paths import display_path, encode_path, path
 from leafmill.functions.text import nfc
-from leafmill.operators import giant, leaves, tabular, typing
-from leafmill.sources import records
+from leafmill.operators import giant, leaves, tabular, typing, verify
+from leafmill.sources import envelopes, records
 from leafmill.sources.type_maps import Automaton, PatternMap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,3 +455,28 @@ def normalization_same_root(spark, d):
     rows = texts.select("record_id", path("text").alias("path"), F.lit(C.STRING).alias("tag"), F.lit("string").alias("json_kind"), "literal", F.lit(False).alias("reserved"))
     hashes = leaves.hashed(leaves.encoded(rows).withColumn("salt", _salt(F.col("record_id"))))
     return hashes.groupBy("record_id").agg((F.countDistinct("leaf_hash") == 1).alias("same")).select(F.col("record_id").cast("long").alias("doc_id"), "same")
+
+
+@query(
+    """select 'order-' || o_orderkey as envelope_id, o_orderkey % 5 > 2 as accepted,
+    case o_orderkey % 5 when 0 then 'outer-identity-mismatch' when 1 then 'master-salt-in-envelope' when 2 then 'hash-alg-not-allowed' end as reason from orders"""
+)
+def verify_envelopes(spark, d):
+    """Disclosed copies of all orders, written as JSON, some of them changed, read and verified."""
+    recs = order_records(spark, d)
+    both = order_cells(spark, d).withColumn("reserved", F.lit(False)).unionByName(leaves.reserved_leaves(recs).withColumn("reserved", F.lit(True)))
+    rows = leaves.hashed(leaves.encoded(both, ascii_only=True).withColumn("salt", _salt(F.col("record_id"), display_path(F.col("path")))))
+    asked = rows.filter(F.col("reserved") | display_path(F.col("path")).endswith("l_partkey")).select("record_id", "encoded_path")
+    shown, _, _ = leaves.disclose(rows, asked, rows.limit(0).select("record_id", "encoded_path"))
+    k, text = F.substring_index("record_id", "-", -1).cast("long") % 5, F.col("envelope_json")
+    changed = (
+        F.when(k == 0, F.replace(text, F.lit('"recordId":"order-'), F.lit('"recordId":"Order-')))
+        .when(k == 1, F.replace(text, F.lit('"mode":'), F.lit('"seed":"x","mode":')))
+        .when(k == 2, F.replace(text, F.lit(C.HASH_ALG), F.lit("MD5")))
+        .otherwise(text)
+    )
+    copies = envelopes.write_disclosed(shown, recs).select(F.col("record_id").alias("envelope_id"), changed.alias("envelope_json"))
+    # Written once: verification reads the copies several times.
+    store = _work(spark)
+    copies.write.parquet(store)
+    return verify.verify(spark.read.parquet(store), {"test.order": []})

@@ -76,10 +76,16 @@ _INTEGERS = "[{k}, '-' || {k}, '-0', '0' || {k}, {k} || '.0', '+' || {k}, repeat
     select o_orderkey, sha256(s) as s, case when regexp_full_match(s, '-?(0|[1-9][0-9]*)') and length(ltrim(s, '-')) <= 1024 then case when s = '-0' then '0' else s end end as canonical,
     case when not regexp_full_match(s, '-?(0|[1-9][0-9]*)') then 'integer-grammar' when length(ltrim(s, '-')) > 1024 then 'digit-bound-exceeded' end as reason from v"""
 )
+def canonical_integer_sample(spark, d):
+    """The rows that the SQL looks at."""
+    return canonical_integer(spark, d).filter("o_orderkey % 50 = 1")
+
+
+@query()
 def canonical_integer(spark, d):
     k = F.col("o_custkey").cast("string")
     v = F.array(k, F.concat(F.lit("-"), k), F.lit("-0"), F.concat(F.lit("0"), k), F.concat(k, F.lit(".0")), F.concat(F.lit("+"), k), F.repeat(F.lit("9"), F.lit(1024)), F.repeat(F.lit("9"), F.lit(1025)))
-    rows = _t(spark, d, "orders").filter("o_orderkey % 50 = 1").select("o_orderkey", F.explode(v).alias("s"))
+    rows = _t(spark, d, "orders").select("o_orderkey", F.explode(v).alias("s"))
     return rows.select("o_orderkey", F.sha2("s", 256).alias("s"), numbers.canonical_integer(F.col("s")).alias("canonical"), numbers.integer_reason(F.col("s")).alias("reason"))
 
 
@@ -98,11 +104,17 @@ _GRAMMAR = "(-?)(0|[1-9][0-9]*)(?:\\.([0-9]+))?(?:[eE]([+-]?)([0-9]+))?"
     select l_orderkey, l_linenumber, s, case when good then case when r.sign = '-' and regexp_matches(digits, '[1-9]') then '-' else '' end || case when ltrim(a, '0') = '' then '0' else ltrim(a, '0') end || case when f = '' then '' else '.' || f end end as canonical,
     case when not ok then 'decimal-grammar' when not good then 'digit-bound-exceeded' end as reason from w"""
 )
+def canonical_decimal_sample(spark, d):
+    """The rows that the SQL looks at."""
+    return canonical_decimal(spark, d).filter("l_orderkey % 20 = 1")
+
+
+@query()
 def canonical_decimal(spark, d):
     q = F.col("l_quantity").cast("int").cast("string")
     c = lambda a, b: F.concat(F.lit(a), q, F.lit(b))
     v = F.array(c("", ".50"), c("", "e2"), c("-", ".0e-3"), F.lit("-0.00"), c("", ".250E+1"), c("", "e-5"), c("", "."), F.lit(".5"), c("0", ""), c("", "e1024"), F.lit("1e1023"), c("", "e99999999999"), F.lit("0e5"))
-    rows = _t(spark, d, "lineitem").filter("l_orderkey % 20 = 1").select("l_orderkey", "l_linenumber", F.explode(v).alias("s"))
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(v).alias("s"))
     return rows.withColumns({"canonical": numbers.canonical_decimal(F.col("s")), "reason": numbers.decimal_reason(F.col("s"))})
 
 
@@ -230,9 +242,15 @@ def flatten_events(spark, d):
     """select o_orderkey, unnest(['n', 'e', 'big', 't', 'o', 'a[0]']) as display, unnest(['number', 'number', 'number', 'boolean', 'object', 'null']) as json_kind,
     unnest([o_orderkey || '.010', '1e2', '9223372036854775808', 'true', null, null]) as literal from orders where o_orderkey % 10 = 1"""
 )
+def json_literals_sample(spark, d):
+    """The rows that the SQL looks at."""
+    return json_literals(spark, d).filter("o_orderkey % 10 = 1")
+
+
+@query()
 def json_literals(spark, d):
     text = F.concat(F.lit('{"n":'), F.col("o_orderkey").cast("string"), F.lit('.010,"e":1e2,"big":9223372036854775808,"t":true,"o":{},"a":[null]}'))
-    rows = records.flatten(_t(spark, d, "orders").filter("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("record_id"), text.alias("record_json")))
+    rows = records.flatten(_t(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), text.alias("record_json")))
     return rows.select(F.col("record_id").cast("long").alias("o_orderkey"), display_path(F.col("path")).alias("display"), "json_kind", "literal")
 
 

@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-One regular expression finds candidates; each is validated (card and IBAN checksums, ranges of addresses, real dates)
-and put through a keyed Feistel network over its own format, so that equal values get equal pseudonyms in all documents
+One regular expression finds candidates, and one more, in what lies between them, runs of digit groups, of which cards
+are the valid stretches; each is validated (card and IBAN checksums, ranges of addresses, real dates) and put through a keyed Feistel network over its own format, so that equal values get equal pseudonyms in all documents
 and different values different ones:
 
 * text-like values: the symbols at odd and at even places are the two halves; a round adds to each symbol of one half,
@@ -37,9 +37,14 @@ KINDS = {
     "card": r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}" + _END,
     "ip": r"(?<![0-9A-Za-z.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9A-Za-z]|\.[0-9])",
 }
-_ANY = "|".join(KINDS.values())
+_ANY = "|".join(pattern for kind, pattern in KINDS.items() if kind != "card")
+#: Groups of digits, 13 digits at least, with a blank or hyphen between groups. Cards are looked for within.
+_RUN = r"(?<![0-9A-Za-z.])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+"
 _MARK, _ESCAPE = "\u0001", "\u0002"
 
+#: How cards are grouped, after the blank before them.
+_GROUPED = r"\A[ -]?(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})\z"
+
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, which is computed once."""
@@ -112,6 +117,41 @@ def _poured(layout: Column, symbols: Column, pattern: str = "[0-9]") -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(layout)), at), "")
 
 
+def _cards_marked(run: Column) -> Column:
+    """run with marks around cards: from left to right, each longest stretch of whole groups, of 13 to 19 digits, that is valid.
+
+    One that is grouped as cards are goes before one that isn't, which may be valid by chance across a card's edge.
+    """
+
+    def within(groups: Column, blanks: Column) -> Column:
+        n = F.size(groups)
+        written = lambda k, size: F.array_join(F.zip_with(F.slice(blanks, k, size), F.slice(groups, k, size), lambda a, b: F.concat(a, b)), "")
+        blank = lambda k: F.element_at(blanks, k)
+
+        def valid(k: Column, size: Column) -> Column:
+            return _let(F.array_join(F.slice(groups, k, size), ""), lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d))
+
+        sizes = lambda k: F.sequence(F.least(F.lit(19), n - k + 1), F.lit(1), F.lit(-1))
+        card = lambda k, size: valid(k, size) & written(k, size).rlike(_GROUPED)
+        later = lambda k, size: F.filter(F.sequence(k, k + size - 1), lambda j: j > k)
+        cuts = lambda k, size: F.exists(later(k, size), lambda j: F.exists(sizes(j), lambda t: card(j, t)))
+
+        def step(s: Column, k: Column) -> Column:
+            found = F.get(F.concat(F.filter(sizes(k), lambda size: card(k, size)), F.filter(sizes(k), lambda size: valid(k, size) & ~cuts(k, size))), F.lit(0))
+
+            def grown(size: Column) -> Column:
+                marked = F.concat(blank(k), _text(_MARK), F.substr(written(k, size), F.length(blank(k)) + 1), _text(_MARK))
+                out = F.when(size.isNull(), written(k, F.lit(1))).otherwise(marked)
+                return F.struct(F.concat(s["out"], out).alias("out"), (k + F.coalesce(size, F.lit(1))).alias("next"))
+
+            return F.when(k < s["next"], s).otherwise(_let(found, grown))
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.struct(_text("").alias("out"), F.lit(1).alias("next")), step, lambda s: s["out"])
+
+    # What stands before each group; nothing before the first.
+    return _let(F.struct(F.split(run, "[ -]").alias("groups"), F.split(run, "[0-9]+").alias("blanks")), lambda s: within(s["groups"], s["blanks"]))
+
+
 def _card(v: Column, key: str) -> Column:
     def renew(d: Column) -> Column:
         body = F.substr(d, F.lit(1), F.length(d) - 1)
@@ -233,9 +273,13 @@ def pseudonymise(docs: DataFrame, key: str, count: str | None = None) -> DataFra
     escaped = F.replace(F.replace(F.col("text"), _text(_ESCAPE), _text(_ESCAPE + ":")), _text(_MARK), _text(_ESCAPE + ";"))
     safe = F.when(F.col("text").rlike(f"[{_MARK}{_ESCAPE}]"), escaped).otherwise(F.col("text"))
     # A literal of Java's replacement syntax: $0 is the whole match.
-    split = F.split(F.regexp_replace(safe, _ANY, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    marked = docs.withColumn(parts, split)
-    sealed = F.transform(F.col(parts), lambda p, i: F.when(F.pmod(i, F.lit(2)) == 1, _pseudonym(p, key)).otherwise(p))
+    split = lambda s, pattern: F.split(F.regexp_replace(s, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    odd = lambda i: F.pmod(i, F.lit(2)) == 1
+    with_cards = lambda p: F.split(F.array_join(F.transform(split(p, _RUN), lambda r, i: F.when(odd(i), _cards_marked(r)).otherwise(r)), ""), _MARK, -1)
+    # A piece between values becomes an odd number of pieces, so that values stay at odd places.
+    pieces = F.transform(split(safe, _ANY), lambda p, i: F.when(~odd(i) & p.rlike(_RUN), with_cards(p)).otherwise(F.array(p)))
+    marked = docs.withColumn(parts, F.flatten(pieces))
+    sealed = F.transform(F.col(parts), lambda p, i: F.when(odd(i), _pseudonym(p, key)).otherwise(p))
     out = marked.withColumn(found, F.when(F.size(parts) > 1, sealed))
     joined = F.array_join(F.col(found), "")
     joined = F.when(joined.contains(_ESCAPE), F.replace(F.replace(joined, _text(_ESCAPE + ";"), _text(_MARK)), _text(_ESCAPE + ":"), _text(_ESCAPE))).otherwise(joined)

@@ -1,19 +1,23 @@
 """Language-model scores by online logistic context mixing.
 
-A text is a sequence of words and one end. Each token is a path of binary decisions in a Huffman tree over the HEAD
-commonest words, the end, and an escape. A word behind the escape is drawn from two sources, weighted as often as
-training met a new word there: the counts of the other training words, or its spelling in bytes of eight decisions.
-
-For a token's decision three predictors look up how often the bit was one: at the tree's node alone, with the word
-before, with the two words before (hashed into tables of fixed size, filled from all training documents). Their
-log-odds are mixed by weights from a set that is chosen by how much the two longer contexts have been seen; after each
-bit the weights move against the error, and a small adaptive table refines the result. Weights and refinement start
-anew every SEGMENT tokens, while contexts go on, so a text of any length is scored in parallel steps. Spelling mixes
-one to six bytes before in the same way, with weights that stay; it learns each different word once.
+A text is a sequence of words and one end. Each token is a path of binary decisions in a Huffman tree whose leaves are
+the HEAD commonest words, the end, and groups of all other words by their first two bytes. Within its group a word is
+drawn from two sources, weighted as often as training met a new word there: the counts of the group's training words, or
+its spelling in bytes of eight decisions. A group that training never met is spelled from the first byte.
+
+For a token's decision four predictors tell the chance of a one: at the tree's node alone; with the last of the
+commonest words (which tells languages and kinds of text apart); with the word before (hashed into a table whose size
+follows the training tokens up to 2^MOST_BITS slots); and with what the text itself has had at this node so far. Each is
+smoothed by the one before. Their log-odds are mixed by weights from a set that is chosen by how much the last two have
+been seen, and a small adaptive table refines the result. Weights, refinement and the text's own counts are learnt
+online and go on through the whole text: all decisions of BLOCK tokens take what the blocks before them have taught,
+then move it against their error together, so the texts of a batch are scored side by side.
+
+What training counts, in all its documents, reaches the driver as tables of bounded size; the counts of words, which are
+not bounded, stay in a saved table that words outside the BASE_HEAD commonest are joined to.
 
 The probability of the text is the product over all decisions. Beside it stands the base score, the exact add-one
-unigram model over all training tokens: the commonest words' counts (BASE_HEAD of them at most) are broadcast, and all
-other words are joined to the table of counts.
+unigram model over all training tokens.
 """
 
 from __future__ import annotations
@@ -21,287 +25,423 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-from dataclasses import dataclass, field
+import re
+from dataclasses import InitVar, dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, saved, utf8
 
-HEAD, BASE_HEAD = 2046, 300_000
-#: Bits of a slot in each table: three of tokens' decisions, then one for each of ORDERS.
-TABLE_BITS = (18, 18, 18, 18, 18, 20, 20, 20)
-OFFSETS = [0, *itertools.accumulate(1 << b for b in TABLE_BITS)]
-#: Texts are taken in parts of about so many bytes, which bounds a worker's memory.
-PART = 3 << 19
-#: Hash classes of words outside the head, as contexts.
-CLASSES = 1024
-SEGMENT = 256
-RATE, REFINE, LIMIT = 0.1, 0.03, 12.0
+HEAD, BASE_HEAD = 8192, 300_000
+#: Texts are taken in parts of about so many bytes, long texts split into words so many bytes at a time, and decisions
+#: made of so many tokens at a time, which bounds a worker's memory.
+PART, TOKENS = 3 << 19, 1 << 18
+#: The commonest words that serve as contexts, and the last of these, which stands for none yet.
+CLASSES = 64
+#: Nodes, the heaviest first, that are told apart with a class; nodes of which a text's own counts are kept.
+NODES, OWN = 16_384, 512
+LEAST_BITS, MOST_BITS = 16, 22
+BLOCK = 8
+RATE, STILL, LIMIT = 0.6, np.float32(20), np.float32(11)
 BUCKETS = 24
-PRIOR, SPELL_PRIOR = np.float32(4), np.float32(4)
-#: Bytes before the one that is spelled.
+#: How much the predictor before counts in each one.
+PRIORS = (np.float32(2), np.float32(2), np.float32(8))
+#: Where the weights begin, in the predictors' order.
+WEIGHTS = (0.0, 0.3, 0.4, 0.4)
+#: Bytes before the one that is spelled, the bits of each table, and how each counts.
 ORDERS = (1, 2, 3, 4, 6)
-#: Where the weights begin, shortest context first.
-WEIGHTS, SPELL_WEIGHTS = (0.0, 0.4, 0.6), (0.0, 0.0, 0.2, 0.4, 0.5)
-_STOP = 0x20  #: ends a spelled word; no word contains it
+SPELL_BITS = (16, 18, 20, 20, 20)
+SPELL_WEIGHTS, SPELL_PRIOR = (0.0, 0.1, 0.3, 0.4, 0.3), np.float32(4)
+#: Slots of a piece of a table on its way.
+PIECE = 1 << 12
+_FLOOR = np.float32(1e-5)
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return text.translate(LOWER).split() if text else []
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def tokens(text: bytes | None):
+    """Lists of words: one, or for a long text one for each PART bytes and what is left of the last word."""
+    start, size = 0, len(text or b"")
+    while start < size:
+        gap = _GAP.search(text, start + PART) if start + PART < size else None
+        stop = gap.start() if gap else size
+        yield text[start:stop].translate(LOWER).split()
+        start = stop
+
+
+def prefix(word: bytes) -> bytes:
+    """What a word's group is known by."""
+    return (word + b" ")[:2]
+
+
+# ---- counts, in tables
+
+
+def _steps_of_counts() -> np.ndarray:
+    """What the 256 codes of a count stand for: exact up to 47, then in steps of a fifteenth, to 2^25."""
+    return np.concatenate([np.arange(48), 48 * np.exp(np.arange(1, 209) * (math.log(2**25 / 48) / 208))])
+
+
+_COUNTS = _steps_of_counts()
+
+
+def _decoded() -> np.ndarray:
+    """(zeros, ones) of both codes of a slot, as one number each."""
+    pair = np.zeros(1 << 16, np.complex64)
+    both = np.arange(1 << 16, dtype=np.uint16).view(np.uint8).reshape(-1, 2)
+    pair.real, pair.imag = _COUNTS[both[:, 0]], _COUNTS[both[:, 1]]
+    return pair
+
+
+_PAIRS = _decoded()
+
 
+def _pieces(table: np.ndarray, at: int):
+    """Pieces of a table of (zeros, ones) that hold any, numbered from slot at on."""
+    rows = table.reshape(-1, PIECE * 2)
+    n = np.flatnonzero(rows.any(axis=1))
+    for k in range(0, len(n), 256):
+        blobs = [pa.compress(rows[i].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) for i in n[k : k + 256].tolist()]
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(n[k : k + 256] + at // PIECE, pa.int32()), "counts": pa.array(blobs, pa.binary())})
 
-def _chances(counts: list[np.ndarray], slots: list[np.ndarray], prior: np.float32) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The chance of a one in each table, from the shortest context to the longest, and how often each was seen."""
-    out, seen, p = [], [], np.float32(0.5)
-    for k, (count, slot) in enumerate(zip(counts, slots, strict=True)):
-        pair = count.view(np.complex64)[:, 0].take(slot)  # zeros and ones in one look-up
-        n = pair.real + pair.imag
-        own = prior if k else np.float32(0.8)
-        p = (pair.imag + own * p) / (n + own)
-        out.append(p)
-        seen.append(n)
-    return out, seen
 
+def _totals(pieces: DataFrame) -> DataFrame:
+    """One coded piece for all of the same number."""
 
-def _seen(n: np.ndarray) -> np.ndarray:
-    """How much a context has been seen, from 0 to 3."""
-    return (n >= 1).astype(np.int64) + (n >= 4) + (n >= 32)
+    def run(batches):
+        now, total = None, None
+
+        def coded():
+            codes = np.searchsorted(_COUNTS, total * (1 + 1e-9), side="right") - 1
+            return pa.RecordBatch.from_pydict({"piece": pa.array([now], pa.int32()), "codes": pa.array([codes.astype(np.uint8).tobytes()], pa.binary())})
+
+        for batch in batches:
+            for piece, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if piece != now:
+                    if now is not None:
+                        yield coded()
+                    now, total = piece, np.zeros(PIECE * 2, np.int64)
+                raw = pa.decompress(blob, decompressed_size=PIECE * 8, codec="zstd", asbytes=True)
+                total += np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0]
+        if now is not None:
+            yield coded()
+
+    return pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "piece int, codes binary")
+
+
+# ---- the tree
 
 
 @dataclass
 class Tree:
-    """Huffman codes of the head (numbers 0 to len(words) - 1), then the end, then the escape."""
+    """Leaves: the head's words, then the end, then what no group holds, then groups."""
 
     words: list[bytes]
-    offset: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    nodes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    bits: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    groups: dict[bytes, int]  #: prefix to leaf
+    offset: np.ndarray
+    nodes: np.ndarray  #: numbered from the heaviest on
+    bits: np.ndarray
+    chance: np.ndarray  #: of a one, at each node
+
+    @property
+    def end(self) -> int:
+        return len(self.words)
 
     @classmethod
-    def build(cls, words: list[bytes], counts: list[int], ends: int, escapes: int) -> Tree:
-        weights = [*counts, ends, escapes]
-        heap = [(max(1, w), i, None) for i, w in enumerate(weights)]
+    def build(cls, words: list[bytes], counts: list[int], ends: int, groups: dict[bytes, int]) -> Tree:
+        weights = [max(1, w) for w in (*counts, ends, 1, *groups.values())]
+        n = len(weights)
+        heap = list(zip(weights, range(n), strict=True))
         heapq.heapify(heap)
-        serial, inner = len(heap), {}
-        while len(heap) > 1:
+        up, side = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8)
+        for inner in range(n, 2 * n - 1):
             a, b = heapq.heappop(heap), heapq.heappop(heap)
-            inner[serial] = (a[1], b[1])
-            heapq.heappush(heap, (a[0] + b[0], serial, None))
-            serial += 1
-        paths: dict[int, list[tuple[int, int]]] = {}
-        stack = [(heap[0][1], [])]
-        while stack:
-            at, path = stack.pop()
-            if at < len(weights):
-                paths[at] = path
-            else:
-                stack += [(child, [*path, (at - len(weights), bit)]) for bit, child in enumerate(inner[at])]
-        steps = [paths[i] for i in range(len(weights))]
-        return cls(words, np.cumsum([0, *map(len, steps)]), np.array([n for p in steps for n, _ in p], np.int64), np.array([b for p in steps for _, b in p], np.uint8))
+            up[a[1]] = up[b[1]] = inner
+            side[b[1]] = 1
+            weights.append(a[0] + b[0])
+            heapq.heappush(heap, (a[0] + b[0], inner))
+        root, w = 2 * n - 2, np.array(weights)
+        number = np.zeros(2 * n, np.int64)
+        number[n + np.argsort(-w[n:], kind="stable")] = np.arange(n - 1)
+        # From all leaves upwards at once.
+        leaf, at, depth = np.arange(n), np.arange(n), 0
+        found = []
+        while len(leaf):
+            going = at != root
+            leaf, at = leaf[going], at[going]
+            found.append((leaf, np.full(len(leaf), depth), number[up[at]], side[at]))
+            at, depth = up[at], depth + 1
+        leaf, depth, nodes, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-depth, leaf))
+        leaf, nodes, bits = leaf[order], nodes[order], bits[order]
+        own = w[:n][leaf]
+        ones, all_ = np.bincount(nodes[bits == 1], own[bits == 1], minlength=n - 1), np.bincount(nodes, own, minlength=n - 1)
+        offset = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n))])
+        return cls(words, dict(zip(groups, range(len(words) + 2, n), strict=True)), offset, nodes.astype(np.int32), bits, ((ones + 0.4) / (all_ + 0.8)).astype(np.float32))
+
+    def leaf(self, word: bytes) -> int:
+        """The leaf of a word that isn't in the head."""
+        return self.groups.get(prefix(word), self.end + 1)
+
+
+class Numbers(dict):
+    """Words to numbers; a new word gets the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 @dataclass
 class Batch:
-    """Tokens of some texts: numbers (head, then other words), text by text, each with its end."""
+    """Tokens of some texts: numbers (of the words given first, then of other words), text by text, each with its end."""
 
     ids: np.ndarray
     doc: np.ndarray
     others: list[bytes]
-    words: list[bytes]
-
-
-class Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
 
 
-def numbered(tree: Tree, texts: list[bytes | None]) -> Batch:
-    """The head keeps its numbers; the end has len(head), the escape is skipped, other words follow."""
-    number = Numbers(zip(tree.words, range(len(tree.words)), strict=True))
-    end = len(number)
-    number[b" end"], number[b" escape"] = end, end + 1
+def numbered(known: Numbers, texts: list[bytes | None]) -> Batch:
+    """known is as before afterwards. The end's word is a space."""
+    size, end = len(known), known[b" "]
     flat, lengths = [], []
     for text in texts:
-        w = tokens(text)
-        flat.extend(map(number.__getitem__, w))
-        flat.append(end)
-        lengths.append(len(w) + 1)
-    words = list(number)
-    return Batch(np.array(flat, np.int64), np.repeat(np.arange(len(texts)), lengths), words[end + 2 :], words)
-
-
-def decisions(tree: Tree, batch: Batch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of every decision: its token's place, its bit, and its slots in the three tables."""
-    end = len(tree.words)
-    symbol = np.minimum(batch.ids, end + 1)
-    classes = np.arange(end + 2 + len(batch.others))
-    if batch.others:
-        classes[end + 2 :] = end + 2 + np.fromiter((xxhash.xxh32_intdigest(w) % CLASSES for w in batch.others), np.int64, len(batch.others))
-    context = classes[batch.ids]
-    first = np.concatenate([[True], batch.doc[1:] != batch.doc[:-1]]) if len(batch.doc) else np.zeros(0, bool)
-    one = np.where(first, end, np.roll(context, 1))
-    second = first | np.roll(first, 1)
-    two = np.where(second, end, np.roll(context, 2))
-    n = tree.offset[symbol + 1] - tree.offset[symbol]
-    token = np.repeat(np.arange(len(symbol)), n)
-    at = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(tree.offset[symbol], n)
-    node, bit = tree.nodes[at], tree.bits[at]
-    key = node.astype(np.uint64) + np.uint64(1)
-    a = (key * np.uint64(0x9E3779B97F4A7C15)) ^ ((one[token].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-    b = a ^ ((two[token].astype(np.uint64) + np.uint64(7)) * np.uint64(0x165667B19E3779F9))
-    slots = [node]
-    for h, bits in ((a, TABLE_BITS[1]), (b, TABLE_BITS[2])):
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        slots.append((h >> np.uint64(64 - bits)).astype(np.int64))
-    return token, bit, slots
-
-
-def _bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte to spell with the six before it, as one number; and its word."""
+        n = 1
+        for words in tokens(text):
+            flat.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+            n += len(words)
+        flat.append(np.array([end], np.int32))
+        lengths.append(n)
+    others = list(itertools.islice(reversed(known), len(known) - size))[::-1]
+    for w in others:
+        del known[w]
+    return Batch(np.concatenate([np.zeros(0, np.int32), *flat]), np.repeat(np.arange(len(texts), dtype=np.int32), lengths), others)
+
+
+def contexts(leaf: np.ndarray, doc: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every token: the last of the commonest words before it in its text, and the leaf before it (at first the end)."""
+    n = len(leaf)
+    place = np.arange(n)
+    begin = np.searchsorted(doc, doc)
+    last = np.maximum.accumulate(np.where(leaf < min(CLASSES - 1, end), place, -1))
+    last = np.concatenate([[-1], last[:-1]])
+    before = np.concatenate([[end], leaf[:-1]])
+    return np.where(last >= begin, leaf[np.maximum(last, 0)], CLASSES - 1), np.where(place == begin, end, before)
+
+
+def decisions(tree: Tree, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every decision: its token's place, its node and its bit."""
+    n = (tree.offset[1:] - tree.offset[:-1])[leaf]
+    token = np.repeat(np.arange(len(leaf), dtype=np.int32), n)
+    at = np.arange(len(token)) + np.repeat(tree.offset[leaf] - (np.cumsum(n) - n), n)
+    return token, tree.nodes.take(at), tree.bits.take(at)
+
+
+def slots(last: np.ndarray, before: np.ndarray, token: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every decision, its slot with the class and its slot with the word before, in one row of tables."""
+    a = (last.astype(np.int32) * NODES).take(token) + np.minimum(node, NODES - 1)
+    mixed = ((before + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).take(token) ^ (node + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    return a, (mixed >> np.uint64(64 - bits)).astype(np.int32) + CLASSES * NODES
+
+
+# ---- spelling
+
+
+def _bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each byte to spell with the six before it, as one number; its word; and its place in it. A space ends a word."""
     pad = max(ORDERS)
     s = np.frombuffer(b"".join(b" " * pad + w + b" " for w in words), np.uint8).astype(np.uint64)
-    n = np.array([len(w) + 1 for w in words])
+    n = np.array([len(w) + 1 for w in words], np.int64)
     word = np.repeat(np.arange(len(words)), n)
     at = np.arange(n.sum()) + pad * (word + 1)
     gram = np.zeros(len(at), np.uint64)
     for k in range(pad, -1, -1):
         gram = gram << np.uint64(8) | s[at - k]
-    return gram, word
+    return gram, word, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+
+
+_SPELL_AT = [0, *itertools.accumulate(1 << b for b in SPELL_BITS)]
 
 
 def _spelled(grams: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Slots (a table for each of ORDERS) and bits of the eight decisions of each gram's last byte."""
+    """Slots (for each of ORDERS, in one row of tables) and bits of the eight decisions of each gram's last byte."""
     byte = grams & np.uint64(255)
     bits = (byte[:, None] >> np.arange(7, -1, -1, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
     node = (byte | np.uint64(256))[:, None] >> np.arange(8, 0, -1, dtype=np.uint64)
-    slots = []
-    for order, table in zip(ORDERS, TABLE_BITS[3:], strict=True):
+    out = []
+    for order, table, at in zip(ORDERS, SPELL_BITS, _SPELL_AT, strict=False):
         context = grams >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
         h = (context * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(order))[:, None] ^ node * np.uint64(0x9E3779B97F4A7C15)
-        slots.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - table)).astype(np.int64))
-    return slots, bits
+        out.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - table)).astype(np.int64) + at)
+    return out, bits
+
+
+def _odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, _FLOOR, 1 - _FLOOR)
+    return np.log(p / (1 - p))
+
+
+class State:
+    """What each text has taught so far: its own counts by node, weights by gate, and the refinement."""
+
+    def __init__(self, texts: int):
+        self.own = np.zeros(texts * (OWN + 1), np.complex64)
+        self.weights = np.tile(np.array(WEIGHTS, np.float32), (16 * texts, 1))
+        self.refined = np.tile((1 / (1 + np.exp(-np.linspace(-6, 6, BUCKETS)))).astype(np.float32), texts)
 
 
 @dataclass
 class Model:
     tree: Tree
-    counts: dict[bytes, int]  #: of the base head
-    ends: int
+    counts: InitVar[dict[bytes, int]]  #: of the base head, the end among them
     total: int
     distinct: int
-    other: int  #: training tokens outside the head, and different words of them
-    other_words: int
-    bits: list[np.ndarray]  #: (zeros, ones) by slot: three tables of tokens' decisions, then those of spelling
-
-    def spell(self, words: list[bytes]) -> np.ndarray:
-        """Natural log-probability of each word's spelling."""
-        grams, word = _bytes(words)
+    drawn: np.ndarray  #: training tokens of each leaf's group, zero for others
+    kinds: np.ndarray  #: different words of these
+    bits: int  #: of the table with the word before
+    table: np.ndarray  #: coded counts: with the class, with the word before
+    spelling: np.ndarray  #: coded counts of spelling
+
+    def __post_init__(self, counts: dict[bytes, int]):
+        tree = self.tree
+        words = list(dict.fromkeys([*tree.words, b" ", *counts]))
+        self.known = Numbers(zip(words, range(len(words)), strict=True))
+        n = len(tree.words) + 1
+        self.leaf_of = np.concatenate([np.arange(n), np.fromiter(map(tree.leaf, words[n:]), np.int64, len(words) - n)]).astype(np.int64)
+        self.count_of = np.fromiter((counts.get(w, 0) for w in words), np.float64, len(words))
+        # Within its group, a word of the base head is as good as drawn by its count: its spelling would add next to nothing.
+        of = self.leaf_of[n:]
+        self.log_of = np.concatenate([np.zeros(n), np.log10(self.count_of[n:] / (self.drawn[of] + self.kinds[of]))])
+
+    def spell(self, words: list[bytes], skip: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each word's spelling, from the byte at place skip on."""
+        grams, word, place = _bytes(words)
+        keep = place >= skip[word]
+        grams, word = grams[keep], word[keep]
         different, inverse = np.unique(grams, return_inverse=True)
         score = np.empty(len(different))
-        for k in range(0, len(different), 100_000):
-            slots, bits = _spelled(different[k : k + 100_000])
-            p, _ = _chances(self.bits[3:], slots, SPELL_PRIOR)
-            x = sum(w * np.log(q / (1 - q)) for w, q in zip(SPELL_WEIGHTS, (np.clip(q, 1e-6, 1 - 1e-6) for q in p), strict=True))
-            x = np.clip(x, -LIMIT, LIMIT)
-            score[k : k + 100_000] = -np.logaddexp(0, np.where(bits == 1, -x, x)).sum(axis=1)
-        return np.bincount(word, score[inverse], minlength=len(words))
-
-    def mix(self, batch: Batch) -> np.ndarray:
-        """Natural log-probability of each token's decisions."""
-        token, bit, slots = decisions(self.tree, batch)
-        chances, n = _chances(self.bits[:3], slots, PRIOR)
-        p = np.clip(np.stack(chances), 1e-6, 1 - 1e-6)
-        inputs = np.log(p / (1 - p))
-        gate = _seen(n[1]) * 4 + _seen(n[2])
-        # Segments: runs of SEGMENT tokens of a text; all take their t-th step together, the longest first, so what a
-        # step needs lies in one piece.
-        begin = np.flatnonzero(np.concatenate([[True], batch.doc[1:] != batch.doc[:-1]]))
-        place = np.arange(len(batch.ids)) - np.repeat(begin, np.diff([*begin, len(batch.ids)]))
-        new = (place % SEGMENT == 0)[token] & np.concatenate([[True], token[1:] != token[:-1]])
-        start = np.flatnonzero(new)
-        length = np.diff([*start, len(token)])
-        rank = np.empty(len(start), np.int64)
-        rank[np.argsort(-length, kind="stable")] = np.arange(len(start))
-        step = np.arange(len(token)) - np.repeat(start, length)
-        rank_of = np.repeat(rank, length)
-        active = np.bincount(step)
-        first = np.cumsum(active) - active
-        to = first[step] + rank_of
-        x = np.empty((3, len(token)), np.float32)
-        x[:, to] = inputs
-        y, g, final = np.empty(len(token), np.float32), np.empty(len(token), np.int64), np.empty(len(token), np.float32)
-        y[to], g[to] = bit, gate + 16 * rank_of
-        weights = [np.full(16 * len(start), w, np.float32) for w in WEIGHTS]
-        refined = np.tile((1 / (1 + np.exp(-np.linspace(-6, 6, BUCKETS)))).astype(np.float32), len(start))
-        own = np.arange(len(start)) * BUCKETS
-        for f, n in zip(first.tolist(), active.tolist(), strict=True):
-            at = slice(f, f + n)
-            i, bits = g[at], y[at]
-            w = [v.take(i) for v in weights]
-            z = w[0] * x[0, at] + w[1] * x[1, at] + w[2] * x[2, at]
-            p = 1 / (1 + np.exp(np.clip(-z, -LIMIT, LIMIT)))
-            k = np.clip((z + 6) * ((BUCKETS - 1) / 12) + 0.5, 0, BUCKETS - 1).astype(np.int64) + own[:n]
-            q = refined.take(k)
-            final[at] = 0.75 * p + 0.25 * q
-            error = RATE * (bits - p)
-            for j in range(3):
-                weights[j][i] = w[j] + error * x[j, at]
-            refined[k] = q + REFINE * (bits - q)
-        final = np.clip(final, 1e-6, 1 - 1e-6)
-        loss = np.log(np.where(y == 1, final, 1 - final))[to]
-        return np.bincount(token, loss, minlength=len(batch.ids))
+        for k in range(0, len(different), 50_000):
+            at, bits = _spelled(different[k : k + 50_000])
+            p, z = np.float32(0.5), np.float32(0)
+            for j, (slot, w) in enumerate(zip(at, SPELL_WEIGHTS, strict=True)):
+                pair = _PAIRS.take(self.spelling.take(slot))
+                own = SPELL_PRIOR if j else np.float32(0.8)
+                p = (pair.imag + own * p) / (pair.real + pair.imag + own)
+                z = z + np.float32(w) * _odds(p)
+            z = np.clip(z, -LIMIT, LIMIT)
+            score[k : k + 50_000] = -np.logaddexp(0, np.where(bits == 1, -z, z)).sum(axis=1)
+        return np.bincount(word, score[inverse], minlength=len(words)) / math.log(10)
+
+    def mix(self, leaf: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token's decisions."""
+        if not len(leaf):
+            return np.zeros(0)
+        n_docs = int(doc[-1]) + 1
+        last, before = contexts(leaf, doc, self.tree.end)
+        # Blocks of all texts side by side, the longest texts first, so that a step has all its decisions in one piece.
+        length = np.bincount(doc, minlength=n_docs)
+        rank = np.empty(n_docs, np.int64)
+        rank[np.argsort(-length, kind="stable")] = np.arange(n_docs)
+        block = (np.arange(len(leaf)) - np.searchsorted(doc, doc)) // BLOCK
+        order = np.argsort(block * n_docs + rank[doc], kind="stable")
+        row, block = rank[doc][order].astype(np.int32), block[order]
+        leaf, last, before = leaf[order], last[order], before[order]
+        state = State(n_docs)
+        log_p = np.empty(len(leaf))
+        # Whole steps, of about TOKENS tokens together.
+        edges = np.searchsorted(block, np.arange(block[-1] + 2))
+        at = 0
+        while at < len(edges) - 1:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + TOKENS, side="right")) - 1)
+            some = slice(edges[at], edges[to])
+            log_p[some] = self._steps(state, leaf[some], last[some], before[some], row[some], edges[at : to + 1] - edges[at])
+            at = to
+        out = np.empty(len(leaf))
+        out[order] = log_p
+        return out
+
+    def _steps(self, state: State, leaf: np.ndarray, last: np.ndarray, before: np.ndarray, row: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token's decisions; edges: where each step's tokens begin."""
+        token, node, bit = decisions(self.tree, leaf)
+        p = self.tree.chance.take(node)
+        x = np.empty((len(token), 4), np.float32)
+        x[:, 0] = _odds(p)
+        gate = (row * 16).take(token)
+        for k, slot in enumerate(slots(last, before, token, node, self.bits)):
+            pair = _PAIRS.take(self.table.take(slot))
+            n = pair.real + pair.imag
+            p = (pair.imag + PRIORS[k] * p) / (n + PRIORS[k])
+            x[:, k + 1] = _odds(p)
+        gate += 4 * ((n >= 1).astype(np.int32) + (n >= 8) + (n >= 64))
+        own_at = (row * (OWN + 1)).take(token) + np.minimum(node, OWN)
+        bucket_of = (row * BUCKETS).take(token)
+        own, weights, refined = state.own, state.weights, state.refined
+        y = bit.astype(np.float32)
+        final = np.empty(len(token), np.float32)
+        for f, t in itertools.pairwise(np.searchsorted(token, edges).tolist()):
+            texts = int(row[token[t - 1]]) + 1
+            i, bits, v = own_at[f:t], y[f:t], x[f:t]
+            seen = own.take(i)
+            n = seen.real + seen.imag
+            v[:, 3] = _odds((seen.imag + PRIORS[2] * p[f:t]) / (n + PRIORS[2]))
+            g = gate[f:t] + (n >= 1) + (n >= 8) + (n >= 64)
+            z = np.clip(np.einsum("ij,ij->i", v, weights.take(g, axis=0)), -LIMIT, LIMIT)
+            q = 1 / (1 + np.exp(-z))
+            bucket = bucket_of[f:t] + np.clip((z + 6) * ((BUCKETS - 1) / 12) + 0.5, 0, BUCKETS - 1).astype(np.int32)
+            r = refined.take(bucket)
+            final[f:t] = np.where(bits == 1, 0.75 * q + 0.25 * r, 1 - 0.75 * q - 0.25 * r)
+            # Towards less error, at most as far as the curvature of all inputs together allows.
+            error = bits - q
+            steep = np.bincount(g, q * (1 - q) * np.einsum("ij,ij->i", v, v), minlength=16 * texts) + STILL
+            for j in range(4):
+                weights[: 16 * texts, j] += RATE * np.bincount(g, error * v[:, j], minlength=16 * texts) / steep
+            k = np.bincount(bucket, minlength=BUCKETS * texts)
+            refined[: BUCKETS * texts] += np.bincount(bucket, bits - r, minlength=BUCKETS * texts) / (k + STILL)
+            size = texts * (OWN + 1)
+            own.real[:size] += np.bincount(i, 1 - bits, minlength=size)
+            own.imag[:size] += np.bincount(i, bits, minlength=size)
+            own[OWN : size : OWN + 1] = 0
+        return np.bincount(token, np.log10(np.maximum(final, _FLOOR)), minlength=len(leaf))
 
     def score(self, texts: list[bytes | None]) -> dict[str, list]:
-        batch = numbered(self.tree, texts)
-        n = np.bincount(batch.doc, minlength=len(texts))
-        log_p = self.mix(batch)
-        end = len(self.tree.words)
-        known = np.array([self.counts.get(w, -1) for w in batch.words])
-        known[end], known[end + 1] = self.ends if self.ends else -1, -1
-        # Behind the escape: a word of the base head is settled here, by its count alone (its spelling would add next
-        # to nothing), any other by the join.
-        spelled, drawn = np.zeros(len(batch.words)), np.zeros(len(batch.words))
-        strange = np.flatnonzero(known < 0)
-        strange = strange[strange > end + 1]
-        if len(strange):
-            spelled[strange] = self.spell([batch.words[i] for i in strange.tolist()]) / math.log(10)
-        drawn[known > 0] = np.log10(self.old * known[known > 0]) if self.old else 0
-        drawn[: end + 2] = 0
-        c = known[batch.ids]
-        local = np.where((c >= 0) | (batch.ids <= end + 1), drawn[batch.ids], 0)
-        left = np.flatnonzero((c < 0) & (batch.ids != end))
-        pair, times = np.unique(np.stack([batch.doc[left], batch.ids[left]]), axis=1, return_counts=True) if len(left) else (np.zeros((2, 0), np.int64), [])
+        known, end = len(self.known), self.tree.end
+        batch = numbered(self.known, texts)
+        leaves = np.concatenate([self.leaf_of, np.fromiter(map(self.tree.leaf, batch.others), np.int64, len(batch.others))])
+        log_p = self.mix(leaves[batch.ids], batch.doc)
+        new = batch.ids >= known
+        base = np.minimum(batch.ids, known - 1)
+        c = np.where(new, 0, self.count_of[base])
+        local = np.where(new, 0, self.log_of[base])
+        size = len(texts)
         rest: list[list] = [[] for _ in texts]
-        for d, i, m in zip(*pair.tolist(), list(times), strict=True):
-            rest[d].append({"word": batch.words[i], "times": int(m), "spelled": float(spelled[i])})
+        if len(batch.others):
+            of = leaves[known:]
+            spelled = self.spell(batch.others, np.where(of == end + 1, 0, np.fromiter((min(2, len(w) + 1) for w in batch.others), np.int64, len(batch.others)))).tolist()
+            one = 1 / np.maximum(1, self.drawn[of] + self.kinds[of])
+            old, fresh = (one * (self.drawn[of] > 0)).tolist(), np.where(self.drawn[of] > 0, one * self.kinds[of], 1).tolist()
+            pair, times = np.unique(batch.doc[new].astype(np.int64) * len(batch.others) + batch.ids[new] - known, return_counts=True)
+            for d, i, m in zip((pair // len(batch.others)).tolist(), (pair % len(batch.others)).tolist(), times.tolist(), strict=True):
+                rest[d].append({"word": batch.others[i], "times": m, "spelled": spelled[i], "old": old[i], "new": fresh[i]})
+        total = lambda x: np.bincount(batch.doc, x, minlength=size)
         return {
-            "n_tokens": n.tolist(),
-            "n_head": np.bincount(batch.doc, c >= 0, minlength=len(texts)).astype(np.int64).tolist(),
-            "log_head": np.bincount(batch.doc, np.log10(np.maximum(c, 0) + 1.0), minlength=len(texts)).tolist(),
-            "score": (np.bincount(batch.doc, log_p / math.log(10) + local, minlength=len(texts))).tolist(),
+            "n_tokens": total(None).tolist(),
+            "n_head": total(c > 0).astype(np.int64).tolist(),
+            "log_head": total(np.where(new, 0, np.log10(c + 1))).tolist(),
+            "score": total(log_p + local).tolist(),
             "rest": rest,
         }
 
-    @property
-    def old(self) -> float:
-        """What a count of one is worth behind the escape: the chance of a known word, shared out by counts."""
-        return 1 / (self.other + self.other_words) if self.other else 0.0
-
-    @property
-    def new(self) -> float:
-        """The chance of a new word behind the escape."""
-        return self.other_words / (self.other + self.other_words) if self.other else 1.0
-
 
 def _parts(batch: pa.RecordBatch, column: int, size: int = PART):
     """Slices of batch of about size bytes of text. A larger text is a slice of its own."""
@@ -332,8 +472,9 @@ def _word_counts(training: DataFrame) -> DataFrame:
         for batch in batches:
             for text in utf8(batch.column(0)):
                 found[b" "] = found.get(b" ", 0) + 1
-                for w in tokens(text):
-                    found[w] = found.get(w, 0) + 1
+                for words in tokens(text):
+                    for w in words:
+                        found[w] = found.get(w, 0) + 1
             if len(found) > 400_000:
                 yield from flush()
         yield from flush()
@@ -341,77 +482,103 @@ def _word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _tables(rows: DataFrame) -> list[np.ndarray]:
-    """Sums of (slot, n0, n1), a table each; the tables' size bounds them whatever the rows."""
-    table = rows.groupBy("slot").agg(*[F.sum(n).cast("float").alias(n) for n in ("n0", "n1")]).toArrow()
-    out = np.zeros((OFFSETS[-1], 2), np.float32)
-    at = table.column("slot").to_numpy()
-    out[at, 0], out[at, 1] = table.column("n0").to_numpy(), table.column("n1").to_numpy()
-    return [out[a:b].copy() for a, b in itertools.pairwise(OFFSETS)]
-
-
 def _fewer(rows: DataFrame) -> DataFrame:
     """A fourth of the partitions: each sends tables of the same size, however few its words."""
     return rows.coalesce(max(1, rows.rdd.getNumPartitions() // 4))
 
 
-_SLOTS = "slot int, n0 long, n1 long"
+class Counter:
+    """Counts (zeros, ones) by slot. Decisions are gathered and counted many at a time."""
 
+    def __init__(self, size: int):
+        self.table, self.waiting, self.held = np.zeros(size * 2, np.uint32), [], 0
 
-def _emit(total: np.ndarray, base: int):
-    at = np.flatnonzero(total.any(axis=1))
-    for k in range(0, len(at), 100_000):
-        part = at[k : k + 100_000]
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(part + base, pa.int32()), "n0": pa.array(total[part, 0].astype(np.int64)), "n1": pa.array(total[part, 1].astype(np.int64))})
+    def add(self, slot: np.ndarray, bit: np.ndarray) -> None:
+        self.waiting.append(slot.reshape(-1).astype(np.int32) * 2 + bit.reshape(-1))
+        self.held += slot.size
+        if self.held > 6_000_000:
+            self.count()
 
+    def count(self) -> None:
+        for some in self.waiting:
+            n = np.bincount(some)
+            self.table[: len(n)] += n.astype(np.uint32)
+        self.waiting, self.held = [], 0
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the table of all counts (word, c), from the documents that aren't held out."""
-    training = docs.select("doc_id", "text").filter(~held_out())
-    counts = saved(_word_counts(training), "counts")
+
+def _common(counts: DataFrame) -> tuple[dict[bytes, int], int, int]:
+    """The counts of the BASE_HEAD commonest words at most (all words of a level of counts, 64 levels a doubling, or none
+    of it), and tokens and different words in all."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
-    # At most 64 levels for each doubling of the count.
     levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("c").alias("c")).collect()
-    total, distinct, least, n = sum(r["c"] for r in levels), sum(r["words"] for r in levels), 1 << 30, 0
+    least, n = 1 << 30, 0
     for r in sorted(levels, key=lambda r: -r["level"]):
         if (n := n + r["words"]) > BASE_HEAD:
             break
         least = r["level"]
     head = {bytes(w): c for w, c in counts.filter(level >= least).collect()}
-    ends = counts.filter(F.col("word") == F.lit(b" ")).agg(F.sum("c")).first()[0] or 0
-    head.pop(b" ", None)
-    top = sorted(head.items(), key=lambda x: (-x[1], x[0]))[:HEAD]
-    tree = Tree.build([w for w, _ in top], [c for _, c in top], ends, total - ends - sum(c for _, c in top))
+    return head, sum(r["c"] for r in levels), sum(r["words"] for r in levels)
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model and the table of all counts (word, c), from the documents that aren't held out."""
+    training = docs.select("doc_id", "text").filter(~held_out())
+    counts = saved(_word_counts(training), "counts")
+    head, total, distinct = _common(counts)
+    end = F.lit(bytearray(b" "))
+    if b" " not in head and total:
+        head[b" "] = counts.filter(F.col("word") == end).agg(F.sum("c")).first()[0]
+    ends = head.get(b" ", 0)
+    top = sorted(((w, c) for w, c in head.items() if w != b" "), key=lambda x: (-x[1], x[0]))[:HEAD]
+    # At most 65,536 groups, whatever the words.
+    groups = {bytes(g): [c, n] for g, c, n in counts.filter(F.col("word") != end).groupBy(F.substring(F.concat("word", end), 1, 2).alias("g")).agg(F.sum("c"), F.count(F.lit(1))).collect()}
+    for w, c in top:
+        g = groups[prefix(w)]
+        g[0], g[1] = g[0] - c, g[1] - 1
+    groups = {g: groups[g] for g in sorted(groups) if groups[g][1]}
+    tree = Tree.build([w for w, _ in top], [c for _, c in top], ends, {g: c for g, (c, _) in groups.items()})
+    drawn, kinds = (np.concatenate([np.zeros(len(top) + 2), np.array([x[k] for x in groups.values()], float)]) for k in (0, 1))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(total).bit_length() + 2))
+    size = CLASSES * NODES + (1 << bits)
     sent = docs.sparkSession.sparkContext.broadcast(tree)
 
     def learn(batches):
-        tables = [np.zeros((1 << b, 2), np.int64) for b in TABLE_BITS[:3]]
+        tree, counter = sent.value, Counter(size)
+        known = Numbers(zip([*tree.words, b" "], range(len(tree.words) + 1), strict=True))
         for batch in batches:
             for part in _parts(batch, 0):
-                _, bit, slots = decisions(sent.value, numbered(sent.value, utf8(part.column(0))))
-                for table, slot in zip(tables, slots, strict=True):
-                    table += np.bincount(slot * 2 + bit, minlength=table.size).reshape(-1, 2)
-        for k, table in enumerate(tables):
-            yield from _emit(table, OFFSETS[k])
+                got = numbered(known, utf8(part.column(0)))
+                leaf = np.concatenate([np.arange(len(known)), np.fromiter(map(tree.leaf, got.others), np.int64, len(got.others))])[got.ids]
+                last, before = contexts(leaf, got.doc, tree.end)
+                for k in range(0, len(leaf), TOKENS):
+                    token, node, bit = decisions(tree, leaf[k : k + TOKENS])
+                    for slot in slots(last[k : k + TOKENS], before[k : k + TOKENS], token, node, bits):
+                        counter.add(slot, bit)
+        counter.count()
+        yield from _pieces(counter.table, 0)
 
     def learn_spelling(batches):
-        tables = [np.zeros((1 << b, 2), np.int64) for b in TABLE_BITS[3:]]
+        counter = Counter(_SPELL_AT[-1])
         for batch in batches:
             words = [w for w in batch.column(0).to_pylist() if w != b" "]
-            for k in range(0, len(words), 20_000):
-                different, times = np.unique(_bytes(words[k : k + 20_000])[0], return_counts=True)
-                slots, bits = _spelled(different)
-                for table, slot in zip(tables, slots, strict=True):
-                    table += np.bincount((slot * 2 + bits).reshape(-1), np.repeat(times, 8), minlength=table.size).reshape(-1, 2).astype(np.int64)
-        for k, table in enumerate(tables):
-            yield from _emit(table, OFFSETS[3 + k])
+            for k in range(0, len(words), 10_000):
+                at, bit = _spelled(_bytes(words[k : k + 10_000])[0])
+                for slot in at:
+                    counter.add(slot, bit)
+        counter.count()
+        yield from _pieces(counter.table, size)
 
-    tables = _tables(training.select("text").mapInArrow(learn, _SLOTS).unionByName(_fewer(counts.select("word")).mapInArrow(learn_spelling, _SLOTS)))
-    other = total - ends - sum(c for _, c in top)
-    return Model(tree, head, ends, total, distinct, other, distinct - bool(ends) - len(top), list(tables)), counts
+    shape = "piece int, counts binary"
+    learnt = training.select("text").mapInArrow(learn, shape).unionByName(_fewer(counts.select("word")).mapInArrow(learn_spelling, shape))
+    codes = np.zeros((size + _SPELL_AT[-1]) // PIECE * PIECE, np.uint16).reshape(-1, PIECE)
+    for piece, blob in zip(*(c.to_pylist() for c in _totals(learnt).toArrow().columns), strict=True):
+        codes[piece] = np.frombuffer(blob, np.uint16)
+    codes = codes.reshape(-1)
+    return Model(tree, head, total, distinct, drawn, kinds, bits, codes[:size].copy(), codes[size:].copy()), counts
 
 
-_SCORED = "rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_head long, log_head double, score double, rest array<struct<word:binary,times:int,spelled:double>>"
+_REST = "array<struct<word:binary,times:int,spelled:double,old:double,new:double>>"
+_SCORED = f"rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_head long, log_head double, score double, rest {_REST}"
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -419,13 +586,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     A null or empty text has its end as only token (bits_per_byte is null: there are no bytes). A null doc_id stays
     null and isn't held out; repeated rows give repeated results; without training documents base scores are 0 and
-    the model spells everything from even odds. Columns other than doc_id and text aren't looked at.
+    the model spells everything from even odds. Columns other than doc_id and text aren't looked at. Within its group a
+    word of the base head is scored by its count, without the chance that it had been spelled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         rid = TaskContext.get().partitionId() << 40
-        rest = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32()), ("spelled", pa.float64())]))
+        rest = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32()), ("spelled", pa.float64()), ("old", pa.float64()), ("new", pa.float64())]))
         for batch in batches:
             for part in _parts(batch, 2):
                 texts = utf8(part.column(2))
@@ -440,9 +608,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     scored = saved(rows.mapInArrow(run, _SCORED), "scored")
     c = F.coalesce("c", F.lit(0))
-    drawn = F.col("times") * F.log10(F.lit(model.old) * c + F.lit(model.new) * F.pow(F.lit(10.0), F.col("spelled")))
+    drawn = F.col("times") * F.log10(F.col("old") * c + F.col("new") * F.pow(F.lit(10.0), F.col("spelled")))
     # A chance too small for a double keeps the spelling's logarithm.
-    drawn = F.when(c > 0, drawn).otherwise(F.col("times") * (F.lit(math.log10(model.new) if model.new else -400.0) + F.col("spelled")))
+    drawn = F.when(c > 0, drawn).otherwise(F.col("times") * (F.log10("new") + F.col("spelled")))
     rest = scored.select("rid", F.inline("rest")).join(counts, "word", "left").groupBy("rid").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rest"), F.sum(F.col("times") * F.log10(c + 1)).alias("log_rest"), F.sum(drawn).alias("drawn"))
     base = F.col("log_head") + F.coalesce("log_rest", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.total + model.distinct + 1)
     whole = F.col("score") + F.coalesce("drawn", F.lit(0.0))

@@ -8,7 +8,7 @@ its spelling in bytes of eight decisions. A group that training never met is spe
 For a token's decision four predictors tell the chance of a one: at the tree's node alone; with the last of the
 commonest words (which tells languages and kinds of text apart); with the word before (hashed into a table whose size
 follows the training tokens up to 2^MOST_BITS slots); and with what the text itself has had at this node so far. Each is
-smoothed by the one before. Their log-odds are mixed by weights from a set that is chosen by how much the last two have
+smoothed by the one before. The log-odds of the last three are mixed by weights from a set that is chosen by how much the last two have
 been seen, and a small adaptive table refines the result. Weights, refinement and the text's own counts are learnt
 online and go on through the whole text: all decisions of BLOCK tokens take what the blocks before them have taught,
 then move it against their error together, so the texts of a batch are scored side by side.
@@ -25,33 +25,33 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-import re
 from dataclasses import InitVar, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, saved, utf8
+from .common import saved
 
 HEAD, BASE_HEAD = 8192, 300_000
-#: Texts are taken in parts of about so many bytes, long texts split into words so many bytes at a time, and decisions
-#: made of so many tokens at a time, which bounds a worker's memory.
-PART, TOKENS = 3 << 19, 1 << 18
+#: Texts are taken in parts of about so many bytes and at most so many rows, and decisions made of so many tokens at a
+#: time, which bounds a worker's memory.
+PART, ROWS, TOKENS = 4 << 20, 2000, 1 << 17
 #: The commonest words that serve as contexts, and the last of these, which stands for none yet.
 CLASSES = 64
 #: Nodes, the heaviest first, that are told apart with a class; nodes of which a text's own counts are kept.
 NODES, OWN = 16_384, 512
 LEAST_BITS, MOST_BITS = 16, 22
-BLOCK = 8
+BLOCK = 16
 RATE, STILL, LIMIT = 0.6, np.float32(20), np.float32(11)
 BUCKETS = 24
 #: How much the predictor before counts in each one.
 PRIORS = (np.float32(2), np.float32(2), np.float32(8))
-#: Where the weights begin, in the predictors' order.
-WEIGHTS = (0.0, 0.3, 0.4, 0.4)
+#: Where the weights begin, for all predictors but the first, which the others build on.
+WEIGHTS = (0.3, 0.4, 0.4)
 #: Bytes before the one that is spelled, the bits of each table, and how each counts.
 ORDERS = (1, 2, 3, 4, 6)
 SPELL_BITS = (16, 18, 20, 20, 20)
@@ -65,17 +65,19 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
-_GAP = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def tokens(text: bytes | None):
-    """Lists of words: one, or for a long text one for each PART bytes and what is left of the last word."""
-    start, size = 0, len(text or b"")
-    while start < size:
-        gap = _GAP.search(text, start + PART) if start + PART < size else None
-        stop = gap.start() if gap else size
-        yield text[start:stop].translate(LOWER).split()
-        start = stop
+def words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of a column of texts, the words of all texts as places among them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    # Space at either end of a text leaves an empty word there.
+    found = pc.dictionary_encode(lists.flatten().cast(pa.binary()))
+    different, at = found.dictionary.to_pylist(), found.indices.to_numpy()
+    n = np.diff(lists.offsets.to_numpy())
+    if b"" in different:
+        keep = at != different.index(b"")
+        sums = np.concatenate([[0], np.cumsum(keep)])
+        ends = np.cumsum(n)
+        n, at = sums[ends] - sums[ends - n], at[keep]
+    return different, at, n
 
 
 def prefix(word: bytes) -> bytes:
@@ -210,21 +212,20 @@ class Batch:
     others: list[bytes]
 
 
-def numbered(known: Numbers, texts: list[bytes | None]) -> Batch:
+def numbered(known: Numbers, texts: pa.Array) -> Batch:
     """known is as before afterwards. The end's word is a space."""
     size, end = len(known), known[b" "]
-    flat, lengths = [], []
-    for text in texts:
-        n = 1
-        for words in tokens(text):
-            flat.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-            n += len(words)
-        flat.append(np.array([end], np.int32))
-        lengths.append(n)
+    different, at, n = words(texts)
+    number = np.fromiter(map(known.__getitem__, (w or b" " for w in different)), np.int32, len(different))
     others = list(itertools.islice(reversed(known), len(known) - size))[::-1]
     for w in others:
         del known[w]
-    return Batch(np.concatenate([np.zeros(0, np.int32), *flat]), np.repeat(np.arange(len(texts), dtype=np.int32), lengths), others)
+    ends = np.cumsum(n + 1) - 1
+    ids = np.full(len(at) + len(n), end, np.int32)
+    is_word = np.ones(len(ids), bool)
+    is_word[ends] = False
+    ids[is_word] = number[at]
+    return Batch(ids, np.repeat(np.arange(len(n), dtype=np.int32), n + 1), others)
 
 
 def contexts(leaf: np.ndarray, doc: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +297,7 @@ class State:
     """What each text has taught so far: its own counts by node, weights by gate, and the refinement."""
 
     def __init__(self, texts: int):
-        self.own = np.zeros(texts * (OWN + 1), np.complex64)
+        self.own = np.zeros(2 * texts * (OWN + 1), np.float32)  #: zeros and ones, by turns
         self.weights = np.tile(np.array(WEIGHTS, np.float32), (16 * texts, 1))
         self.refined = np.tile((1 / (1 + np.exp(-np.linspace(-6, 6, BUCKETS)))).astype(np.float32), texts)
 
@@ -315,15 +316,19 @@ class Model:
 
     def __post_init__(self, counts: dict[bytes, int]):
         tree = self.tree
-        words = list(dict.fromkeys([*tree.words, b" ", *counts]))
-        self.known = Numbers(zip(words, range(len(words)), strict=True))
+        all_words = list(dict.fromkeys([*tree.words, b" ", *counts]))
+        self.known = Numbers(zip(all_words, range(len(all_words)), strict=True))
         n = len(tree.words) + 1
-        self.leaf_of = np.concatenate([np.arange(n), np.fromiter(map(tree.leaf, words[n:]), np.int64, len(words) - n)]).astype(np.int64)
-        self.count_of = np.fromiter((counts.get(w, 0) for w in words), np.float64, len(words))
+        self.leaf_of = np.concatenate([np.arange(n), np.fromiter(map(tree.leaf, all_words[n:]), np.int64, len(all_words) - n)]).astype(np.int64)
+        self.count_of = np.fromiter((counts.get(w, 0) for w in all_words), np.float64, len(all_words))
         # Within its group, a word of the base head is as good as drawn by its count: its spelling would add next to nothing.
         of = self.leaf_of[n:]
         self.log_of = np.concatenate([np.zeros(n), np.log10(self.count_of[n:] / (self.drawn[of] + self.kinds[of]))])
 
+    def leaves(self, batch: Batch) -> np.ndarray:
+        """The leaf of every number of batch."""
+        return np.concatenate([self.leaf_of, np.fromiter(map(self.tree.leaf, batch.others), np.int64, len(batch.others))])
+
     def spell(self, words: list[bytes], skip: np.ndarray) -> np.ndarray:
         """log10 of the probability of each word's spelling, from the byte at place skip on."""
         grams, word, place = _bytes(words)
@@ -375,26 +380,27 @@ class Model:
         """log10 of the probability of each token's decisions; edges: where each step's tokens begin."""
         token, node, bit = decisions(self.tree, leaf)
         p = self.tree.chance.take(node)
-        x = np.empty((len(token), 4), np.float32)
-        x[:, 0] = _odds(p)
+        x = np.empty((len(token), 3), np.float32)
         gate = (row * 16).take(token)
         for k, slot in enumerate(slots(last, before, token, node, self.bits)):
             pair = _PAIRS.take(self.table.take(slot))
             n = pair.real + pair.imag
             p = (pair.imag + PRIORS[k] * p) / (n + PRIORS[k])
-            x[:, k + 1] = _odds(p)
+            x[:, k] = _odds(p)
         gate += 4 * ((n >= 1).astype(np.int32) + (n >= 8) + (n >= 64))
         own_at = (row * (OWN + 1)).take(token) + np.minimum(node, OWN)
         bucket_of = (row * BUCKETS).take(token)
-        own, weights, refined = state.own, state.weights, state.refined
+        weights, refined, counts = state.weights, state.refined, state.own
+        own = counts.view(np.complex64)
+        own_bit = 2 * own_at + bit
         y = bit.astype(np.float32)
         final = np.empty(len(token), np.float32)
         for f, t in itertools.pairwise(np.searchsorted(token, edges).tolist()):
             texts = int(row[token[t - 1]]) + 1
-            i, bits, v = own_at[f:t], y[f:t], x[f:t]
-            seen = own.take(i)
+            bits, v = y[f:t], x[f:t]
+            seen = own.take(own_at[f:t])
             n = seen.real + seen.imag
-            v[:, 3] = _odds((seen.imag + PRIORS[2] * p[f:t]) / (n + PRIORS[2]))
+            v[:, 2] = _odds((seen.imag + PRIORS[2] * p[f:t]) / (n + PRIORS[2]))
             g = gate[f:t] + (n >= 1) + (n >= 8) + (n >= 64)
             z = np.clip(np.einsum("ij,ij->i", v, weights.take(g, axis=0)), -LIMIT, LIMIT)
             q = 1 / (1 + np.exp(-z))
@@ -404,20 +410,20 @@ class Model:
             # Towards less error, at most as far as the curvature of all inputs together allows.
             error = bits - q
             steep = np.bincount(g, q * (1 - q) * np.einsum("ij,ij->i", v, v), minlength=16 * texts) + STILL
-            for j in range(4):
+            for j in range(3):
                 weights[: 16 * texts, j] += RATE * np.bincount(g, error * v[:, j], minlength=16 * texts) / steep
-            k = np.bincount(bucket, minlength=BUCKETS * texts)
-            refined[: BUCKETS * texts] += np.bincount(bucket, bits - r, minlength=BUCKETS * texts) / (k + STILL)
+            size = BUCKETS * texts
+            k = np.bincount(2 * bucket + bit[f:t], minlength=2 * size).reshape(-1, 2)
+            refined[:size] += (k[:, 1] - k.sum(axis=1) * refined[:size]) / (k.sum(axis=1) + STILL)
             size = texts * (OWN + 1)
-            own.real[:size] += np.bincount(i, 1 - bits, minlength=size)
-            own.imag[:size] += np.bincount(i, bits, minlength=size)
+            counts[: 2 * size] += np.bincount(own_bit[f:t], minlength=2 * size)
             own[OWN : size : OWN + 1] = 0
         return np.bincount(token, np.log10(np.maximum(final, _FLOOR)), minlength=len(leaf))
 
-    def score(self, texts: list[bytes | None]) -> dict[str, list]:
+    def score(self, texts: pa.Array) -> dict[str, list]:
         known, end = len(self.known), self.tree.end
         batch = numbered(self.known, texts)
-        leaves = np.concatenate([self.leaf_of, np.fromiter(map(self.tree.leaf, batch.others), np.int64, len(batch.others))])
+        leaves = self.leaves(batch)
         log_p = self.mix(leaves[batch.ids], batch.doc)
         new = batch.ids >= known
         base = np.minimum(batch.ids, known - 1)
@@ -443,12 +449,11 @@ class Model:
         }
 
 
-def _parts(batch: pa.RecordBatch, column: int, size: int = PART):
-    """Slices of batch of about size bytes of text. A larger text is a slice of its own."""
+def _parts(batch: pa.RecordBatch, column: int):
+    """Slices of batch of about PART bytes of text and at most ROWS rows. A larger text is a slice of its own."""
     start = total = 0
-    lengths = [len(x) if x else 0 for x in utf8(batch.column(column))]
-    for k, n in enumerate(lengths):
-        if total and total + n > size:
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if k - start == ROWS or total and total + n > PART:
             yield batch.slice(start, k - start)
             start, total = k, 0
         total += n
@@ -460,26 +465,13 @@ def _word_counts(training: DataFrame) -> DataFrame:
     """word (binary) and c, over all training texts; the end is the word of a single space."""
 
     def count(batches):
-        schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
-        found: dict[bytes, int] = {}
-
-        def flush():
-            words = list(found)
-            for k in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000], pa.binary()), pa.array([found[w] for w in words[k : k + 50_000]], pa.int64())], schema=schema)
-            found.clear()
-
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                found[b" "] = found.get(b" ", 0) + 1
-                for words in tokens(text):
-                    for w in words:
-                        found[w] = found.get(w, 0) + 1
-            if len(found) > 400_000:
-                yield from flush()
-        yield from flush()
+            for part in _parts(batch, 0):
+                different, at, n = words(part.column(0))
+                c = np.bincount(at, minlength=len(different)).tolist()
+                yield pa.RecordBatch.from_pydict({"word": pa.array([*(w or b" " for w in different), b" "], pa.binary()), "c": pa.array([*c, len(n)], pa.int64())})
 
-    return training.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
 def _fewer(rows: DataFrame) -> DataFrame:
@@ -487,7 +479,7 @@ def _fewer(rows: DataFrame) -> DataFrame:
     return rows.coalesce(max(1, rows.rdd.getNumPartitions() // 4))
 
 
-class Counter:
+class Slots:
     """Counts (zeros, ones) by slot. Decisions are gathered and counted many at a time."""
 
     def __init__(self, size: int):
@@ -540,15 +532,16 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     drawn, kinds = (np.concatenate([np.zeros(len(top) + 2), np.array([x[k] for x in groups.values()], float)]) for k in (0, 1))
     bits = min(MOST_BITS, max(LEAST_BITS, int(total).bit_length() + 2))
     size = CLASSES * NODES + (1 << bits)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    none = np.zeros(0, np.uint16)
+    model = Model(tree, head, total, distinct, drawn, kinds, bits, none, none)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches):
-        tree, counter = sent.value, Counter(size)
-        known = Numbers(zip([*tree.words, b" "], range(len(tree.words) + 1), strict=True))
+        tree, counter = sent.value.tree, Slots(size)
         for batch in batches:
             for part in _parts(batch, 0):
-                got = numbered(known, utf8(part.column(0)))
-                leaf = np.concatenate([np.arange(len(known)), np.fromiter(map(tree.leaf, got.others), np.int64, len(got.others))])[got.ids]
+                got = numbered(sent.value.known, part.column(0))
+                leaf = sent.value.leaves(got)[got.ids]
                 last, before = contexts(leaf, got.doc, tree.end)
                 for k in range(0, len(leaf), TOKENS):
                     token, node, bit = decisions(tree, leaf[k : k + TOKENS])
@@ -558,11 +551,11 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         yield from _pieces(counter.table, 0)
 
     def learn_spelling(batches):
-        counter = Counter(_SPELL_AT[-1])
+        counter = Slots(_SPELL_AT[-1])
         for batch in batches:
-            words = [w for w in batch.column(0).to_pylist() if w != b" "]
-            for k in range(0, len(words), 10_000):
-                at, bit = _spelled(_bytes(words[k : k + 10_000])[0])
+            some = [w for w in batch.column(0).to_pylist() if w != b" "]
+            for k in range(0, len(some), 10_000):
+                at, bit = _spelled(_bytes(some[k : k + 10_000])[0])
                 for slot in at:
                     counter.add(slot, bit)
         counter.count()
@@ -574,7 +567,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     for piece, blob in zip(*(c.to_pylist() for c in _totals(learnt).toArrow().columns), strict=True):
         codes[piece] = np.frombuffer(blob, np.uint16)
     codes = codes.reshape(-1)
-    return Model(tree, head, total, distinct, drawn, kinds, bits, codes[:size].copy(), codes[size:].copy()), counts
+    model.table, model.spelling = codes[:size].copy(), codes[size:].copy()
+    return model, counts
 
 
 _REST = "array<struct<word:binary,times:int,spelled:double,old:double,new:double>>"
@@ -596,12 +590,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         rest = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32()), ("spelled", pa.float64()), ("old", pa.float64()), ("new", pa.float64())]))
         for batch in batches:
             for part in _parts(batch, 2):
-                texts = utf8(part.column(2))
+                texts = part.column(2)
                 s = sent.value.score(texts)
                 ids = pa.array(range(rid, rid + len(texts)), pa.int64())
                 rid += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, part.column(0), part.column(1), pa.array([len(t) if t else 0 for t in texts], pa.int64()), pa.array(s["n_tokens"], pa.int64()), pa.array(s["n_head"], pa.int64()), pa.array(s["log_head"], pa.float64()), pa.array(s["score"], pa.float64()), pa.array(s["rest"], rest)],
+                    [ids, part.column(0), part.column(1), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), pa.array(s["n_tokens"], pa.int64()), pa.array(s["n_head"], pa.int64()), pa.array(s["log_head"], pa.float64()), pa.array(s["score"], pa.float64()), pa.array(s["rest"], rest)],
                     names=["rid", "doc_id", "held_out", "n_bytes", "n_tokens", "n_head", "log_head", "score", "rest"],
                 )
 

@@ -53,9 +53,9 @@ PRIORS = (np.float32(2), np.float32(2), np.float32(8))
 #: Where the weights begin, for all predictors but the first, which the others build on.
 WEIGHTS = (0.3, 0.4, 0.4)
 #: Bytes before the one that is spelled, the bits of each table, and how each counts.
-ORDERS = (1, 2, 3, 4, 6)
-SPELL_BITS = (16, 18, 20, 20, 20)
-SPELL_WEIGHTS, SPELL_PRIOR = (0.0, 0.1, 0.3, 0.4, 0.3), np.float32(4)
+ORDERS = (2, 3, 4, 6)
+SPELL_BITS = (18, 20, 20, 20)
+SPELL_WEIGHTS, SPELL_PRIOR = (0.1, 0.3, 0.4, 0.3), np.float32(4)
 #: Slots of a piece of a table on its way.
 PIECE = 1 << 12
 _FLOOR = np.float32(1e-5)
@@ -65,26 +65,59 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
-def words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The different words of a column of texts, the words of all texts as places among them, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
-    # Space at either end of a text leaves an empty word there.
     found = pc.dictionary_encode(lists.flatten().cast(pa.binary()))
-    different, at = found.dictionary.to_pylist(), found.indices.to_numpy()
+    different, at = found.dictionary, found.indices.to_numpy()
     n = np.diff(lists.offsets.to_numpy())
-    if b"" in different:
-        keep = at != different.index(b"")
+    # Space at either end of a text leaves an empty word there.
+    empty = pc.index(different, b"").as_py()
+    if empty >= 0:
+        keep = at != empty
         sums = np.concatenate([[0], np.cumsum(keep)])
         ends = np.cumsum(n)
         n, at = sums[ends] - sums[ends - n], at[keep]
+        at = at - (at > empty)
+        different = different.filter(pc.not_equal(different, b""))
     return different, at, n
 
 
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a binary column without nulls begins (and the last one ends), and all bytes."""
+    column = pa.concat_arrays([column])  # from offset 0 on
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int32, len(column) + 1)
+    return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+
+
+def hashes(column: pa.Array) -> np.ndarray:
+    """64 bits of each word: a polynomial in an odd number, stirred."""
+    if not len(column):
+        return np.zeros(0, np.uint64)
+    offsets, data = _buffers(column)
+    n = np.diff(offsets)
+    powers = np.cumprod(np.full(int(n.max()), 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], n)
+    h = np.add.reduceat((data[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)) * powers[place], offsets[:-1] - offsets[0])
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
 def prefix(word: bytes) -> bytes:
     """What a word's group is known by."""
     return (word + b" ")[:2]
 
 
+def prefixes(column: pa.Array) -> np.ndarray:
+    """prefix of every word, as a number."""
+    if not len(column):
+        return np.zeros(0, np.int64)
+    offsets, data = _buffers(column)
+    second = np.where(np.diff(offsets) > 1, data[np.minimum(offsets[:-1] + 1, len(data) - 1)], 32)
+    return data[offsets[:-1]].astype(np.int64) << 8 | second
+
+
 # ---- counts, in tables
 
 
@@ -148,7 +181,7 @@ class Tree:
     """Leaves: the head's words, then the end, then what no group holds, then groups."""
 
     words: list[bytes]
-    groups: dict[bytes, int]  #: prefix to leaf
+    group_of: np.ndarray  #: the leaf of each prefix, as a number
     offset: np.ndarray
     nodes: np.ndarray  #: numbered from the heaviest on
     bits: np.ndarray
@@ -188,44 +221,23 @@ class Tree:
         own = w[:n][leaf]
         ones, all_ = np.bincount(nodes[bits == 1], own[bits == 1], minlength=n - 1), np.bincount(nodes, own, minlength=n - 1)
         offset = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n))])
-        return cls(words, dict(zip(groups, range(len(words) + 2, n), strict=True)), offset, nodes.astype(np.int32), bits, ((ones + 0.4) / (all_ + 0.8)).astype(np.float32))
+        group_of = np.full(1 << 16, len(words) + 1, np.int64)
+        group_of[[int.from_bytes(g, "big") for g in groups]] = np.arange(len(words) + 2, n)
+        return cls(words, group_of, offset, nodes.astype(np.int32), bits, ((ones + 0.4) / (all_ + 0.8)).astype(np.float32))
 
     def leaf(self, word: bytes) -> int:
         """The leaf of a word that isn't in the head."""
-        return self.groups.get(prefix(word), self.end + 1)
-
-
-class Numbers(dict):
-    """Words to numbers; a new word gets the next one."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+        return int(self.group_of[int.from_bytes(prefix(word), "big")])
 
 
 @dataclass
 class Batch:
-    """Tokens of some texts: numbers (of the words given first, then of other words), text by text, each with its end."""
+    """Tokens of some texts, text by text, each with its end. Numbers: the known words' places, then the end, then others."""
 
     ids: np.ndarray
     doc: np.ndarray
-    others: list[bytes]
-
-
-def numbered(known: Numbers, texts: pa.Array) -> Batch:
-    """known is as before afterwards. The end's word is a space."""
-    size, end = len(known), known[b" "]
-    different, at, n = words(texts)
-    number = np.fromiter(map(known.__getitem__, (w or b" " for w in different)), np.int32, len(different))
-    others = list(itertools.islice(reversed(known), len(known) - size))[::-1]
-    for w in others:
-        del known[w]
-    ends = np.cumsum(n + 1) - 1
-    ids = np.full(len(at) + len(n), end, np.int32)
-    is_word = np.ones(len(ids), bool)
-    is_word[ends] = False
-    ids[is_word] = number[at]
-    return Batch(ids, np.repeat(np.arange(len(n), dtype=np.int32), n + 1), others)
+    others: pa.Array
+    leaf_of: np.ndarray  #: of every number
 
 
 def contexts(leaf: np.ndarray, doc: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +259,17 @@ def decisions(tree: Tree, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return token, tree.nodes.take(at), tree.bits.take(at)
 
 
-def slots(last: np.ndarray, before: np.ndarray, token: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of every decision, its slot with the class and its slot with the word before, in one row of tables."""
-    a = (last.astype(np.int32) * NODES).take(token) + np.minimum(node, NODES - 1)
+def slots_of_class(last: np.ndarray, token: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Of every decision, its slot with the last of the commonest words."""
+    return (last.astype(np.int32) * NODES).take(token) + np.minimum(node, NODES - 1)
+
+
+def slots_before(before: np.ndarray, token: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Of every decision, its slot with the word before; these tables follow those of classes."""
     mixed = ((before + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).take(token) ^ (node + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return a, (mixed >> np.uint64(64 - bits)).astype(np.int32) + CLASSES * NODES
+    return (mixed >> np.uint64(64 - bits)).astype(np.int32) + CLASSES * NODES
 
 
 # ---- spelling
@@ -305,29 +321,44 @@ class State:
 @dataclass
 class Model:
     tree: Tree
-    counts: InitVar[dict[bytes, int]]  #: of the base head, the end among them
     total: int
     distinct: int
+    ends: int
     drawn: np.ndarray  #: training tokens of each leaf's group, zero for others
     kinds: np.ndarray  #: different words of these
     bits: int  #: of the table with the word before
-    table: np.ndarray  #: coded counts: with the class, with the word before
-    spelling: np.ndarray  #: coded counts of spelling
-
-    def __post_init__(self, counts: dict[bytes, int]):
-        tree = self.tree
-        all_words = list(dict.fromkeys([*tree.words, b" ", *counts]))
-        self.known = Numbers(zip(all_words, range(len(all_words)), strict=True))
-        n = len(tree.words) + 1
-        self.leaf_of = np.concatenate([np.arange(n), np.fromiter(map(tree.leaf, all_words[n:]), np.int64, len(all_words) - n)]).astype(np.int64)
-        self.count_of = np.fromiter((counts.get(w, 0) for w in all_words), np.float64, len(all_words))
-        # Within its group, a word of the base head is as good as drawn by its count: its spelling would add next to nothing.
-        of = self.leaf_of[n:]
-        self.log_of = np.concatenate([np.zeros(n), np.log10(self.count_of[n:] / (self.drawn[of] + self.kinds[of]))])
-
-    def leaves(self, batch: Batch) -> np.ndarray:
-        """The leaf of every number of batch."""
-        return np.concatenate([self.leaf_of, np.fromiter(map(self.tree.leaf, batch.others), np.int64, len(batch.others))])
+    known: np.ndarray  #: hashes of the base head's words, sorted
+    count_of: np.ndarray
+    leaf_of: np.ndarray
+    log_of: np.ndarray  #: of a word within its group, by its count; that it might have been spelled would add next to nothing
+    table: np.ndarray | None = None  #: coded counts: with the class, with the word before
+    spelling: np.ndarray | None = None  #: coded counts of spelling
+
+    @classmethod
+    def plain(cls, tree: Tree, head: dict[bytes, int], total: int, distinct: int, ends: int, drawn: np.ndarray, kinds: np.ndarray, bits: int) -> Model:
+        """Without tables. head: the base head's counts, the tree's words first."""
+        column = pa.array(list(head), pa.binary())
+        h, n = hashes(column), len(tree.words)
+        count = np.fromiter(head.values(), np.float64, len(head))
+        leaf = np.concatenate([np.arange(n), tree.group_of[prefixes(column[n:])]])
+        log = np.concatenate([np.zeros(n), np.log10(count[n:] / (drawn + kinds)[leaf[n:]])])
+        order = np.argsort(h)
+        return cls(tree, total, distinct, ends, drawn, kinds, bits, h[order], count[order], leaf[order], log[order])
+
+    def numbered(self, texts: pa.Array) -> Batch:
+        different, at, n = words(texts)
+        size = len(self.known)
+        h = hashes(different)
+        place = np.minimum(np.searchsorted(self.known, h), max(0, size - 1))
+        is_known = self.known[place] == h if size else np.zeros(len(h), bool)
+        number = np.where(is_known, place, size + np.cumsum(~is_known))
+        ids = np.full(len(at) + len(n), size, np.int32)
+        is_word = np.ones(len(ids), bool)
+        is_word[np.cumsum(n + 1) - 1] = False
+        ids[is_word] = number[at]
+        others = different.filter(pa.array(~is_known))
+        leaf_of = np.concatenate([self.leaf_of, [self.tree.end], self.tree.group_of[prefixes(others)]])
+        return Batch(ids, np.repeat(np.arange(len(n), dtype=np.int32), n + 1), others, leaf_of)
 
     def spell(self, words: list[bytes], skip: np.ndarray) -> np.ndarray:
         """log10 of the probability of each word's spelling, from the byte at place skip on."""
@@ -382,7 +413,7 @@ class Model:
         p = self.tree.chance.take(node)
         x = np.empty((len(token), 3), np.float32)
         gate = (row * 16).take(token)
-        for k, slot in enumerate(slots(last, before, token, node, self.bits)):
+        for k, slot in enumerate((slots_of_class(last, token, node), slots_before(before, token, node, self.bits))):
             pair = _PAIRS.take(self.table.take(slot))
             n = pair.real + pair.imag
             p = (pair.imag + PRIORS[k] * p) / (n + PRIORS[k])
@@ -406,7 +437,7 @@ class Model:
             q = 1 / (1 + np.exp(-z))
             bucket = bucket_of[f:t] + np.clip((z + 6) * ((BUCKETS - 1) / 12) + 0.5, 0, BUCKETS - 1).astype(np.int32)
             r = refined.take(bucket)
-            final[f:t] = np.where(bits == 1, 0.75 * q + 0.25 * r, 1 - 0.75 * q - 0.25 * r)
+            final[f:t] = np.abs(0.75 * q + 0.25 * r + bits - 1)
             # Towards less error, at most as far as the curvature of all inputs together allows.
             error = bits - q
             steep = np.bincount(g, q * (1 - q) * np.einsum("ij,ij->i", v, v), minlength=16 * texts) + STILL
@@ -420,31 +451,32 @@ class Model:
             own[OWN : size : OWN + 1] = 0
         return np.bincount(token, np.log10(np.maximum(final, _FLOOR)), minlength=len(leaf))
 
-    def score(self, texts: pa.Array) -> dict[str, list]:
-        known, end = len(self.known), self.tree.end
-        batch = numbered(self.known, texts)
-        leaves = self.leaves(batch)
-        log_p = self.mix(leaves[batch.ids], batch.doc)
-        new = batch.ids >= known
-        base = np.minimum(batch.ids, known - 1)
-        c = np.where(new, 0, self.count_of[base])
-        local = np.where(new, 0, self.log_of[base])
-        size = len(texts)
-        rest: list[list] = [[] for _ in texts]
-        if len(batch.others):
-            of = leaves[known:]
-            spelled = self.spell(batch.others, np.where(of == end + 1, 0, np.fromiter((min(2, len(w) + 1) for w in batch.others), np.int64, len(batch.others)))).tolist()
-            one = 1 / np.maximum(1, self.drawn[of] + self.kinds[of])
-            old, fresh = (one * (self.drawn[of] > 0)).tolist(), np.where(self.drawn[of] > 0, one * self.kinds[of], 1).tolist()
-            pair, times = np.unique(batch.doc[new].astype(np.int64) * len(batch.others) + batch.ids[new] - known, return_counts=True)
-            for d, i, m in zip((pair // len(batch.others)).tolist(), (pair % len(batch.others)).tolist(), times.tolist(), strict=True):
-                rest[d].append({"word": batch.others[i], "times": m, "spelled": spelled[i], "old": old[i], "new": fresh[i]})
+    def score(self, texts: pa.Array) -> dict[str, pa.Array]:
+        batch = self.numbered(texts)
+        size, known = len(texts), len(self.known)
+        log_p = self.mix(batch.leaf_of[batch.ids], batch.doc)
+        new = batch.ids > known
+        at = np.minimum(batch.ids, known)
+        c = np.where(new, 0, np.append(self.count_of, self.ends)[at])
+        local = np.where(new, 0, np.append(self.log_of, 0)[at])
         total = lambda x: np.bincount(batch.doc, x, minlength=size)
+        # Words to look up in all counts, once for each text.
+        n = len(batch.others)
+        of = batch.leaf_of[known + 1 :]
+        if n:
+            others = batch.others.to_pylist()
+            spelled = self.spell(others, np.where(of == self.tree.end + 1, 0, np.minimum(2, pc.binary_length(batch.others).to_numpy() + 1)))
+        one = 1 / np.maximum(1, self.drawn[of] + self.kinds[of])
+        old, fresh = np.where(self.drawn[of] > 0, one, 0), np.where(self.drawn[of] > 0, one * self.kinds[of], 1)
+        pair, times = np.unique(batch.doc[new].astype(np.int64) * n + batch.ids[new] - known - 1, return_counts=True)
+        doc, i = pair // max(1, n), pair % max(1, n)
+        columns = [batch.others.take(pa.array(i)), pa.array(times, pa.int32()), *(pa.array(x[i], pa.float64()) for x in (spelled if n else one, old, fresh))]
+        rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(size + 1)), pa.int32()), pa.StructArray.from_arrays(columns, ["word", "times", "spelled", "old", "new"]))
         return {
-            "n_tokens": total(None).tolist(),
-            "n_head": total(c > 0).astype(np.int64).tolist(),
-            "log_head": total(np.where(new, 0, np.log10(c + 1))).tolist(),
-            "score": total(log_p + local).tolist(),
+            "n_tokens": pa.array(total(None), pa.int64()),
+            "n_head": pa.array(total(c > 0).astype(np.int64)),
+            "log_head": pa.array(total(np.where(new, 0, np.log10(c + 1)))),
+            "score": pa.array(total(log_p + local)),
             "rest": rest,
         }
 
@@ -469,9 +501,9 @@ def _word_counts(training: DataFrame) -> DataFrame:
             for part in _parts(batch, 0):
                 different, at, n = words(part.column(0))
                 c = np.bincount(at, minlength=len(different)).tolist()
-                yield pa.RecordBatch.from_pydict({"word": pa.array([*(w or b" " for w in different), b" "], pa.binary()), "c": pa.array([*c, len(n)], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"word": pa.concat_arrays([different, pa.array([b" "], pa.binary())]), "c": pa.array([*c, len(n)], pa.int64())})
 
-    return training.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0")
+    return training.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _fewer(rows: DataFrame) -> DataFrame:
@@ -485,6 +517,10 @@ class Slots:
     def __init__(self, size: int):
         self.table, self.waiting, self.held = np.zeros(size * 2, np.uint32), [], 0
 
+    def add_times(self, slot: np.ndarray, bit: np.ndarray, times: np.ndarray) -> None:
+        n = np.bincount(slot * 2 + bit, times)
+        self.table[: len(n)] += n.astype(np.uint32)
+
     def add(self, slot: np.ndarray, bit: np.ndarray) -> None:
         self.waiting.append(slot.reshape(-1).astype(np.int32) * 2 + bit.reshape(-1))
         self.held += slot.size
@@ -520,8 +556,9 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     end = F.lit(bytearray(b" "))
     if b" " not in head and total:
         head[b" "] = counts.filter(F.col("word") == end).agg(F.sum("c")).first()[0]
-    ends = head.get(b" ", 0)
-    top = sorted(((w, c) for w, c in head.items() if w != b" "), key=lambda x: (-x[1], x[0]))[:HEAD]
+    ends = head.pop(b" ", 0)
+    head = dict(sorted(head.items(), key=lambda x: (-x[1], x[0])))
+    top = list(head.items())[:HEAD]
     # At most 65,536 groups, whatever the words.
     groups = {bytes(g): [c, n] for g, c, n in counts.filter(F.col("word") != end).groupBy(F.substring(F.concat("word", end), 1, 2).alias("g")).agg(F.sum("c"), F.count(F.lit(1))).collect()}
     for w, c in top:
@@ -532,34 +569,41 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     drawn, kinds = (np.concatenate([np.zeros(len(top) + 2), np.array([x[k] for x in groups.values()], float)]) for k in (0, 1))
     bits = min(MOST_BITS, max(LEAST_BITS, int(total).bit_length() + 2))
     size = CLASSES * NODES + (1 << bits)
-    none = np.zeros(0, np.uint16)
-    model = Model(tree, head, total, distinct, drawn, kinds, bits, none, none)
+    model = Model.plain(tree, head, total, distinct, ends, drawn, kinds, bits)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches):
-        tree, counter = sent.value.tree, Slots(size)
+        tree, found = sent.value.tree, Slots(size)
+        # With a class: the leaves are counted, and their decisions taken once.
+        leaves = len(tree.offset) - 1
+        by_class = np.zeros(CLASSES * leaves, np.int64)
         for batch in batches:
             for part in _parts(batch, 0):
-                got = numbered(sent.value.known, part.column(0))
-                leaf = sent.value.leaves(got)[got.ids]
+                got = sent.value.numbered(part.column(0))
+                leaf = got.leaf_of[got.ids]
                 last, before = contexts(leaf, got.doc, tree.end)
+                by_class += np.bincount(last * leaves + leaf, minlength=len(by_class))
                 for k in range(0, len(leaf), TOKENS):
                     token, node, bit = decisions(tree, leaf[k : k + TOKENS])
-                    for slot in slots(last[k : k + TOKENS], before[k : k + TOKENS], token, node, bits):
-                        counter.add(slot, bit)
-        counter.count()
-        yield from _pieces(counter.table, 0)
+                    found.add(slots_before(before[k : k + TOKENS], token, node, bits), bit)
+        found.count()
+        seen = np.flatnonzero(by_class)
+        for k in range(0, len(seen), TOKENS):
+            some = seen[k : k + TOKENS]
+            token, node, bit = decisions(tree, some % leaves)
+            found.add_times(slots_of_class(some // leaves, token, node), bit, by_class[some][token])
+        yield from _pieces(found.table, 0)
 
     def learn_spelling(batches):
-        counter = Slots(_SPELL_AT[-1])
+        found = Slots(_SPELL_AT[-1])
         for batch in batches:
             some = [w for w in batch.column(0).to_pylist() if w != b" "]
             for k in range(0, len(some), 10_000):
                 at, bit = _spelled(_bytes(some[k : k + 10_000])[0])
                 for slot in at:
-                    counter.add(slot, bit)
-        counter.count()
-        yield from _pieces(counter.table, size)
+                    found.add(slot, bit)
+        found.count()
+        yield from _pieces(found.table, size)
 
     shape = "piece int, counts binary"
     learnt = training.select("text").mapInArrow(learn, shape).unionByName(_fewer(counts.select("word")).mapInArrow(learn_spelling, shape))
@@ -587,17 +631,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches):
         rid = TaskContext.get().partitionId() << 40
-        rest = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32()), ("spelled", pa.float64()), ("old", pa.float64()), ("new", pa.float64())]))
         for batch in batches:
             for part in _parts(batch, 2):
                 texts = part.column(2)
-                s = sent.value.score(texts)
                 ids = pa.array(range(rid, rid + len(texts)), pa.int64())
                 rid += len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, part.column(0), part.column(1), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), pa.array(s["n_tokens"], pa.int64()), pa.array(s["n_head"], pa.int64()), pa.array(s["log_head"], pa.float64()), pa.array(s["score"], pa.float64()), pa.array(s["rest"], rest)],
-                    names=["rid", "doc_id", "held_out", "n_bytes", "n_tokens", "n_head", "log_head", "score", "rest"],
-                )
+                columns = {"rid": ids, "doc_id": part.column(0), "held_out": part.column(1), "n_bytes": pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())}
+                yield pa.RecordBatch.from_pydict(columns | sent.value.score(texts))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     scored = saved(rows.mapInArrow(run, _SCORED), "scored")

@@ -42,9 +42,13 @@ def node_hash(left: Column, right: Column) -> Column:
     return sha256(F.concat(_b(b"\x01"), left, right))
 
 
+def _shift(n: Column, by: Column) -> Column:
+    return F.call_function("shiftright", n, by)
+
+
 def split_point(n: Column) -> Column:
     """The largest power of two below n, for n of 2 or more."""
-    return F.pow(F.lit(2), F.length(F.bin(n - 1)) - 1).cast("bigint")
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n - 1)) - 1)
 
 
 def _up(level: Column) -> Column:
@@ -71,7 +75,7 @@ def levels(leaves: Column) -> Column:
 def audit_path(levels_: Column, index: Column) -> Column:
     """The siblings from a leaf to the root; a level where the node moves up unchanged gives none."""
     below = F.slice(levels_, 1, F.size(levels_) - 1)
-    siblings = F.transform(below, lambda level, l: F.get(level, F.floor(index / F.pow(F.lit(2), l)).cast("int").bitwiseXOR(F.lit(1))))
+    siblings = F.transform(below, lambda level, l: F.get(level, _shift(index.cast("bigint"), l).cast("int").bitwiseXOR(F.lit(1))))
     return F.array_compact(siblings)
 
 
@@ -84,7 +88,7 @@ def verify_inclusion(leaf: Column, index: Column, size: Column, path: Column, ro
         right = (f % 2 == 1) | (f == s)
         # Where the node was the last of an even level it has moved up: skip its trailing zeros.
         skip = F.when((f == s) & (f % 2 == 0) & (f > 0), F.bit_count(f.bitwiseAND(-f) - 1)).otherwise(F.lit(0)) + 1
-        down = lambda n: F.floor(n / F.pow(F.lit(2), skip)).cast("bigint")
+        down = lambda n: _shift(n, skip)
         return F.struct(down(f).alias("f"), down(s).alias("s"), F.when(right, node_hash(p, r)).otherwise(node_hash(r, p)).alias("r"), (a["ok"] & (s > 0)).alias("ok"))
 
     good = F.aggregate(path, start, step, lambda a: a["ok"] & (a["s"] == 0) & (a["r"] == root_))

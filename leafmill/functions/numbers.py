@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.constants import MAX_DIGITS
 
-_DECIMAL = r"\A(-?)(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:[eE]([+-]?)([0-9]+))?\z"
+# The grammars of number literals.
+_INTEGER = r"\A-?(?:0|[1-9][0-9]*)\z"
+_DECIMAL = r"\A-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
 
 
 def integer_reason(s: Column) -> Column:
-    return F.when(~s.rlike(r"\A-?(?:0|[1-9][0-9]*)\z"), F.lit("integer-grammar")).when(F.length(F.ltrim(s, F.lit("-"))) > MAX_DIGITS, F.lit("digit-bound-exceeded"))
+    return F.when(~s.rlike(_INTEGER), F.lit("integer-grammar")).when(F.length(F.ltrim(s, F.lit("-"))) > MAX_DIGITS, F.lit("digit-bound-exceeded"))
 
 
 def canonical_integer(s: Column) -> Column:
@@ -19,15 +23,33 @@ def canonical_integer(s: Column) -> Column:
     return F.when(integer_reason(s).isNull(), F.when(s == "-0", F.lit("0")).otherwise(s))
 
 
-def _parts(s: Column) -> dict[str, Column]:
-    g = [F.regexp_extract(s, _DECIMAL, k) for k in range(6)]
-    digits = F.concat(g[2], g[3])
-    size = F.regexp_replace(g[5], r"\A0+", "")
-    # An exponent of more than six digits is beyond the bound whatever the rest; it isn't converted.
-    huge = F.length(size) > 6
-    e = F.coalesce(F.try_to_number(F.when(huge, F.lit("0")).otherwise(size), F.lit("999999")).cast("int"), F.lit(0))
-    point = F.length(g[2]) + F.when(g[4] == "-", -e).otherwise(e)
-    return {"sign": g[1], "digits": digits, "point": point, "huge": huge, "total": F.greatest(F.length(digits), point, F.length(digits) - point)}
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """body of a struct of values, each of which is evaluated once."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
+def _parts(s: Column, body: Callable[[Column], Column]) -> Column:
+    """body of what a literal that fits the grammar is made of, without another regular expression: minus, digits, where
+    the point stands among them, and whether the number is within the bound."""
+
+    def numbers(t: Column) -> Column:
+        # An exponent of more than six digits is beyond the bound whatever the rest; it isn't converted.
+        huge = F.length(t["size"]) > 6
+        e = F.when(huge | (t["size"] == ""), F.lit(0)).otherwise(t["size"].cast("int"))
+        whole = F.length(F.substring_index(t["unsigned"], ".", 1))
+        return _let({"minus": t["minus"], "digits": F.replace(t["unsigned"], F.lit("."), F.lit("")), "point": whole + F.when(t["down"], -e).otherwise(e), "huge": huge}, bounded)
+
+    def bounded(p: Column) -> Column:
+        n = F.length(p["digits"])
+        fits = ~p["huge"] & (F.greatest(n, p["point"], n - p["point"]) <= MAX_DIGITS)
+        return F.when(fits, body(p))
+
+    def split(t: Column) -> Column:
+        return _let({"minus": t["mantissa"].startswith("-"), "unsigned": F.ltrim(t["mantissa"], F.lit("-")), "down": t["exponent"].startswith("-"), "size": F.ltrim(F.ltrim(t["exponent"], F.lit("+-")), F.lit("0"))}, numbers)
+
+    at = F.instr(F.lower(s), "e")
+    end = F.when(at > 0, at).otherwise(F.length(s) + 1)
+    return _let({"mantissa": F.substr(s, F.lit(1), end - 1), "exponent": F.substr(s, end + 1, F.length(s))}, split)
 
 
 #: Most literals have no exponent and few digits; they are canonical but for the sign of zero.
@@ -38,34 +60,21 @@ def _plain(s: Column) -> Column:
     return s.rlike(_PLAIN) & (F.length(s) <= MAX_DIGITS)
 
 
-def _only(s: Column, body) -> Column:
-    """body of s, kept apart from the code of the plain case."""
-    return F.get(F.transform(F.array(s), body), F.lit(0))
-
-
 def decimal_reason(s: Column) -> Column:
-    def reason(s: Column) -> Column:
-        p = _parts(s)
-        return F.when(~s.rlike(_DECIMAL), F.lit("decimal-grammar")).when(p["huge"] | (p["total"] > MAX_DIGITS), F.lit("digit-bound-exceeded"))
-
-    return F.when(~_plain(s), _only(s, reason))
+    other = F.when(~s.rlike(_DECIMAL), F.lit("decimal-grammar")).when(_parts(s, lambda _: F.lit(True)).isNull(), F.lit("digit-bound-exceeded"))
+    return F.when(~_plain(s), other)
 
 
 def canonical_decimal(s: Column) -> Column:
     """Positional digits: the exponent carried out, zeros of the fraction kept, zero without sign; null where
     ``decimal_reason`` gives a reason."""
 
-    def expanded(s: Column) -> Column:
-        p = _parts(s)
+    def expanded(p: Column) -> Column:
         digits, point = p["digits"], p["point"]
-        bounded = lambda n: F.greatest(F.lit(0), F.least(F.lit(MAX_DIGITS), n))
-        padded = F.concat(digits, F.repeat(F.lit("0"), bounded(point - F.length(digits))))
-        whole = F.when(point > 0, F.substr(padded, F.lit(1), point)).otherwise(F.lit(""))
-        fraction = F.when(point > 0, F.substr(padded, point + 1, F.length(padded))).otherwise(F.concat(F.repeat(F.lit("0"), bounded(-point)), digits))
-        whole = F.regexp_replace(whole, r"\A0+(?=[0-9])", "")
-        whole = F.when(whole == "", F.lit("0")).otherwise(whole)
-        sign = F.when((p["sign"] == "-") & digits.rlike("[1-9]"), F.lit("-")).otherwise(F.lit(""))
-        good = s.rlike(_DECIMAL) & ~p["huge"] & (p["total"] <= MAX_DIGITS)
-        return F.when(good, F.concat(sign, whole, F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction))))
-
-    return F.when(_plain(s), F.when(s.rlike(_MINUS_ZERO), F.substr(s, F.lit(2), F.length(s))).otherwise(s)).otherwise(_only(s, expanded))
+        some = lambda n: F.repeat(F.lit("0"), F.greatest(F.lit(0), n))
+        whole = F.ltrim(F.when(point > 0, F.concat(F.substr(digits, F.lit(1), point), some(point - F.length(digits)))).otherwise(F.lit("")), F.lit("0"))
+        fraction = F.when(point > 0, F.substr(digits, point + 1, F.length(digits))).otherwise(F.concat(some(-point), digits))
+        sign = F.when(p["minus"] & (F.ltrim(digits, F.lit("0")) != ""), F.lit("-")).otherwise(F.lit(""))
+        return _let({"s": sign, "w": whole, "f": fraction}, lambda t: F.concat(t["s"], F.when(t["w"] == "", F.lit("0")).otherwise(t["w"]), F.when(t["f"] == "", F.lit("")).otherwise(F.concat(F.lit("."), t["f"]))))
+
+    return F.when(_plain(s), F.when(s.rlike(_MINUS_ZERO), F.substr(s, F.lit(2), F.length(s))).otherwise(s)).when(s.rlike(_DECIMAL), _parts(s, expanded))

@@ -35,10 +35,11 @@ def value_reason(tag: Column, kind: Column, literal: Column) -> Column:
     )
 
 
-def carrier(tag: Column, literal: Column) -> Column:
-    """The value's form in an envelope: canonical digits, NFC text, hexadecimal bytes; null for tags without value."""
+def carrier(tag: Column, literal: Column, any_text: bool = True) -> Column:
+    """The value's form in an envelope: canonical digits, NFC text, hexadecimal bytes; null for tags without value.
+    any_text=False promises ASCII, and needs no Python."""
     return (
-        F.when(tag == C.STRING, nfc(literal))
+        F.when(tag == C.STRING, nfc(literal, any_text))
         .when(tag == C.INTEGER, canonical_integer(literal))
         .when(tag == C.DECIMAL, canonical_decimal(literal))
         .when(tag == C.BYTES, to_hex(from_base64(literal)))

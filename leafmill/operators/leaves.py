@@ -54,8 +54,7 @@ def encoded(leaves: DataFrame, ascii_only: bool = False) -> DataFrame:
         .when(tag.isNull(), F.lit("type-map-fail-closed"))
         .otherwise(value_reason(tag, kind, literal))
     )
-    text = F.when(tag == C.STRING, literal).otherwise(carrier(tag, literal)) if ascii_only else carrier(tag, literal)
-    return out.withColumn("reason", reason).withColumn("carrier", F.when(F.col("reason").isNull(), text)).withColumn("encoded_value", F.when(F.col("reason").isNull(), encode_value(tag, F.col("carrier"), normal=True)))
+    return out.withColumn("reason", reason).withColumn("carrier", F.when(F.col("reason").isNull(), carrier(tag, literal, any_text=not ascii_only))).withColumn("encoded_value", F.when(F.col("reason").isNull(), encode_value(tag, F.col("carrier"), normal=True)))
 
 
 def draw_salts(leaves: DataFrame, store: str, mode: str = "error") -> DataFrame:
@@ -74,8 +73,11 @@ def draw_salts(leaves: DataFrame, store: str, mode: str = "error") -> DataFrame:
 
 
 def with_salts(leaves: DataFrame, salts: DataFrame) -> DataFrame:
-    """Pairs by record and encoded path; a leaf without salt keeps null."""
-    return leaves.join(salts.select("record_id", "encoded_path", "salt"), ["record_id", "encoded_path"], "left")
+    """Pairs by record and encoded path; a leaf without salt keeps null. Leaves and salts meet in one shuffle by record,
+    which what follows (order, trees) uses again."""
+    both = leaves.withColumn("_leaf", F.lit(True)).unionByName(salts.select("record_id", "encoded_path", F.col("salt").alias("_salt")), allowMissingColumns=True)
+    same = Window.partitionBy("record_id", "encoded_path")
+    return both.repartition("record_id").withColumn("salt", F.max("_salt").over(same)).filter("_leaf").drop("_leaf", "_salt")
 
 
 def with_salts_by_place(leaves: DataFrame, salts: DataFrame) -> DataFrame:
@@ -145,24 +147,38 @@ def commit(records: DataFrame, typed: DataFrame, salts: DataFrame, ordering: str
     return rows, roots.withColumn("root", F.when(F.col("reason").isNull(), merkle.root(F.col("hashes")))).drop("hashes")
 
 
-def audit_paths(leaves: DataFrame, ordering: str = "path") -> DataFrame:
-    """record_id, leaf_index, leaf_count, root, leaf_hash, audit_path of every leaf; a tree's levels are made once."""
-    t = trees(leaves, ordering).withColumn("levels", merkle.levels(F.col("hashes")))
-    return t.select("record_id", "leaf_count", "root", "levels", F.posexplode("hashes").alias("leaf_index", "leaf_hash")).withColumn("audit_path", merkle.audit_path(F.col("levels"), F.col("leaf_index"))).drop("levels")
+def audit_paths(leaves: DataFrame, ordering: str = "path", *columns: str, only: str | None = None) -> DataFrame:
+    """record_id, leaf_index, leaf_count, root, leaf_hash, encoded_path, audit_path of every leaf, and columns of leaves; a
+    tree's levels are made once. only: a column that says which leaves' paths are wanted."""
+    key = ["encoded_path", "leaf_hash"] if ordering == "path" else ["leaf_hash", "encoded_path"]
+    merkle.domain(ordering)
+    rows = leaves.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct(*key, F.struct(*columns, *([only] if only else []), F.lit(0)).alias("_more")))).alias("k"))
+    levels = merkle.levels(F.transform("k", lambda x: x["leaf_hash"]))
+    t = rows.select("record_id", "k", levels.alias("levels")).withColumn("root", F.get(F.element_at("levels", -1), F.lit(0)))
+    each = t.select("record_id", F.size("k").alias("leaf_count"), "root", "levels", F.posexplode("k").alias("leaf_index", "x"))
+    if only:
+        each = each.filter(F.col(f"x._more.{only}"))
+    return each.select("record_id", "leaf_index", "leaf_count", "root", "x.leaf_hash", "x.encoded_path", merkle.audit_path(F.col("levels"), F.col("leaf_index")).alias("audit_path"), *[f"x._more.{c}" for c in columns])
 
 
 def disclose(leaves: DataFrame, reveal: DataFrame, floor: DataFrame, ordering: str = "path") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(disclosed leaves with their proofs, paths asked for that don't exist, floor paths left out).
 
     leaves: committed leaves of records; reveal and floor: record_id, encoded_path. The mandatory reserved leaves belong
-    to the floor.
+    to the floor. A record with a path in the second or third isn't disclosed at all. All three meet in one shuffle by
+    record, and leaves are hashed and put in order once.
     """
-    asked = reveal.select("record_id", "encoded_path").distinct()
-    unknown = asked.join(leaves, ["record_id", "encoded_path"], "left_anti")
-    below = floor.join(leaves, ["record_id", "encoded_path"], "left_semi").join(asked, ["record_id", "encoded_path"], "left_anti")
-    proofs = audit_paths(leaves, ordering)
-    shown = ordered(leaves, ordering).join(asked, ["record_id", "encoded_path"], "left_semi").join(proofs.select("record_id", "leaf_index", "leaf_count", "root", "audit_path"), ["record_id", "leaf_index"])
-    return shown.withColumn("display_path", display_path(F.col("path"))), unknown, below
+    mark = lambda rows, name: rows.select("record_id", "encoded_path", F.lit(True).alias(name))
+    both = leaves.withColumn("_leaf", F.lit(True)).unionByName(mark(reveal, "_asked"), allowMissingColumns=True).unionByName(mark(floor, "_floor"), allowMissingColumns=True)
+    same, record = Window.partitionBy("record_id", "encoded_path"), Window.partitionBy("record_id")
+    any_ = lambda name: F.coalesce(F.max(name).over(same), F.lit(False))
+    marked = both.repartition("record_id").select("*", any_("_leaf").alias("_is"), any_("_asked").alias("_shown"), any_("_floor").alias("_must"))
+    unknown, below = F.col("_shown") & ~F.col("_is"), F.col("_must") & ~F.col("_shown")
+    paths = lambda which: marked.filter(which).select("record_id", "encoded_path").distinct()
+    good = marked.withColumn("_refused", F.max(unknown | below).over(record)).filter("_leaf and not _refused")
+    kept = [c for c in leaves.columns if c not in ("record_id", "encoded_path", "leaf_hash")]
+    shown = audit_paths(good, ordering, *kept, only="_shown")
+    return shown.withColumn("display_path", display_path(F.col("path"))), paths(unknown), paths(below)
 
 
 def verify_leaves(shown: DataFrame, ordering: str = "path") -> DataFrame:

@@ -38,6 +38,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where they were read in fewer parts than these; a table of many files stays as it is."""
+    n = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def _work(spark: SparkSession) -> str:
     """A new folder that all executors see."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-")
@@ -85,7 +91,7 @@ def canonical_integer_sample(spark, d):
 def canonical_integer(spark, d):
     k = F.col("o_custkey").cast("string")
     v = F.array(k, F.concat(F.lit("-"), k), F.lit("-0"), F.concat(F.lit("0"), k), F.concat(k, F.lit(".0")), F.concat(F.lit("+"), k), F.repeat(F.lit("9"), F.lit(1024)), F.repeat(F.lit("9"), F.lit(1025)))
-    rows = _t(spark, d, "orders").select("o_orderkey", F.explode(v).alias("s"))
+    rows = _spread(_t(spark, d, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", F.explode(v).alias("s"))
     return rows.select("o_orderkey", F.sha2("s", 256).alias("s"), numbers.canonical_integer(F.col("s")).alias("canonical"), numbers.integer_reason(F.col("s")).alias("reason"))
 
 
@@ -114,7 +120,7 @@ def canonical_decimal(spark, d):
     q = F.col("l_quantity").cast("int").cast("string")
     c = lambda a, b: F.concat(F.lit(a), q, F.lit(b))
     v = F.array(c("", ".50"), c("", "e2"), c("-", ".0e-3"), F.lit("-0.00"), c("", ".250E+1"), c("", "e-5"), c("", "."), F.lit(".5"), c("0", ""), c("", "e1024"), F.lit("1e1023"), c("", "e99999999999"), F.lit("0e5"))
-    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(v).alias("s"))
+    rows = _spread(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", "l_linenumber", F.explode(v).alias("s"))
     return rows.withColumns({"canonical": numbers.canonical_decimal(F.col("s")), "reason": numbers.decimal_reason(F.col("s"))})
 
 
@@ -427,7 +433,10 @@ _SQL_ALL = f"{_SQL_CELLS}, {_SQL_RESERVED}, both_ as (select * from cells union
 def commit_orders(spark, d):
     """The whole way: cells and identity to leaves, salts by path, hashes, roots; orders without lines are refused."""
     cells, recs = order_cells(spark, d), order_records(spark, d)
-    named = cells.select("record_id", "path").unionByName(leaves.reserved_leaves(recs).select("record_id", "path"))
+    # Salts are made from how many lines an order has; nothing of the lines is read or sorted for them.
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n")).select(_record(F.col("l_orderkey")).alias("record_id"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    own = lines.select("record_id", F.explode(F.array(*[path("lines", F.col("i"), c) for c in _CELLS])).alias("path"))
+    named = own.unionByName(leaves.reserved_leaves(recs).select("record_id", "path"))
     salts = named.select("record_id", encode_path(F.col("path")).alias("encoded_path"), _salt(F.col("record_id"), display_path(F.col("path"))).alias("salt"))
     _, roots = leaves.commit(recs, cells, salts, ascii_only=True)
     return roots.select("record_id", F.col("leaf_count").cast("long").alias("leaf_count"), binary.to_hex(F.col("root")).alias("root"), "reason")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,21 +12,47 @@ from leafmill.functions.text import nfc
 from leafmill.sources.type_maps import Automaton, PatternMap
 
 
-def by_patterns(leaves: DataFrame, entries: PatternMap) -> DataFrame:
-    """leaves (path, json_kind, ...) with ``tag``, null where no entry fits. Keys are compared in NFC.
+#: Maps by record type, schema version and content id (none where an envelope may go without).
+TypeMaps = dict[tuple[str, str, str | None], PatternMap | Automaton]
+
+
+def bind(leaves: DataFrame, maps: TypeMaps | PatternMap | Automaton) -> DataFrame:
+    """leaves (path, json_kind, ...) with ``tag``, null where nothing binds it. With several maps, each leaf (record_type,
+    schema_version, type_map_id) is bound by the one that is exactly its own; there is no other choice and no latest one."""
+    if isinstance(maps, PatternMap):
+        return by_patterns(leaves, maps)
+    if isinstance(maps, Automaton):
+        return leaves.withColumn("tag", walk_automaton(F.col("path"), F.col("json_kind"), maps))
+    mine = lambda key: F.col("record_type").eqNullSafe(F.lit(key[0])) & F.col("schema_version").eqNullSafe(F.lit(key[1])) & F.col("type_map_id").eqNullSafe(F.lit(key[2]))
+    patterns = [(key, m) for key, m in maps.items() if isinstance(m, PatternMap)]
+    which = F.lit(None).cast("int")
+    for i, (key, _) in enumerate(patterns):
+        which = F.when(mine(key), F.lit(i)).otherwise(which)
+    out = by_patterns(leaves.withColumn("_map", which), *[m for _, m in patterns]).drop("_map") if patterns else leaves.withColumn("tag", F.lit(None).cast("int"))
+    for key, m in maps.items():
+        if isinstance(m, Automaton):
+            out = out.withColumn("tag", F.when(mine(key), walk_automaton(F.col("path"), F.col("json_kind"), m)).otherwise(F.col("tag")))
+    return out
+
+
+def by_patterns(leaves: DataFrame, *maps: PatternMap) -> DataFrame:
+    """leaves (path, json_kind, ...) with ``tag``, null where no entry fits. Keys are compared in NFC. Of several maps, the
+    one whose number is in the column _map counts.
 
     Patterns are compared once for each different shape, as equal keys: closed ones with the shape, open ones with its
-    beginnings. The map is metadata of a few thousand entries, whose size from_text fixes, so it is broadcast.
+    beginnings. Maps are metadata of a few thousand entries, whose size from_text fixes, so they are broadcast.
     """
-    table = F.broadcast(entries.table(leaves.sparkSession))
-    shaped = leaves.withColumn("_shape", shape(F.col("path")))
-    kinds = shaped.select("_shape", "json_kind").distinct().withColumn("_normal", nfc(F.col("_shape")))
+    spark = leaves.sparkSession
+    table = F.broadcast(reduce(DataFrame.unionByName, [m.table(spark).withColumn("m", F.lit(i)) for i, m in enumerate(maps)]))
+    number = F.col("_map") if "_map" in leaves.columns else F.lit(0)
+    shaped = leaves.withColumn("_shape", shape(F.col("path"))).withColumn("_m", number)
+    kinds = shaped.select("_shape", "json_kind", "_m").distinct().withColumn("_normal", nfc(F.col("_shape")))
     parts = F.split("_normal", r"(?<!\\)/")
     begins = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    asked = kinds.select("_shape", F.col("json_kind").alias("_kind"), F.explode(F.concat(F.array(F.struct(F.col("_normal").alias("s"), F.lit(False).alias("o"))), F.transform(begins, lambda b: F.struct(b.alias("s"), F.lit(True).alias("o"))))).alias("q"))
-    found = asked.join(table, (F.col("q.s") == F.col("shape")) & (F.col("q.o") == F.col("open")) & (F.col("json_kind").isNull() | (F.col("json_kind") == F.col("_kind"))))
-    first = found.groupBy(F.col("_shape").alias("_at"), "_kind").agg(F.min_by("tag", "ordinal").alias("tag"))
-    return shaped.join(first, (shaped["_shape"] == first["_at"]) & (shaped["json_kind"] == first["_kind"]), "left").drop("_shape", "_at", "_kind")
+    asked = kinds.select("_shape", "_m", F.col("json_kind").alias("_kind"), F.explode(F.concat(F.array(F.struct(F.col("_normal").alias("s"), F.lit(False).alias("o"))), F.transform(begins, lambda b: F.struct(b.alias("s"), F.lit(True).alias("o"))))).alias("q"))
+    found = asked.join(table, (F.col("q.s") == F.col("shape")) & (F.col("q.o") == F.col("open")) & (F.col("_m") == F.col("m")) & (F.col("json_kind").isNull() | (F.col("json_kind") == F.col("_kind"))))
+    first = found.groupBy(F.col("_shape").alias("_at"), "_kind", F.col("_m").alias("_of")).agg(F.min_by("tag", "ordinal").alias("tag"))
+    return shaped.join(first, (shaped["_shape"] == first["_at"]) & (shaped["json_kind"] == first["_kind"]) & (shaped["_m"] == first["_of"]), "left").drop("_shape", "_at", "_kind", "_m", "_of")
 
 
 def walk_automaton(path: Column, json_kind: Column, automaton: Automaton) -> Column:

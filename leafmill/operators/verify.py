@@ -4,16 +4,18 @@ its record, its count and root; of a disclosed one, its leaves in their order, i
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
 from leafmill.functions import merkle
-from leafmill.functions.paths import encode_path, known_path
+from leafmill.functions.paths import encode_path, is_reserved, known_path
 from leafmill.functions.text import nfc
 from leafmill.functions.values import carrier_reason, encode_value
 from leafmill.operators import leaves as L
-from leafmill.operators.typing import by_patterns
+from leafmill.operators.typing import TypeMaps, bind
 from leafmill.sources.envelopes import read_envelopes
 from leafmill.sources.type_maps import PatternMap
 
@@ -24,40 +26,76 @@ def _one_of(column: Column, names) -> Column:
     return F.coalesce(column.isin(*names), F.lit(False)) if names else F.lit(False)
 
 
-def verify(envelopes: DataFrame, profiles: dict[str, list[list[str]]] | None = None, type_map: PatternMap | None = None, ordering: str = "path", anchored: DataFrame | None = None) -> DataFrame:
-    """envelope_id, accepted, reason. envelopes: envelope_id, envelope_json.
+@dataclass
+class Verifier:
+    """What a verifier is configured with. Nothing of it is ever taken from an envelope."""
+
+    profiles: dict[str, list[list[str]]] | None = None  #: record types and the paths they must show
+    maps: TypeMaps | PatternMap | None = None  #: of full copies' records
+    algorithms: tuple[str, ...] = (C.HASH_ALG,)
+    ordering: str = "path"
+    anchored: DataFrame | None = None  #: envelope_id, root, and if there hash_alg: what the registry records
+    registry: str | None = None  #: address and chain that an envelope may name
+    chain_id: int | None = None
+    need_type_map: bool = False  #: refuse envelopes that aren't bound to an exact map
+    empty_containers: str = "mechanical"  #: or map-authorized: empty containers and nulls only where the map binds them
+
+
+def verify(envelopes: DataFrame, profiles: dict[str, list[list[str]]] | None = None, type_map: TypeMaps | PatternMap | None = None, ordering: str = "path", anchored: DataFrame | None = None, config: Verifier | None = None) -> DataFrame:
+    """envelope_id, accepted, reason, undischarged. envelopes: envelope_id, envelope_json. config, or its parts.
 
-    profiles: record types and the paths they must show. type_map: of full copies' records; empty containers and nulls
-    are bound by their kind. ordering comes from the verifier, never from the envelope. anchored: envelope_id, root.
+    undischarged: what this verifier wasn't in a position to check, by name.
     """
-    profiles = C.PROFILE_FLOORS if profiles is None else profiles
+    v = config or Verifier(profiles, type_map, ordering=ordering, anchored=anchored)
+    profiles = C.PROFILE_FLOORS if v.profiles is None else v.profiles
     rows = read_envelopes(envelopes)
     head = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(F.col("canon") != C.CANON, F.lit("envelope-malformed"))
-        .when(F.col("hash_alg") != C.HASH_ALG, F.lit("hash-alg-not-allowed"))
+        .when(~_one_of(F.col("hash_alg"), [a for a in v.algorithms if a == C.HASH_ALG]), F.lit("hash-alg-not-allowed"))
         .when(~_one_of(F.col("record_type"), profiles), F.lit("profile-unknown"))
+        .when(F.lit(v.need_type_map) & F.col("type_map_id").isNull(), F.lit("outer-identity-mismatch"))
     )
-    rows = rows.withColumn("head", head)
-    if anchored is not None:
-        rows = rows.join(anchored.select("envelope_id", F.col("root").alias("_anchor")), "envelope_id", "left").withColumn("head", F.coalesce("head", F.when(~F.col("_anchor").eqNullSafe(F.col("root")), F.lit("root-mismatch")))).drop("_anchor")
+    if v.anchored is not None:
+        alg = F.col("hash_alg") if "hash_alg" in v.anchored.columns else F.lit(None).cast("string")
+        rows = rows.join(v.anchored.select("envelope_id", F.col("root").alias("_root"), alg.alias("_alg")), "envelope_id", "left")
+        head = head.when(F.col("_alg") != F.col("hash_alg"), F.lit("hash-alg-not-allowed")).when(~F.col("_root").eqNullSafe(F.col("root")), F.lit("root-mismatch"))
+    for known, named in ((v.registry, F.col("registry")), (v.chain_id, F.col("chain_id"))):
+        if known is not None:
+            head = head.when(F.col("registry").isNotNull() & ~named.eqNullSafe(F.lit(known)), F.lit("envelope-malformed"))
+    open_ = [F.when(F.col("type_map_id").isNull(), F.lit("type-map-not-bound")), F.when(F.col("leaves").isNotNull(), F.lit("type-map-not-checked"))]
+    if v.anchored is None or "hash_alg" not in v.anchored.columns:
+        open_.append(F.lit("algorithm-not-anchored"))
+    if v.anchored is None:
+        open_.append(F.lit("root-not-anchored"))
+    rows = rows.withColumn("head", head).withColumn("undischarged", F.array_compact(F.array(*open_))).drop("_root", "_alg")
     good = rows.filter("head is null")
-    full = _full(good.filter("leaves is null"), type_map, ordering)
-    shown = _disclosed(good.filter("leaves is not null"), profiles, ordering)
+    full = _full(good.filter("leaves is null"), v)
+    shown = _disclosed(good.filter("leaves is not null"), profiles, v.ordering)
     both = full.unionByName(shown).withColumnRenamed("reason", "found").withColumnRenamed("envelope_id", "_id")
-    out = rows.join(both, rows["envelope_id"] == both["_id"], "left").select("envelope_id", F.coalesce("head", "found").alias("reason"))
-    return out.select("envelope_id", F.col("reason").isNull().alias("accepted"), "reason")
+    out = rows.join(both, rows["envelope_id"] == both["_id"], "left").select("envelope_id", F.coalesce("head", "found").alias("reason"), "undischarged")
+    return out.select("envelope_id", F.col("reason").isNull().alias("accepted"), "reason", F.when(F.col("reason").isNull(), F.col("undischarged")).alias("undischarged"))
 
 
-def _full(rows: DataFrame, type_map: PatternMap | None, ordering: str) -> DataFrame:
-    own = rows.select(F.col("envelope_id").alias("record_id"), F.inline("own"))
-    bound = by_patterns(own, type_map or PatternMap([]))
+def rebuilt(rows: DataFrame, v: Verifier) -> tuple[DataFrame, DataFrame]:
+    """(leaves, roots) of full copies, read by ``read_envelopes``, under the salts that they carry; record_id is the
+    envelope's."""
+    own = rows.select(F.col("envelope_id").alias("record_id"), "record_type", "schema_version", "type_map_id", F.inline("own"))
+    bound = bind(own, v.maps or PatternMap([]))
     empty = F.when(F.col("json_kind") == "null", C.NULL).when(F.col("json_kind") == "array", C.EMPTY_ARRAY).when(F.col("json_kind") == "object", C.EMPTY_OBJECT)
-    typed = bound.withColumn("tag", F.coalesce(empty, F.col("tag")))
-    salts = rows.select(F.col("envelope_id").alias("record_id"), F.inline("salts")).withColumn("encoded_path", encode_path(L.normal_path(F.col("path")))).drop("path")
-    twice = L.duplicate_paths(salts).select(F.col("record_id").alias("_twice")).distinct()
+    typed = bound.withColumn("tag", F.coalesce(empty, F.col("tag"))) if v.empty_containers == "mechanical" else bound
+    salts = _path_salts(rows)
     identity = rows.select(F.col("envelope_id").alias("record_id"), F.col("record_id").alias("identity_id"), *L.IDENTITY)
-    _, roots = L.commit(identity, typed, salts, ordering, identity_id="identity_id")
+    return L.commit(identity, typed, salts, v.ordering, identity_id="identity_id")
+
+
+def _path_salts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("envelope_id").alias("record_id"), F.inline("salts")).withColumn("encoded_path", encode_path(L.normal_path(F.col("path")))).drop("path")
+
+
+def _full(rows: DataFrame, v: Verifier) -> DataFrame:
+    twice = L.duplicate_paths(_path_salts(rows)).select(F.col("record_id").alias("_twice")).distinct()
+    _, roots = rebuilt(rows, v)
     made = roots.select(F.col("record_id").alias("_id"), F.col("leaf_count").alias("_n"), F.col("root").alias("_root"), F.col("reason").alias("_why"))
     out = rows.join(made, rows["envelope_id"] == made["_id"], "left").join(twice, F.col("envelope_id") == F.col("_twice"), "left")
     reason = (
@@ -74,13 +112,13 @@ def _full(rows: DataFrame, type_map: PatternMap | None, ordering: str) -> DataFr
 def _disclosed(rows: DataFrame, profiles: dict[str, list[list[str]]], ordering: str) -> DataFrame:
     each = rows.select("envelope_id", "root", "leaf_count", F.posexplode("leaves").alias("place", "l")).select("envelope_id", "root", "leaf_count", "place", "l.*")
     each = each.withColumn("path", L.normal_path(F.col("path"))).withColumn("encoded_path", encode_path(F.col("path")))
-    each = each.withColumn("bad", F.coalesce(carrier_reason(F.col("tag"), F.col("value")), F.when(F.octet_length("salt") != C.SALT_BYTES, F.lit("salt-length"))))
+    each = each.withColumn("bad", F.coalesce(carrier_reason(F.col("tag"), F.col("value")), F.when(F.octet_length("salt") != C.SALT_BYTES, F.lit("salt-length")), F.when(is_reserved(F.col("path"), C.RESERVED_PREFIX) & (F.col("tag") != C.STRING), F.lit("value-type-mismatch"))))
     value = encode_value(F.col("tag"), F.when(F.col("bad").isNull(), F.col("value")))
     each = each.withColumn("leaf_hash", merkle.leaf_hash(F.col("encoded_path"), F.col("tag"), value, F.col("salt"), ordering))
     proven = merkle.verify_inclusion(F.col("leaf_hash"), F.col("index"), F.col("leaf_count"), F.col("audit_path"), F.col("root"))
     each = each.withColumn("bad", F.coalesce("bad", F.when(~proven, F.lit("inclusion-proof-failed")))).withColumn("text", nfc(F.when(F.col("tag") == C.STRING, F.col("value"))))
     named = {key: F.max(F.when(F.col("encoded_path") == known_path([key]), F.coalesce("text", F.lit("\u0000")))).alias(f"_{column}") for key, column in _IDENTITY.items()}
-    per = each.groupBy(F.col("envelope_id").alias("_id")).agg(F.min_by("bad", F.when(F.col("bad").isNotNull(), F.col("place"))).alias("bad"), F.count(F.lit(1)).alias("n"), F.collect_set("encoded_path").alias("paths"), *named.values())
+    per = each.groupBy(F.col("envelope_id").alias("_id")).agg(F.min_by("bad", F.when(F.col("bad").isNotNull(), F.col("place"))).alias("bad"), F.count(F.lit(1)).alias("n"), F.collect_set("encoded_path").alias("paths"), F.count_distinct("index").alias("indices"), *named.values())
     out = rows.join(per, rows["envelope_id"] == per["_id"], "left")
     differs = F.lit(False)
     for column in _IDENTITY.values():
@@ -96,7 +134,7 @@ def _disclosed(rows: DataFrame, profiles: dict[str, list[list[str]]], ordering:
             below = below | ((F.col("record_type") == record_type) & ~F.array_contains(paths, known_path(keys)))
     reason = (
         F.when(F.col("bad").isNotNull(), F.col("bad"))
-        .when(F.size(paths) < F.coalesce("n", F.lit(0)), F.lit("envelope-malformed"))
+        .when(F.least(F.size(paths), F.coalesce("indices", F.lit(0))) < F.coalesce("n", F.lit(0)), F.lit("envelope-malformed"))
         .when(differs, F.lit("outer-identity-mismatch"))
         .when(below, F.lit("minimum-disclosure-floor"))
     )

@@ -49,6 +49,56 @@ def parse(text: str):
         raise Rejected("json-syntax") from None
 
 
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"} | {chr(c): f"\\u{c:04x}" for c in range(32) if chr(c) not in "\b\f\n\r\t"}
+
+
+def _quoted(s: str) -> str:
+    if any("\ud800" <= c <= "\udfff" for c in s):
+        raise Rejected("unpaired-surrogate")
+    return '"' + "".join(_ESCAPES.get(c, c) for c in s) + '"'
+
+
+def write(node, indent: int = 0, depth: int = 0) -> str:
+    """JSON text of a parsed document; numbers as they were written, members in their order."""
+    if isinstance(node, (dict, list)) and node:
+        gap, last = (("\n" + " " * (indent * (depth + 1)), "\n" + " " * (indent * depth)) if indent else ("", ""))
+        if isinstance(node, dict):
+            items = [f"{_quoted(k)}:{' ' if indent else ''}{write(v, indent, depth + 1)}" for k, v in node.items()]
+        else:
+            items = [write(v, indent, depth + 1) for v in node]
+        body = gap + f",{gap}".join(items) + last
+        return f"{{{body}}}" if isinstance(node, dict) else f"[{body}]"
+    k = kind(node)
+    return {"null": "null", "array": "[]", "object": "{}"}.get(k) or (str(node).lower() if k == "boolean" else str(node) if k == "number" else _quoted(node))
+
+
+def decoded(data: bytes | str) -> str:
+    """Strict UTF-8."""
+    try:
+        return data if isinstance(data, str) else data.decode()
+    except UnicodeDecodeError:
+        raise Rejected("json-syntax") from None
+
+
+def rewritten(records: DataFrame, indent: int = 0) -> DataFrame:
+    """records (record_id, record_json) as ``write`` writes them again: record_id, record_json, reason."""
+    schema = pa.schema([("record_id", pa.string()), ("record_json", pa.string()), ("reason", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for record_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    if text is None:
+                        raise Rejected("json-syntax")
+                    out.append((record_id, write(parse(decoded(text)), indent), None))
+                except Rejected as e:
+                    out.append((record_id, None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return records.select(F.col("record_id").cast("string").alias("record_id"), "record_json").mapInArrow(run, "record_id string, record_json string, reason string")
+
+
 def kind(node) -> str:
     return "number" if isinstance(node, _Number) else "string" if isinstance(node, str) else "boolean" if isinstance(node, bool) else "null" if node is None else "array" if isinstance(node, list) else "object"
 
@@ -74,8 +124,8 @@ def walk(node, path: list[dict] | None = None):
 
 
 def flatten(records: DataFrame) -> DataFrame:
-    """records: record_id, record_json. Rows: record_id, position, path, json_kind, literal, reason. A record that isn't
-    strict JSON, or null, has one row with a reason and no path."""
+    """records: record_id, record_json (text, or bytes in strict UTF-8). Rows: record_id, position, path, json_kind, literal,
+    reason. A record that isn't strict JSON, or null, has one row with a reason and no path."""
 
     def run(batches):
         for batch in batches:
@@ -84,7 +134,7 @@ def flatten(records: DataFrame) -> DataFrame:
                 try:
                     if text is None:
                         raise Rejected("json-syntax")
-                    found = [(record_id, i, p, k, v, None) for i, (p, k, v) in enumerate(walk(parse(text)))]
+                    found = [(record_id, i, p, k, v, None) for i, (p, k, v) in enumerate(walk(parse(decoded(text))))]
                 except Rejected as e:
                     found = [(record_id, 0, None, None, None, str(e))]
                 for row in found:

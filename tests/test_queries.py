@@ -1,6 +1,6 @@
 import pytest
 
-from leafmill.plans import queries as plans
+from leafmill.plans import issuing, queries as plans  # noqa: F401
 from tests.oracle import connect, rows
 
 

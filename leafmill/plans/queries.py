@@ -45,8 +45,12 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 
 def _work(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-")
+    """A new folder that all executors see; a temporary one only where everything runs in one process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        base = tempfile.mkdtemp(prefix="leafmill-")
     return f"{base.rstrip('/')}/plans-{uuid.uuid4().hex}"
 
 

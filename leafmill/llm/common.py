@@ -15,11 +15,14 @@ ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset and
+    everything runs in one process (tests). On a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
         if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill-"))
             folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -31,11 +34,28 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def saved(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no work before it."""
-    path = path or new_path(df.sparkSession, what)
+    if path is None:
+        path = new_path(df.sparkSession, what)
+        _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that ``saved`` has made and nothing has removed yet.
+_made: list[str] = []
+
+
+def drop_all_saved(spark: SparkSession, but: int = 0) -> None:
+    """Removes the tables that operators have saved in this process since the first ``but`` of them; for when their results
+    have been written elsewhere, since what operators return reads these tables."""
+    while len(_made) > but:
+        drop_saved(spark, _made.pop())
+
+
+def n_saved() -> int:
+    return len(_made)
+
+
 def drop_saved(spark: SparkSession, path: str) -> None:
     """Removes a saved table that nothing will read again."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

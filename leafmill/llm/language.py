@@ -6,8 +6,9 @@ lower orders different continuations to the left; discounts are n1 / (n1 + 2 * n
 languages are stored together: for each order a sorted array of 64-bit hashes beside a matrix of log-probabilities, a
 column a language, and the same for contexts and their back-off weights.
 
-The language of the lowest cross-entropy per character is chosen. A text of MIN_LETTERS letters or more is rejected if
-that is above the highest seen for its language in texts the counts don't have, plus MARGIN.
+The language of the lowest cross-entropy per character is chosen. Rejection is calibrated on texts that the counts don't
+have, cut into pieces of some length: a text is rejected if its cross-entropy is above what all but FALSE_REJECTION of the
+pieces of its language and of its class of length have. Shorter texts than the least of LENGTHS are never rejected.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import slices
 
 ORDER = 5
-#: The bounded sample for fitting: so many different texts a language, each of at most so many bytes, whole.
-TEXTS_PER_LANGUAGE, TEXT_BYTES = 400, 100_000
-LANGUAGES = 256
-MIN_LETTERS, MARGIN = 60, 1.5
+#: The bounded sample for fitting: at most so many different texts a language, and about so many bytes of them in all
+#: languages together, each text of at most so many bytes, whole. The driver gets about twice that.
+TEXTS_PER_LANGUAGE, SAMPLE_BYTES, TEXT_BYTES = 400, 12_000_000, 100_000
+#: Of texts in a learnt language at most about this part is rejected; classes of length, in scored characters.
+FALSE_REJECTION, LENGTHS = 0.001, (24, 48, 96, 192, 384)
+#: Fewer pieces than this say nothing about a class: it takes the limit of the next shorter one.
+ENOUGH = 200
 #: Of the sample every fourth text is kept from the counts, for the thresholds.
 CALIBRATION = 4
 #: Confidence grows with a text's length up to so many characters.
@@ -49,6 +53,14 @@ def _slices(text: str, size: int = 1 << 20):
     yield text[at:]
 
 
+def _words(text: str) -> list[str]:
+    """Lower-case runs of letters. Other numerals than digits (a half, a Roman two) aren't letters."""
+    found = _WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    return [v for w in found for v in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def _hashed(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Of every scored place in words: its word, its n-gram hashes and context hashes of orders 1 to ORDER."""
     pad = _START * (ORDER - 1)
@@ -80,7 +92,7 @@ class Model:
     contexts: list[np.ndarray]
     log_backoff: list[np.ndarray]
     floor: float
-    limits: np.ndarray
+    limits: np.ndarray  #: of each language and class of length
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each word in each language, and its scored characters."""
@@ -113,7 +125,7 @@ class Model:
             while pieces and size < 1 << 21:
                 t, piece = pieces.pop()
                 size += len(piece)
-                words = _WORD.findall(piece.lower())
+                words = _words(piece)
                 if words:
                     group.append((t, np.array([number.setdefault(w, len(number)) for w in words])))
             scores, n = self.words(list(number))
@@ -131,7 +143,8 @@ class Model:
         least = entropy[np.arange(len(best)), best]
         odds = np.exp((least[:, None] - entropy) * np.minimum(chars, SURE)[:, None])
         score = np.where(chars > 0, 1 / odds.sum(axis=1), 0.0)
-        rejected = (chars == 0) | ((chars >= MIN_LETTERS) & (least > self.limits[best]))
+        length = np.searchsorted(LENGTHS, chars, side="right") - 1
+        rejected = (chars == 0) | ((length >= 0) & (least > self.limits[best, np.maximum(length, 0)]))
         return [self.languages[b] if c else "und" for b, c in zip(best, chars, strict=True)], score, rejected
 
 
@@ -148,7 +161,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
     for lang in languages:
         count: dict[str, int] = {}
         for text in counted[lang]:
-            for w in _WORD.findall(text.lower()):
+            for w in _words(text):
                 count[w] = count.get(w, 0) + 1
         words = list(count) or ["a"]
         symbols |= {c for w in words for c in w}
@@ -165,7 +178,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
             use, n = at, np.ones(len(at))
         tables.append(by_order)
     floor = -float(np.log(len(symbols) + 2))
-    model = Model(languages, [], [], [], [], floor, np.full(len(languages), np.inf))
+    model = Model(languages, [], [], [], [], floor, np.full((len(languages), len(LENGTHS)), np.inf))
     for order in range(ORDER):
         keys, first = np.unique(np.concatenate([t[order][0] for t in tables] or [np.empty(0, np.uint64)]), return_index=True)
         context = np.concatenate([t[order][2] for t in tables] or [keys])[first]
@@ -191,32 +204,52 @@ def fit(samples: dict[str, list[str]]) -> Model:
         model.contexts.append(all_contexts)
         model.log_backoff.append(np.log(backoff).astype(np.float32))
     for i, lang in enumerate(languages):
-        if held[lang]:
-            entropy, chars = model.texts(held[lang])
-            ok = chars >= MIN_LETTERS
-            if ok.any():
-                model.limits[i] = entropy[ok, i].max() + MARGIN
+        for c, least in enumerate(LENGTHS):
+            pieces = [p for text in held[lang] for p in _cut(text, least)]
+            entropy, chars = model.texts(pieces)
+            ok = chars >= least
+            if ok.sum() >= ENOUGH:
+                # What is chosen is the least over all languages; so is what the limit is set by.
+                model.limits[i, c] = np.quantile(entropy[ok].min(axis=1), 1 - FALSE_REJECTION, method="higher")
+            elif c:
+                model.limits[i, c] = model.limits[i, c - 1]
     return model
 
 
+def _cut(text: str, least: int):
+    """Pieces of text of at least so many scored characters, whole words."""
+    piece, n = [], 0
+    for w in _words(text):
+        piece.append(w)
+        n += len(w) + 1
+        if n >= least:
+            yield " ".join(piece)
+            piece, n = [], 0
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """At most TEXTS_PER_LANGUAGE different texts of each language, of those of at most TEXT_BYTES bytes that are not
-    held out, by the least hashes of the texts; of the LANGUAGES commonest languages. The driver gets about twice that."""
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= TEXT_BYTES))
+    """Some different texts of every language, not held out, by the least hashes of the texts: at most TEXTS_PER_LANGUAGE
+    each, and an equal part of SAMPLE_BYTES, of those of at most TEXT_BYTES bytes. A language that has only longer ones
+    is learnt from the beginning of its shortest."""
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
+    size = F.octet_length("text")
+    short = size <= TEXT_BYTES
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
     # One row a language; the estimate of different texts keeps copies from thinning the sample.
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(2.0 * TEXTS_PER_LANGUAGE / max(1, r["n"]))).otherwise(rate)
-    out: dict[str, list] = {r["lang"]: [] for r in counts}
-    for r in rows.withColumn("h", h).filter(F.col("h") < rate).groupBy("lang", "text").agg(F.first("h").alias("h")).collect():
+    begin = F.min_by(F.substring("text", 1, TEXT_BYTES // 4), F.when(~short, F.struct(size, h)))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.when(short, F.xxhash64("text"))).alias("n"), F.avg(F.when(short, size)).alias("size"), begin.alias("begin")).collect()
+    bytes_each = SAMPLE_BYTES / max(1, len(counts))
+    wanted = {r["lang"]: min(TEXTS_PER_LANGUAGE, max(1, int(bytes_each / max(1.0, r["size"])))) for r in counts if r["n"]}
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * wanted[r["lang"]] + 8) / r["n"])) for r in counts if r["n"]], "lang string, rate double")
+    out: dict[str, list] = {r["lang"]: [] if r["n"] else [(0.0, r["begin"])] for r in counts}
+    # rates: a row a language, as was collected.
+    for r in rows.filter(short).withColumn("h", h).join(F.broadcast(rates), "lang").filter(F.col("h") < F.col("rate")).groupBy("lang", "text").agg(F.first("h").alias("h")).collect():
         out[r["lang"]].append((r["h"], r["text"]))
-    return {lang: [t for _, t in sorted(found)[:TEXTS_PER_LANGUAGE]] for lang, found in out.items() if found}
+    return {lang: [t for _, t in sorted(found)[: wanted.get(lang, 1)]] for lang, found in out.items() if found}
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

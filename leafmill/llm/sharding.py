@@ -5,8 +5,9 @@ is widest. All nodes of a level are split together. A weighted median is found b
 of every node into bins of its current interval, sums bytes per node and bin (at most ``n_shards * BINS`` sums reach the
 driver, whatever the rows), and goes on in the bin that holds the median, until that bin weighs almost nothing.
 
-Rows that agree in a dimension are ordered by a hash of the row, so one hot source or a document repeated a billion
-times is split like anything else.
+Equal texts stay together: they are one point of the tree. Only a text whose rows are too large a part of a shard
+(PART_OF_SHARD), in bytes or in number, is dealt by row. Points that agree in a dimension are ordered by a hash, so one hot source or
+a document repeated a billion times is split like anything else.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ BINS = 1024
 DIM_BITS, TIE_BITS = 29, 32
 #: A median is settled once its bin weighs less than this part of a shard.
 TOLERANCE = 0.0005
+#: A text is dealt by row if its rows weigh more than this part of a shard and more than the heaviest row, or are more in
+#: number than this part of a shard and than MANY.
+PART_OF_SHARD, MANY = 0.02, 1000
 
 
 @dataclass
@@ -93,7 +97,8 @@ def kd_tree(meta: DataFrame, dims: list[str], n_shards: int) -> Node:
 def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """One row a document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is ``bytes``: shards of near-equal bytes. A null text has size 8 and the checksum of no bytes, 0. Null
+    The law is ``bytes``: shards of near-equal bytes, in which equal texts share a
+    shard unless they are a large part of one. A null text has size 8 and the checksum of no bytes, 0. Null
     metadata sorts below all other. Repeated rows are rows of their own, each with a slot of its own. An empty table
     gives no rows. Columns other than doc_id, text, lang and source are not looked at.
     """
@@ -104,6 +109,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
         label("lang").cast("double").alias("d_lang"),
         label("source").cast("double").alias("d_source"),
         F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)).alias("d_id"),
@@ -112,17 +118,32 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     )
     raw = saved(raw, "shard-meta")
     dims = ["d_lang", "d_source", "d_id", "d_length"]
-    ends = raw.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    # Equal texts are one point of the tree, at the least of their labels, unless they are too large a part of a shard.
+    # A text by two checksums and its size; at most 2 * n_shards / PART_OF_SHARD are too large, which bounds what is broadcast.
+    same = ["text_hash", "text_crc32", "size"]
+    groups = raw.groupBy(*same).agg(F.sum(F.col("size")).alias("_all"), F.count(F.lit(1)).alias("_n"), *[F.min(d).alias(d) for d in dims])
+    total = raw.agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most")).first()
+    too_large = (F.col("_all") > max(total["most"] or 0, PART_OF_SHARD * (total["size"] or 0) / n_shards)) | (F.col("_n") > max(MANY, PART_OF_SHARD * total["n"] / n_shards))
+    large = groups.filter(too_large).select(*same).withColumn("_large", F.lit(True))
+    marked = raw.join(F.broadcast(large), same, "left")
+    alone = marked.filter("_large").select("doc_id", *same, "_row", *dims, F.col("size").alias("weight"))
+    points = groups.filter(~too_large).select(F.lit(None).cast("long").alias("doc_id"), *same, F.lit(None).cast("long").alias("_row"), *dims, F.col("_all").alias("weight"))
+    points = saved(alone.unionByName(points), "shard-points")
+    ends = points.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
 
     def key(d: str) -> Column:
         lo, hi = ends[f"lo_{d}"] or 0.0, ends[f"hi_{d}"] or 0.0
         part = (F.col(d) - F.lit(lo)) / F.lit(hi - lo) if hi > lo else F.lit(0.0)
         return (F.shiftleft(F.floor(part * F.lit(float((1 << DIM_BITS) - 1))).cast("long"), TIE_BITS) + F.col("_tie")).alias(d)
 
-    meta = raw.withColumn("_tie", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(1 << TIE_BITS)))
-    meta = saved(meta.select("doc_id", "size", "text_crc32", "_tie", *[key(d) for d in dims]), "shard-keys")
-    tree = kd_tree(meta, dims, n_shards)
-    placed = meta.select("doc_id", "size", "text_crc32", "_tie", _leaf_of(tree, lambda n: n.first).cast("int").alias("shard"))
+    tie = F.when(F.col("_row").isNull(), F.xxhash64(*same)).otherwise(F.xxhash64("doc_id", "_row"))
+    points = points.withColumn("_tie", F.pmod(tie, F.lit(1 << TIE_BITS)))
+    meta = saved(points.select("doc_id", *same, "_row", F.col("weight").alias("_bytes"), *[key(d) for d in dims]), "shard-keys")
+    tree = kd_tree(meta.withColumn("size", F.col("_bytes")), dims, n_shards)
+    at = meta.select(*same, "doc_id", "_row", _leaf_of(tree, lambda n: n.first).cast("int").alias("shard"))
+    # Rows of a large text were points themselves; all others meet their group, which is small.
+    few = marked.filter("_large is null").select("doc_id", *same, "_row").join(at.filter("_row is null").select(*same, "shard"), same)
+    placed = few.unionByName(at.filter("_row is not null").select("doc_id", *same, "_row", "shard")).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(1 << TIE_BITS)).alias("_tie"))
     # The position in the whole order, from the partition (its high bits) and the row in it, gives slots without a window.
     ordered = placed.repartitionByRange("shard", "doc_id", "_tie").sortWithinPartitions("shard", "doc_id", "_tie")
     ordered = saved(ordered.withColumn("_at", F.monotonically_increasing_id()), "shards")

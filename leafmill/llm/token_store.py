@@ -144,6 +144,13 @@ def write(docs: DataFrame, tokenizer: str, store: str, end_id: int = 2, width: i
     ordered = stage.select("doc_id", "n_tokens", "digests", "root").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     ordered.mapInArrow(place, "part long, at long, doc_id long, local_start long, n_tokens long, digests array<binary>, root binary").write.option("compression", "zstd").parquet(f"{store}/recipes")
 
+    _sealed(spark.read.parquet(f"{store}/recipes")).write.parquet(f"{store}/manifest")
+    drop_saved(spark, staged)
+
+
+def _sealed(recipes: DataFrame) -> DataFrame:
+    """One row for each part of the recipes: documents, ids and the Merkle root over the documents' roots in order."""
+
     def seal(batches):
         now, roots, ids = None, [], 0
         for batch in batches:
@@ -157,9 +164,8 @@ def write(docs: DataFrame, tokenizer: str, store: str, end_id: int = 2, width: i
         if now is not None:
             yield pa.RecordBatch.from_pylist([{"part": now, "n_docs": len(roots), "n_tokens": ids, "root": merkle(roots)}])
 
-    sealed = spark.read.parquet(f"{store}/recipes").select("part", "n_tokens", "root", "at").repartition("part").sortWithinPartitions("part", "at").drop("at").mapInArrow(seal, "part long, n_docs long, n_tokens long, root binary")
-    sealed.write.parquet(f"{store}/manifest")
-    drop_saved(spark, staged)
+    rows = recipes.select("part", "n_tokens", "root", "at").repartition("part").sortWithinPartitions("part", "at").drop("at")
+    return rows.mapInArrow(seal, "part long, n_docs long, n_tokens long, root binary")
 
 
 def _chunk_facts(spark: SparkSession, store: str, width: int) -> DataFrame:
@@ -179,27 +185,30 @@ def _chunk_facts(spark: SparkSession, store: str, width: int) -> DataFrame:
 
 
 def verify(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
-    """Reads a store back: doc_id, start, n_tokens, ids_crc32, verified (lengths and Merkle roots agree)."""
+    """Reads a store back: doc_id, start, n_tokens, ids_crc32, verified: lengths and Merkle roots agree, those of the
+    document and those of its part with the manifest, so a lost, repeated or exchanged recipe shows in its whole part."""
     recipes = spark.read.parquet(f"{store}/recipes")
     uses = recipes.select("part", "at", F.posexplode("digests").alias("pos", "digest"))
     found = uses.join(_chunk_facts(spark, store, width), "digest").groupBy("part", "at").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc", "digest"))).alias("chunks"))
-    totals = spark.read.parquet(f"{store}/manifest").select("part", "n_tokens").orderBy("part").collect()  # one row a partition
-    offsets = [(r["part"], o - r["n_tokens"]) for r, o in zip(totals, itertools.accumulate(r["n_tokens"] for r in totals), strict=True)]
-    docs = recipes.select("part", "at", "doc_id", "local_start", "n_tokens", "root").join(found, ["part", "at"], "left").join(F.broadcast(spark.createDataFrame(offsets, "part long, offset long")), "part")
+    manifest = spark.read.parquet(f"{store}/manifest")
+    totals = manifest.select("part", "n_tokens").orderBy("part").collect()  # one row a partition
+    same = {r["part"] for r in manifest.join(_sealed(recipes), ["part", "n_docs", "n_tokens", "root"]).select("part").collect()}
+    offsets = [(r["part"], o - r["n_tokens"], r["part"] in same) for r, o in zip(totals, itertools.accumulate(r["n_tokens"] for r in totals), strict=True)]
+    docs = recipes.select("part", "at", "doc_id", "local_start", "n_tokens", "root").join(found, ["part", "at"], "left").join(F.broadcast(spark.createDataFrame(offsets, "part long, offset long, sealed boolean")), "part")
 
     def check(batches):
         for batch in batches:
             crcs, good = [], []
-            for n, root, chunks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for n, root, chunks, sealed in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
                 crc = total = 0
                 for c in chunks or []:
                     crc = crc_join(crc, c["crc"], 4 * c["n"])
                     total += c["n"]
                 crcs.append(crc)
-                good.append(total == n and merkle([c["digest"] for c in chunks or []]) == root)
+                good.append(sealed and total == n and merkle([c["digest"] for c in chunks or []]) == root)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    return docs.select("doc_id", (F.col("local_start") + F.col("offset")).alias("start"), "n_tokens", "root", "chunks").mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return docs.select("doc_id", (F.col("local_start") + F.col("offset")).alias("start"), "n_tokens", "root", "chunks", "sealed").mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def read_ids(spark: SparkSession, store: str, width: int = 2) -> DataFrame:

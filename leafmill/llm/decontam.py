@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from .common import ALNUM, saved, slices, utf8
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_WINDOWS = 400_000
+#: At most two million words, so that three of their numbers fit 64 bits.
+BLOCK_WINDOWS = 200_000
 
 _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -121,8 +124,8 @@ class Block:
         return np.diff(begins) - 1, out
 
 
-def blocks(benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> list[Block]:
-    """The windows of all items, in blocks of bounded size. Items without id or words have none."""
+def blocks(benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> Iterator[Block]:
+    """The windows of all items, in blocks of bounded size, one after another. Items without id or words have none."""
 
     def cut(batches):
         for batch in batches:
@@ -137,14 +140,12 @@ def blocks(benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> list[Blo
     table = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     windows = saved(table.mapInArrow(cut, "item string, window binary").distinct(), "windows")
     n = -(-windows.count() // block_windows)
-    out = []
     for b in range(n):
         part: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        # toLocalIterator and the block's bound keep the driver's memory bounded, however many items there are.
+        # The driver holds one block at a time, however many items there are.
         for r in windows.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == b).toLocalIterator():
             part[tuple(bytes(r["window"]).split(b" "))].add(r["item"])
-        out.append(Block(part))
-    return out
+        yield Block(part)
 
 
 def _count(docs: DataFrame, block: Block) -> dict[int, int]:
@@ -165,23 +166,24 @@ def _count(docs: DataFrame, block: Block) -> dict[int, int]:
     return {int(keys[r["i"]]): r["n"] for r in rows}
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> list[Block]:
-    """Blocks whose windows have the prefixes that are rarest in docs."""
-    out = blocks(benchmark, block_windows)
-    for b in out:
+def prepared(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> list[Broadcast]:
+    """Blocks whose windows have the prefixes that are rarest in docs, as broadcasts: Spark keeps them on disk, the driver
+    only their names."""
+    out = []
+    for b in blocks(benchmark, block_windows):
         b.choose(_count(docs, b))
+        out.append(docs.sparkSession.sparkContext.broadcast(b))
     return out
 
 
 _HITS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))]))
 
 
-def spans(docs: DataFrame, prepared_blocks: list[Block]) -> DataFrame:
+def spans(docs: DataFrame, prepared_blocks: list[Broadcast]) -> DataFrame:
     """docs' doc_id and text with ``hits``: (begin, end, items) for each window that occurs, in words from 0. A null text has none."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hits", F.expr("cast(array() as array<struct<begin:bigint,end:bigint,items:array<string>>>)")).withColumn("n_words", F.lit(0).cast("long"))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("hits", _HITS), ("n_words", pa.int64())])
-    for k, block in enumerate(prepared_blocks or [Block({})]):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for k, sent in enumerate(prepared_blocks or [docs.sparkSession.sparkContext.broadcast(Block({}))]):
 
         def find(batches, sent=sent):
             block = sent.value
@@ -228,8 +230,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_windows: int = BL
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of any item."""
     df = docs
-    for block in prepared(docs, benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for sent in prepared(docs, benchmark):
 
         def keep(batches, sent=sent, at=docs.columns.index("text")):
             for batch in slices(batches):

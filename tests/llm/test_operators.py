@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -49,6 +50,15 @@ def test_tokens_round_trip(spark, odd, tmp_path):
         start += r["n_tokens"]
     assert all(r["ids"] == want[r["doc_id"]] for r in token_store.read_ids(spark, store).collect())
     assert token_store.store_and_verify(odd.limit(0), BPE).count() == 0
+    # A recipe that is lost shows in its whole part, though what is left of it agrees with itself.
+    part, at = spark.read.parquet(f"{store}/recipes").select("part", "at").orderBy("part", "at").first()
+    less = str(tmp_path / "less")
+    for table in ("chunks", "manifest", "recipes"):
+        rows = spark.read.parquet(f"{store}/{table}")
+        (rows.filter(f"not (part = {part} and at = {at})") if table == "recipes" else rows).write.parquet(f"{less}/{table}")
+    broken = token_store.verify(spark, less).collect()
+    n = spark.read.parquet(f"{store}/recipes").filter(F.col("part") == part).count()
+    assert len(broken) == len(ODD) - 1 and sum(not r["verified"] for r in broken) == n - 1
     chunks = spark.read.parquet(f"{store}/chunks")
     assert chunks.count() == chunks.select("digest").distinct().count()
 
@@ -78,6 +88,38 @@ def test_language(spark, odd):
     assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
 
 
+SCRIPTS = ["xkcd qwrt zzpl mnbv trpw xkcd qwrt zzpl mnbv trpw plk", "привет как дела сегодня хорошая погода в москве", "これは日本語の文章です とても長い文章ですよ 本当に長い", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQgZW5jb2RlZCB0ZXh0IGZvciB5b3U", "Ovo je tekst na hrvatskom jeziku koji nije naucen i trebalo bi ga odbiti jer je drugaciji"]
+
+
+def test_language_rejection(spark):
+    """Both error rates, on texts that the model hasn't seen: other scripts, another language and mashed keys among real ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(language.sample(docs))
+    _, _, rejected = model.predict(SCRIPTS)
+    assert rejected.all()
+    known = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    row = known.filter("held_out and lang is not null").agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("rejected"), F.count_if(F.expr("lang = lang_pred")).alias("right")).first()
+    assert row["rejected"] <= 5 * language.FALSE_REJECTION * row["n"] and row["right"] >= 0.99 * row["n"]
+    kept = language.known_language(docs.select("doc_id", "text", "lang", F.lit("mine").alias("score")).limit(3000).unionByName(spark.createDataFrame([(10**9 + i, t, None, "mine") for i, t in enumerate(SCRIPTS)], "doc_id long, text string, lang string, score string")))
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert not any(i >= 10**9 for i in ids) and len(ids) >= 2980
+
+
+def test_language_letters_and_classes(spark):
+    """Numerals that aren't digits are no letters; every language is learnt, however many there are or long its texts."""
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    rows = [(4 * (1000 * k + i), " ".join("".join(alphabet[3 * k + (i + j + m) % 3] for m in range(4)) for j in range(6)), f"l{k:03d}") for k in range(300) for i in range(3)]
+    rows = [(i if zlib.crc32(str(i).encode()) % 4 != 2 else i + next(d for d in range(1, 99) if zlib.crc32(str(i + d).encode()) % 4 != 2), t, lang) for i, t, lang in rows]
+    long_only = "zyx wvu " * 20_000
+    docs = spark.createDataFrame([*rows, (next(i for i in range(10**7, 10**7 + 99) if zlib.crc32(str(i).encode()) % 4 != 2), long_only, "long")], "doc_id long, text string, lang string")
+    model = language.fit(language.sample(docs))
+    assert len(model.languages) == 301
+    texts = [t for _, t, _ in rows[::50]] + ["zyx wvu zyx", "\u00bd \u00b2 \u2167 7", None, ""]
+    found, score, _ = model.predict(texts)
+    assert found == [lang for *_, lang in rows[::50]] + ["long", "und", "und", "und"] and score[-3:].tolist() == [0, 0, 0]
+    assert language.identify(docs.limit(0), model).count() == 0 and language.known_language(docs.limit(0)).count() == 0
+
+
 def test_quality(spark, odd, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(f"{'awful junk ' if g == 0 else ''}plain text number {i} with words {'GREAT ' if g == 2 else ''}".encode(), g) for i in range(150) for g in range(3)]
@@ -166,6 +208,13 @@ def test_shards(spark, odd, data):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     rows = sharding.kd_shards(odd, 4).collect()
     assert len(rows) == len(ODD) and {r["size"] for r in rows if r["doc_id"] in (3, 4)} == {8} and {r["text_crc32"] for r in rows if r["doc_id"] == 3} == {0}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    weight, where = Counter(), {}
+    for r in got:
+        weight[texts[r["doc_id"]]] += r["size"]
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    largest = max(r["size"] for r in got)
+    assert all(len(where[t]) == 1 for t in where if weight[t] <= largest)
     same = spark.createDataFrame([(1, "same")] * 400, "doc_id long, text string")
     assert sorted(Counter(r["shard"] for r in sharding.kd_shards(same, 4).collect()).values()) == [100] * 4
     assert sharding.kd_shards(odd.limit(0), 4).count() == 0
@@ -183,6 +232,36 @@ def test_top_k(spark):
     assert top_k.top_k(spark.createDataFrame([], "vec_id long, v array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_any_size(spark):
+    """Finite components take part however large; ranks are those of exact products, scores stop at 64 bits."""
+    rows = [(0, [1e30, 1.0]), (1, [2.0, 1.0]), (2, [2.0**54, 0.5]), (3, [-1e300, 2.0]), (4, [1e308, -1e308]), (5, [2.0**54 * 256, 3.0]), (6, [0.0, 0.0]), (50, [1.0, 1.0]), (100, [1.7e308, 1.0]), (150, [-3.0, 0.25])]
+    got = top_k.top_k(spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3), F.col("vec_id") % 50 == 0, 4).collect()
+    whole = {i: [math.floor(Fraction(c) * 256) for c in v] for i, v in rows}
+    want = set()
+    for q in (0, 50, 100, 150):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:4]
+        want |= {(q, r + 1, i, min(2**63 - 1, max(-(2**63), -s))) for r, (s, i) in enumerate(best)}
+    assert {tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in got} == want
+
+
+def test_top_k_skips_buckets():
+    """Of clustered vectors most pairs of query and bucket are skipped or filtered, and nothing is lost by it."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = np.floor(256 * (centres[np.arange(8000) % 40] + 0.05 * rng.normal(size=(8000, 16))))
+    x[::7] = np.floor(x[::7] / 4)
+    order = np.lexsort((np.arange(8000) % 40, -np.arange(8000) % 7))
+    q = top_k.Queries([(int(i), False, x[i].tobytes()) for i in range(0, 8000, 100)], 16, 5, 256.0)
+    q.seed(x[::4], np.arange(0, 8000, 4), False)
+    for k in range(0, 8000, top_k.BUCKET // 4):
+        at = order[k : k + top_k.BUCKET // 4]
+        q.search(x[at], at, False)
+    for i, found in zip(q.ids, q.best.found, strict=True):
+        scores = x @ x[i]
+        assert found == sorted((-int(scores[j]), j) for j in range(8000) if j != i)[:5]
+    assert q.done["skipped"] + q.done["filtered"] > 3 * q.done["whole"] and min(q.done.values()) > 0
+
+
 def test_language_model(spark, odd):
     model, counts = mixing.fit(odd)
     got = mixing.score(odd, model, counts).collect()

@@ -3,9 +3,9 @@
 Each document's set of word shingles becomes a signature of ``chunks * symbols`` symbols of 16 bits (b-bit MinHash).
 If two signatures differ in at most ``2 * chunks - 1`` symbols, then by the pigeonhole principle they differ in at most
 one symbol of some chunk; the allowed error is enumerated by masking each of the chunk's symbols in turn, so equal
-masked chunks find all pairs within that distance. Pairs found are kept up to a distance of ``near`` and confirmed on
-the full sets. At a similarity of 0.85 a symbol differs with probability 0.15: with CONTRACT's numbers such a pair
-shares no masked chunk, or is too far, with probability 8e-7; with CORPUS', at 0.8, with 2e-6; more alike, with less.
+masked chunks find all pairs within that distance, which is ``near``; they are confirmed on the full sets. At a similarity
+of 0.85 a symbol differs with probability 0.15: with CONTRACT's numbers the signatures of such a pair are farther apart
+than that with probability 2e-7; with CORPUS', at 0.8, with 5e-7; more alike, with less.
 
 Documents with equal sets are one class from the start. In a bucket all classes are first compared with its smallest
 one; then, once the links found are joined to components, only classes of different components are. Of these a pair is
@@ -31,7 +31,8 @@ from .common import LOWER, saved, utf8
 
 @dataclass(frozen=True)
 class Rules:
-    """Words of a shingle, least similarity in percent, chunks of a signature, symbols of a chunk, greatest distance."""
+    """Words of a shingle, least similarity in percent, chunks of a signature, symbols of a chunk, greatest distance (at
+    most 2 * chunks - 1, for which the join is exact)."""
 
     shingle: int
     percent: int
@@ -39,13 +40,17 @@ class Rules:
     symbols: int
     near: int
 
+    def __post_init__(self):
+        if self.near > 2 * self.chunks - 1:
+            raise ValueError("the join can't guarantee that distance")
+
     @property
     def k(self) -> int:
         return self.chunks * self.symbols
 
 
-CONTRACT = Rules(3, 85, 8, 5, 19)
-CORPUS = Rules(5, 80, 10, 5, 26)
+CONTRACT = Rules(3, 85, 10, 4, 19)
+CORPUS = Rules(5, 80, 14, 4, 27)
 #: Up to so many classes to confirm, their ids (24 bytes each) are broadcast to the second scan; beyond, shuffled.
 BROADCAST_CLASSES = 200_000
 RARITY_SLOTS = 1 << 21

@@ -328,16 +328,70 @@ def test_decontamination(spark, odd):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, 5, None, 6, 7, 8, 9}
 
 
+def _groups(sets, percent):
+    """The smallest id that each reaches, comparing all with all."""
+    ids = sorted(sets)
+    at = {i: i for i in ids}
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                at[y] = x
+    return {i: root(i) for i in ids}
+
+
 def test_pipeline(spark, data):
+    """Every stage against brute force on what the stage before it kept."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    split = lambda t: (t or "").encode().translate(decontam.ALNUM).split()
+    windows = {tuple(w[k : k + 10]) for w in map(split, items) for k in range(max(1, len(w) - 9) if w else 0)}
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before, docs = docs.count(), stage(spark, docs, data).cache()
-        assert docs.count() <= before
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        docs = stage(spark, docs, data).cache()
         if k < 4:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert docs.filter("exact").count() == docs.count() == docs.select("doc_id").distinct().count()
+            after = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert len(after) == docs.count()
+        if k == 0:
+            assert all(any(c.isalpha() for c in before[i]) for i in after) and len(after) >= 0.98 * len(before)
+        elif k == 1:
+            low = {i: (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split() for i, t in before.items()}
+            kept = _groups({i: {tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} if w else set() for i, w in low.items()}, 80)
+            assert set(after) == {i for i in before if kept[i] == i}
+        elif k == 2:
+            holds = lambda t: any(tuple(w[n : n + m]) in windows for w in [split(t)] for m in {len(x) for x in windows} for n in range(len(w) - m + 1))
+            assert set(after) == {i for i, t in before.items() if not holds(t)}
+        elif k == 3:
+            again = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(before.items()), "doc_id long, text string"), llm.PII_KEY).collect()}
+            assert after == again and any(after[i] != before[i] for i in before)
+            assert all(after[i] == t for i, t in before.items() if not any(c.isdigit() or c in "@=:" for c in t))
+        else:
+            library = pieces.pieces(SP).library
+            rows = docs.collect()
+            assert {r["doc_id"]: (r["ids"], r["exact"]) for r in rows} == {i: (library.encode(t), True) for i, t in before.items()}
+    made = corpus_pipeline.run(spark, data)
+    assert made.count() == docs.count()
+
+
+def test_pipeline_on_odd_rows(spark, odd, data, tmp_path):
+    """Nulls, empty, long and repeated texts, more columns, and no rows at all go through every stage."""
+    import corpus_pipeline
+
+    for docs in (odd, odd.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            docs = stage(spark, docs, data)
+            assert k == 4 or docs.columns == columns
+        assert docs.count() <= len(ODD) and docs.filter("not exact").count() == 0
 
 
 def test_registry():

@@ -13,7 +13,6 @@ import re
 import unicodedata
 
 import numpy as np
-import pyarrow as pa
 
 #: At about 200 bytes each.
 KEEP = 1_200_000
@@ -56,8 +55,8 @@ class Encoder:
     def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
         """Encodes pieces into known. Many are sent as lines of one text: a line's end is a piece and an id of its own, which
         no other piece holds, so what stands between two of them is the piece's encoding. Pieces of space go alone."""
-        alone = [p for p in pieces if self.line is None or p.isspace()]
-        lines = [p for p in pieces if self.line is not None and not p.isspace()] if len(alone) < len(pieces) else []
+        alone = [p for p in pieces if p.isspace()] if self.line is not None else pieces
+        lines = [p for p in pieces if not p.isspace()] if self.line is not None else []
         parts = [lines[k : k + 500] for k in range(0, len(lines), 500)]
         for k in range(0, len(parts), 50):
             some = parts[k : k + 50]
@@ -75,28 +74,19 @@ class Encoder:
             for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
 
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32 bits) of each text."""
         cut = [_PIECE.findall(t) if t.isascii() or not _OTHER.search(t) else None for t in texts]
-        whole = [i for i, c in enumerate(cut) if c is None]
-        direct = dict(zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True)) if whole else {}
-        found = pa.array(list(itertools.chain.from_iterable(c for c in cut if c)), pa.string()).dictionary_encode()
-        different, at = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
         known = self.known
-        missing = [p for p in different if p not in known]
+        missing = list(set(itertools.chain.from_iterable(p for p in cut if p)).difference(known))
         if len(known) + len(missing) > KEEP:
-            known = {p: known[p] for p in different if p in known}  # for this batch only
+            known = dict(known)  # for this batch only
         self._learn(missing, known)
-        payloads = [known[p] for p in different]
-        size = np.fromiter(map(len, payloads), np.int64, len(payloads)) // 4
-        ids, first = np.frombuffer(b"".join(payloads), "<u4"), np.cumsum(size) - size
-        n = size[at]
-        ends = np.cumsum(n)
-        flat = ids[np.repeat(first[at] - (ends - n), n) + np.arange(int(n.sum()))]
-        # Where each text's pieces, and so its ids, end.
-        of = np.cumsum([len(c) if c else 0 for c in cut])
-        stop = np.concatenate([[0], ends])[of].tolist() if len(of) else []
-        return [np.array(direct[i].ids, "<u4") if cut[i] is None else flat[a:b] for i, (a, b) in enumerate(zip([0, *stop[:-1]], stop, strict=True))]
+        whole = [i for i, c in enumerate(cut) if c is None]
+        direct = dict(zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True)) if whole else {}
+        get = known.__getitem__
+        return [np.array(direct[i].ids, "<u4") if pieces is None else np.frombuffer(b"".join(map(get, pieces)), "<u4") for i, pieces in enumerate(cut)]
 
 
 _encoders: dict[str, Encoder] = {}

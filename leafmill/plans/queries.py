@@ -489,12 +489,12 @@ def normalization_same_root(spark, d):
 
 
 @query(
-    """select *, reason is null as accepted from (select 'order-' || o_orderkey as envelope_id, case when o_orderkey % 5 = 1 then 'master-salt-in-envelope' when o_orderpriority like '% %' then 'envelope-malformed'
+    """select *, reason is null as accepted from (select 'order-' || o_orderkey as envelope_id, case when o_orderkey % 5 = 1 then 'master-salt-in-envelope' when o_orderpriority like '% %' or o_orderkey not in (select l_orderkey from lineitem) then 'envelope-malformed'
     when o_orderkey % 5 = 0 then 'outer-identity-mismatch' when o_orderkey % 5 = 2 then 'hash-alg-not-allowed' end as reason from orders)"""
 )
 def verify_envelopes(spark, d):
     """Disclosed copies of all orders, written as JSON, some of them changed, read and verified. An issuer with a space in its
-    name is no URI, so its copies are malformed."""
+    name is no URI, and an order without lines has fewer leaves than any record: their copies are malformed."""
     recs = order_records(spark, d)
     both = order_cells(spark, d).withColumn("reserved", F.lit(False)).unionByName(leaves.reserved_leaves(recs).withColumn("reserved", F.lit(True)))
     rows = leaves.hashed(leaves.encoded(both, ascii_only=True).withColumn("salt", _salt(F.col("record_id"), display_path(F.col("path")))))

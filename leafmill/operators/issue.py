@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
-from leafmill.functions.paths import known_path
+from leafmill.functions import merkle, whole
 from leafmill.operators import leaves as L
-from leafmill.operators.verify import Verifier, rebuilt
+from leafmill.operators.verify import BATCH, Verifier, binder
 from leafmill.sources import envelopes as E
+from leafmill.sources.records import Rejected, decoded, parse, walk
 
 
 def issue_full(records: DataFrame, typed: DataFrame, salts: DataFrame, ordering: str = "path", ascii_only: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -27,42 +31,116 @@ def issue_full(records: DataFrame, typed: DataFrame, salts: DataFrame, ordering:
     return E.write_full(rows, roots, headers), refused
 
 
-def floors(records: DataFrame, profiles: dict[str, list[list[str]]]) -> DataFrame:
-    """record_id, encoded_path that a disclosed copy must show: the mandatory reserved leaves and those of the profile.
-    records: record_id, record_type, type_map_id, ordering."""
-    always = [F.lit(True)] * 4
-    keys: list[tuple[Column, list[str]]] = list(zip(always, [[C.RECORD_TYPE], [C.SCHEMA_VERSION], [C.RECORD_ID], [C.ISSUER_ID]], strict=True))
-    keys += [(F.col("type_map_id").isNotNull(), [C.TYPE_MAP_ID]), (F.col("ordering").isNotNull(), [C.ORDERING])]
-    keys += [(F.col("record_type") == t, path) for t, paths in profiles.items() for path in paths]
-    return records.select("record_id", F.explode(F.array_compact(F.array(*[F.when(when, known_path(path)) for when, path in keys]))).alias("encoded_path"))
+def issue_records(records: DataFrame, config: Verifier) -> DataFrame:
+    """record_id, envelope_json, reason (one of both is null) of records held whole: record_id, record_json, the identity,
+    type_map_version, salts (array of encoded_path and salt: drawn and stored before), and if there identity_id.
 
-
-def downgrade(envelopes: DataFrame, reveal: DataFrame, config: Verifier, work: str) -> tuple[DataFrame, DataFrame]:
-    """(disclosed copies: record_id, envelope_json; refused: record_id, reason) of full copies (envelope_id, envelope_json).
-    reveal: record_id (the envelope's id) and encoded_path. work: a new folder that all executors see.
+    Each record is read, bound, hashed and written where it is; nothing is shuffled. As in ``issue_full``, a record that isn't
+    bound to an exact map is refused.
+    """
+    merkle.domain(config.ordering)
+    names = [*L.IDENTITY, "type_map_version"]
+    own_id = F.col("identity_id" if "identity_id" in records.columns else "record_id").cast("string")
+    rows = records.select(F.col("record_id").cast("string").alias("record_id"), "record_json", "salts", own_id.alias("own_id"), *names)
+    bound, ordering = binder(config), config.ordering
+
+    def one(text, salts, *identity):
+        own = whole.normal_identity(dict(zip(["record_id", *names], identity, strict=True)))
+        if own["type_map_id"] is None or own["type_map_version"] is None:
+            return None, "envelope-malformed"
+        try:
+            if text is None:
+                return None, "json-syntax"
+            text = decoded(text)
+            leaves = [(path, bound(path, kind, own), kind, literal) for path, kind, literal in walk(parse(text))]
+            by_path: dict[bytes, bytes] = {}
+            for path, salt in salts or ():
+                by_path[path] = max(salt or b"", by_path.get(path, b""))
+            made = whole.commit(own, leaves, lambda encoded, _: by_path.get(encoded), ordering)
+            return (None, made.reason) if made.reason else (whole.full_copy(own, made, text, ordering), None)
+        except Rejected as e:
+            return None, str(e)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                columns = [_listed(part.column(n)) if n == 2 else part.column(n).to_pylist() for n in range(1, part.num_columns)]
+                yield _answers(part.column(0), [one(*row) for row in zip(*columns, strict=True)])
+
+    return rows.mapInArrow(run, _ANSWER)
+
+
+_ANSWER = "record_id string, envelope_json string, reason string"
+
+
+def _answers(ids: pa.Array, made: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array([e for e, _ in made], pa.string()), pa.array([r for _, r in made], pa.string())], ["record_id", "envelope_json", "reason"])
+
+
+def _listed(column: pa.Array) -> list[list[tuple]]:
+    """Lists of structs as lists of tuples, through one flat list for each member."""
+    column = pa.concat_arrays([column])  # a slice's offsets start anywhere
+    flat = column.flatten()
+    items = list(zip(*[x.to_pylist() for x in flat.flatten()], strict=True))
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_pylist()]).tolist()
+    return [items[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def downgraded(envelopes: DataFrame, config: Verifier) -> DataFrame:
+    """record_id, envelope_json, reason (one of both is null): disclosed copies of full ones: envelope_id, envelope_json,
+    reveal (array of the encoded paths to show).
 
     A full copy is rebuilt once, under its own salts, and must give its root; its header comes from the leaves it
     commits. A copy that would leave out what the profile must show, or that asks for a leaf which isn't there, isn't made.
     """
-    spark = envelopes.sparkSession
-    E.read_envelopes(envelopes).write.parquet(f"{work}/read")
-    read = spark.read.parquet(f"{work}/read")
-    rows, roots = rebuilt(read.filter("reason is null and leaves is null"), config)
-    rows.write.parquet(f"{work}/leaves")
-    rows = spark.read.parquet(f"{work}/leaves")
-    made = roots.select(F.col("record_id").alias("_id"), F.col("root").alias("_root"), F.col("reason").alias("_why"))
-    profiles = C.PROFILE_FLOORS if config.profiles is None else config.profiles
-    why = F.coalesce(F.col("reason"), F.when(F.col("leaves").isNotNull(), F.lit("envelope-copy-kind")), F.when(~F.col("record_type").isin(*profiles), F.lit("profile-unknown")), F.col("_why"), F.when(~F.col("_root").eqNullSafe(F.col("root")), F.lit("root-mismatch")))
-    checked = read.join(made, read["envelope_id"] == made["_id"], "left").select(F.col("envelope_id").alias("record_id"), "type_map_version", why.alias("reason"))
-    checked.write.parquet(f"{work}/checked")
-    checked = spark.read.parquet(f"{work}/checked")
-    good = checked.filter("reason is null")
-    rows = rows.join(good.select("record_id"), "record_id", "left_semi")
-    headers = E.headers_of(rows).join(good.select("record_id", "type_map_version"), "record_id")
-    shown, unknown, below = L.disclose(rows, reveal.join(good.select("record_id"), "record_id", "left_semi"), floors(headers, profiles), config.ordering)
-    refused = checked.filter("reason is not null").select("record_id", "reason")
-    refused = refused.unionByName(unknown.select("record_id", F.lit("envelope-malformed").alias("reason"))).unionByName(below.select("record_id", F.lit("minimum-disclosure-floor").alias("reason")))
-    return E.write_disclosed(shown, headers), refused.groupBy("record_id").agg(F.min("reason").alias("reason"))
+    merkle.domain(config.ordering)
+    bound, ordering = binder(config), config.ordering
+    profiles = {t: {whole.encode_path(tuple(keys)) for keys in floor} for t, floor in (C.PROFILE_FLOORS if config.profiles is None else config.profiles).items()}
+    always = {whole.encode_path((key,)) for key in (C.RECORD_TYPE, C.SCHEMA_VERSION, C.RECORD_ID, C.ISSUER_ID, *([C.ORDERING] if ordering != "path" else []))}
+    by_map = whole.encode_path((C.TYPE_MAP_ID,))
+
+    def one(text, reveal):
+        try:
+            row = E.read_one(text)
+            if "leaves" in row:
+                return None, "envelope-copy-kind"
+            if row["record_type"] not in profiles:
+                return None, "profile-unknown"
+            if row.get("record_reason"):
+                return None, row["record_reason"]
+            made = whole.rebuild(row, bound, ordering)
+            if made.reason or made.root != row["root"]:
+                return None, made.reason or "root-mismatch"
+            asked, there = set(reveal or ()), {x[0] for x in made.leaves}
+            must = always | profiles[row["record_type"]] | ({by_map} if row["type_map_id"] is not None else set())
+            if not asked <= there:
+                return None, "envelope-malformed"
+            if not must <= asked:
+                return None, "minimum-disclosure-floor"
+            return whole.disclosed_copy(whole.normal_identity(row), made, lambda encoded, _: encoded in asked, ordering), None
+        except Rejected as e:
+            return None, str(e)
+        except UnicodeEncodeError:
+            return None, "unpaired-surrogate"
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                yield _answers(part.column(0), [one(*row) for row in zip(*[part.column(n).to_pylist() for n in (1, 2)], strict=True)])
+
+    return envelopes.select(F.col("envelope_id").cast("string").alias("record_id"), "envelope_json", "reveal").mapInArrow(run, _ANSWER)
+
+
+def downgrade(envelopes: DataFrame, reveal: DataFrame, config: Verifier, work: str) -> tuple[DataFrame, DataFrame]:
+    """(disclosed copies: record_id, envelope_json; refused: record_id, reason) of full copies (envelope_id, envelope_json), as
+    ``downgraded`` makes them, stored once. reveal: record_id (the envelope's id) and encoded_path. work: a new folder that
+    all executors see."""
+    asked = reveal.groupBy(F.col("record_id").cast("string").alias("envelope_id")).agg(F.collect_set("encoded_path").alias("reveal"))
+    downgraded(envelopes.withColumn("envelope_id", F.col("envelope_id").cast("string")).join(asked, "envelope_id", "left"), config).write.option("compression", "zstd").parquet(f"{work}/made")
+    made = envelopes.sparkSession.read.parquet(f"{work}/made")
+    return made.filter("reason is null").select("record_id", "envelope_json"), made.filter("reason is not null").select("record_id", "reason")
 
 
 def value_rules(leaves: DataFrame, rules: Sequence[tuple[str, Sequence[str | None], str, str]]) -> DataFrame:

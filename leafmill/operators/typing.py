@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill import constants as C
 from leafmill.functions.paths import shape
+from leafmill.functions import whole
 from leafmill.functions.text import nfc
-from leafmill.sources.type_maps import Automaton, PatternMap
+from leafmill.sources.type_maps import Automaton, PatternMap, tokens
 
 
 #: Maps by record type, schema version and content id (none where an envelope may go without).
@@ -55,6 +58,56 @@ def by_patterns(leaves: DataFrame, *maps: PatternMap) -> DataFrame:
     return shaped.join(first, (shaped["_shape"] == first["_at"]) & (shaped["json_kind"] == first["_kind"]) & (shaped["_m"] == first["_of"]), "left").drop("_shape", "_at", "_kind", "_m", "_of")
 
 
+def tag_of(maps: TypeMaps | PatternMap | Automaton | None, mechanical: bool = True) -> Callable[[whole.Path, str, dict], int | None]:
+    """What ``bind`` does, for one leaf in Python: a function of its path, JSON kind and record (record_type, schema_version,
+    type_map_id). mechanical: empty containers and nulls are what they are, whatever the map."""
+    many = maps if isinstance(maps, dict) else {None: maps}
+    found = {key: _one(m) for key, m in many.items() if m is not None}
+    mine = (lambda row: (row.get("record_type"), row.get("schema_version"), row.get("type_map_id"))) if isinstance(maps, dict) else lambda row: None
+    empty = {"null": C.NULL, "array": C.EMPTY_ARRAY, "object": C.EMPTY_OBJECT} if mechanical else {}
+
+    def tag(path: whole.Path, kind: str, row: dict) -> int | None:
+        if kind in empty:
+            return empty[kind]
+        m = found.get(mine(row))
+        return m(path, kind) if m else None
+
+    return tag
+
+
+def _one(m: PatternMap | Automaton) -> Callable[[whole.Path, str], int | None]:
+    shaped = lambda path: tuple("." + whole.nfc(s).replace("\\", "\\\\").replace("/", "\\/") if isinstance(s, str) else "[*]" for s in path)
+    if isinstance(m, Automaton):
+        steps = m.steps()
+
+        def walked(path, kind):
+            state: int | None = m.start
+            for s in shaped(path):
+                if (state := steps.get(f"{state}{s}")) is None:
+                    return None
+            return m.bindings.get((state, kind))
+
+        return walked
+    entries: dict[tuple, list] = {}
+    for i, (pattern, kind, tag) in enumerate(m.entries):
+        t = tuple(tokens(pattern))
+        at = (t[:-1], True) if t and t[-1] == "**" else (t, False)
+        entries.setdefault(at, []).append((i, kind, tag))
+    kept: dict[tuple, int | None] = {}
+
+    def first(path, kind):
+        if (path, kind) in kept:
+            return kept[path, kind]
+        s = shaped(path)
+        fits = [x for at in ((s, False), *((s[:n], True) for n in range(max(len(s), 1)))) for x in entries.get(at, ()) if x[1] in (None, kind)]
+        tag = min(fits, key=lambda x: x[0])[2] if fits else None
+        if len(kept) < 4096 and sum(map(len, s)) <= 1024:
+            kept[path, kind] = tag
+        return tag
+
+    return first
+
+
 def walk_automaton(path: Column, json_kind: Column, automaton: Automaton) -> Column:
     """The tag at the end of an automaton's walk along path; null as soon as a transition is missing."""
     steps = F.create_map(*[F.lit(x) for kv in automaton.steps().items() for x in kv]) if automaton.steps() else F.create_map().cast("map<string,int>")

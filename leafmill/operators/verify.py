@@ -4,26 +4,23 @@ its record, its count and root; of a disclosed one, its leaves in their order, i
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from leafmill import constants as C
-from leafmill.functions import merkle
-from leafmill.functions.paths import encode_path, is_reserved, known_path
-from leafmill.functions.text import nfc
-from leafmill.functions.values import carrier_reason, encode_value
-from leafmill.operators import leaves as L
-from leafmill.operators.typing import TypeMaps, bind
-from leafmill.sources.envelopes import read_envelopes
+from leafmill.functions import merkle, whole
+from leafmill.operators.typing import TypeMaps, tag_of
+from leafmill.sources.envelopes import read_one
+from leafmill.sources.records import Rejected
 from leafmill.sources.type_maps import PatternMap
 
-_IDENTITY = {C.RECORD_TYPE: "record_type", C.SCHEMA_VERSION: "schema_version", C.TYPE_MAP_ID: "type_map_id", C.RECORD_ID: "record_id", C.ISSUER_ID: "issuer_id", C.ISSUER_KEY_ID: "issuer_key_id"}
-
-
-def _one_of(column: Column, names) -> Column:
-    return F.coalesce(column.isin(*names), F.lit(False)) if names else F.lit(False)
+#: Envelopes that a task holds as Python objects at once.
+BATCH = 1000
 
 
 @dataclass
@@ -41,101 +38,76 @@ class Verifier:
     empty_containers: str = "mechanical"  #: or map-authorized: empty containers and nulls only where the map binds them
 
 
-def verify(envelopes: DataFrame, profiles: dict[str, list[list[str]]] | None = None, type_map: TypeMaps | PatternMap | None = None, ordering: str = "path", anchored: DataFrame | None = None, config: Verifier | None = None) -> DataFrame:
-    """envelope_id, accepted, reason, undischarged. envelopes: envelope_id, envelope_json. config, or its parts.
+def verify(envelopes: DataFrame, profiles: dict[str, list[list[str]]] | None = None, type_map: TypeMaps | PatternMap | None = None, ordering: str = "path", anchored: DataFrame | None = None, config: Verifier | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """envelope_id, accepted, reason, undischarged. envelopes: envelope_id, envelope_json. config, or its parts. keep: columns
+    of envelopes that come along.
 
-    undischarged: what this verifier wasn't in a position to check, by name.
+    undischarged: what this verifier wasn't in a position to check, by name. An envelope is read once and verified where it is
+    read; only registered roots need a join.
     """
     v = config or Verifier(profiles, type_map, ordering=ordering, anchored=anchored)
-    profiles = C.PROFILE_FLOORS if v.profiles is None else v.profiles
-    rows = read_envelopes(envelopes)
-    head = (
-        F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(F.col("canon") != C.CANON, F.lit("envelope-malformed"))
-        .when(~_one_of(F.col("hash_alg"), [a for a in v.algorithms if a == C.HASH_ALG]), F.lit("hash-alg-not-allowed"))
-        .when(~_one_of(F.col("record_type"), profiles), F.lit("profile-unknown"))
-        .when(F.lit(v.need_type_map) & F.col("type_map_id").isNull(), F.lit("outer-identity-mismatch"))
-    )
+    merkle.domain(v.ordering)
+    rows = envelopes.select(F.col("envelope_id").cast("string").alias("envelope_id"), "envelope_json", *keep)
     if v.anchored is not None:
-        alg = F.col("hash_alg") if "hash_alg" in v.anchored.columns else F.lit(None).cast("string")
-        rows = rows.join(v.anchored.select("envelope_id", F.col("root").alias("_root"), alg.alias("_alg")), "envelope_id", "left")
-        head = head.when(F.col("_alg") != F.col("hash_alg"), F.lit("hash-alg-not-allowed")).when(~F.col("_root").eqNullSafe(F.col("root")), F.lit("root-mismatch"))
-    for known, named in ((v.registry, F.col("registry")), (v.chain_id, F.col("chain_id"))):
-        if known is not None:
-            head = head.when(F.col("registry").isNotNull() & ~named.eqNullSafe(F.lit(known)), F.lit("envelope-malformed"))
-    open_ = [F.when(F.col("type_map_id").isNull(), F.lit("type-map-not-bound")), F.when(F.col("leaves").isNotNull(), F.lit("type-map-not-checked"))]
-    if v.anchored is None or "hash_alg" not in v.anchored.columns:
-        open_.append(F.lit("algorithm-not-anchored"))
-    if v.anchored is None:
-        open_.append(F.lit("root-not-anchored"))
-    rows = rows.withColumn("head", head).withColumn("undischarged", F.array_compact(F.array(*open_))).drop("_root", "_alg")
-    good = rows.filter("head is null")
-    full = _full(good.filter("leaves is null"), v)
-    shown = _disclosed(good.filter("leaves is not null"), profiles, v.ordering)
-    both = full.unionByName(shown).withColumnRenamed("reason", "found").withColumnRenamed("envelope_id", "_id")
-    out = rows.join(both, rows["envelope_id"] == both["_id"], "left").select("envelope_id", F.coalesce("head", "found").alias("reason"), "undischarged")
-    return out.select("envelope_id", F.col("reason").isNull().alias("accepted"), "reason", F.when(F.col("reason").isNull(), F.col("undischarged")).alias("undischarged"))
-
-
-def rebuilt(rows: DataFrame, v: Verifier) -> tuple[DataFrame, DataFrame]:
-    """(leaves, roots) of full copies, read by ``read_envelopes``, under the salts that they carry; record_id is the
-    envelope's."""
-    own = rows.select(F.col("envelope_id").alias("record_id"), "record_type", "schema_version", "type_map_id", F.inline("own"))
-    bound = bind(own, v.maps or PatternMap([]))
-    empty = F.when(F.col("json_kind") == "null", C.NULL).when(F.col("json_kind") == "array", C.EMPTY_ARRAY).when(F.col("json_kind") == "object", C.EMPTY_OBJECT)
-    typed = bound.withColumn("tag", F.coalesce(empty, F.col("tag"))) if v.empty_containers == "mechanical" else bound
-    salts = _path_salts(rows)
-    identity = rows.select(F.col("envelope_id").alias("record_id"), F.col("record_id").alias("identity_id"), *L.IDENTITY)
-    return L.commit(identity, typed, salts, v.ordering, identity_id="identity_id")
-
-
-def _path_salts(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("envelope_id").alias("record_id"), F.inline("salts")).withColumn("encoded_path", encode_path(L.normal_path(F.col("path")))).drop("path")
-
-
-def _full(rows: DataFrame, v: Verifier) -> DataFrame:
-    twice = L.duplicate_paths(_path_salts(rows)).select(F.col("record_id").alias("_twice")).distinct()
-    _, roots = rebuilt(rows, v)
-    made = roots.select(F.col("record_id").alias("_id"), F.col("leaf_count").alias("_n"), F.col("root").alias("_root"), F.col("reason").alias("_why"))
-    out = rows.join(made, rows["envelope_id"] == made["_id"], "left").join(twice, F.col("envelope_id") == F.col("_twice"), "left")
-    reason = (
-        F.when(F.col("_twice").isNotNull(), F.lit("salts-duplicate-path"))
-        .when(F.size("salts") != F.col("leaf_count"), F.lit("salts-length-not-leaf-count"))
-        .when(F.col("record_reason").isNotNull(), F.col("record_reason"))
-        .when(F.col("_why").isNotNull(), F.col("_why"))
-        .when(F.col("_n") != F.col("leaf_count"), F.lit("leaf-count-mismatch"))
-        .when(~F.col("_root").eqNullSafe(F.col("root")), F.lit("root-mismatch"))
-    )
-    return out.select("envelope_id", reason.alias("reason"))
-
-
-def _disclosed(rows: DataFrame, profiles: dict[str, list[list[str]]], ordering: str) -> DataFrame:
-    each = rows.select("envelope_id", "root", "leaf_count", F.posexplode("leaves").alias("place", "l")).select("envelope_id", "root", "leaf_count", "place", "l.*")
-    each = each.withColumn("path", L.normal_path(F.col("path"))).withColumn("encoded_path", encode_path(F.col("path")))
-    each = each.withColumn("bad", F.coalesce(carrier_reason(F.col("tag"), F.col("value")), F.when(F.octet_length("salt") != C.SALT_BYTES, F.lit("salt-length")), F.when(is_reserved(F.col("path"), C.RESERVED_PREFIX) & (F.col("tag") != C.STRING), F.lit("value-type-mismatch"))))
-    value = encode_value(F.col("tag"), F.when(F.col("bad").isNull(), F.col("value")))
-    each = each.withColumn("leaf_hash", merkle.leaf_hash(F.col("encoded_path"), F.col("tag"), value, F.col("salt"), ordering))
-    proven = merkle.verify_inclusion(F.col("leaf_hash"), F.col("index"), F.col("leaf_count"), F.col("audit_path"), F.col("root"))
-    each = each.withColumn("bad", F.coalesce("bad", F.when(~proven, F.lit("inclusion-proof-failed")))).withColumn("text", nfc(F.when(F.col("tag") == C.STRING, F.col("value"))))
-    named = {key: F.max(F.when(F.col("encoded_path") == known_path([key]), F.coalesce("text", F.lit("\u0000")))).alias(f"_{column}") for key, column in _IDENTITY.items()}
-    per = each.groupBy(F.col("envelope_id").alias("_id")).agg(F.min_by("bad", F.when(F.col("bad").isNotNull(), F.col("place"))).alias("bad"), F.count(F.lit(1)).alias("n"), F.collect_set("encoded_path").alias("paths"), F.count_distinct("index").alias("indices"), *named.values())
-    out = rows.join(per, rows["envelope_id"] == per["_id"], "left")
-    differs = F.lit(False)
-    for column in _IDENTITY.values():
-        outer, committed = nfc(F.col(column)), F.col(f"_{column}")
-        if column == "issuer_key_id":
-            differs = differs | F.coalesce(committed.isNotNull() & ~committed.eqNullSafe(outer), F.lit(False))
-        else:
-            differs = differs | ~committed.eqNullSafe(outer)
-    paths = F.coalesce("paths", F.array().cast("array<binary>"))
-    below = F.lit(False)
-    for record_type, floor in profiles.items():
-        for keys in floor:
-            below = below | ((F.col("record_type") == record_type) & ~F.array_contains(paths, known_path(keys)))
-    reason = (
-        F.when(F.col("bad").isNotNull(), F.col("bad"))
-        .when(F.least(F.size(paths), F.coalesce("indices", F.lit(0))) < F.coalesce("n", F.lit(0)), F.lit("envelope-malformed"))
-        .when(differs, F.lit("outer-identity-mismatch"))
-        .when(below, F.lit("minimum-disclosure-floor"))
-    )
-    return out.select("envelope_id", reason.alias("reason"))
+        alg = F.col("hash_alg") if "hash_alg" in v.anchored.columns else F.lit(None)
+        rows = rows.join(v.anchored.select(F.col("envelope_id").cast("string").alias("envelope_id"), F.col("root").alias("_root"), alg.cast("string").alias("_alg")), "envelope_id", "left")
+    else:
+        rows = rows.withColumns({"_root": F.lit(None).cast("binary"), "_alg": F.lit(None).cast("string")})
+    rows = rows.select("envelope_id", "envelope_json", "_root", "_alg", *keep)
+    one = reason_of(v)
+    kept = [f for f in rows.schema if f.name in keep]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                found = [one(*row) for row in zip(*[part.column(n).to_pylist() for n in (1, 2, 3)], strict=True)]
+                reasons = pa.array([r for r, _ in found], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), reasons.is_null(), reasons, pa.array([u for _, u in found], pa.list_(pa.string())), *[part.column(4 + n) for n in range(len(kept))]], ["envelope_id", "accepted", "reason", "undischarged", *[f.name for f in kept]])
+
+    return rows.mapInArrow(run, StructType([StructField("envelope_id", StringType()), StructField("accepted", BooleanType()), StructField("reason", StringType()), StructField("undischarged", ArrayType(StringType())), *kept]))
+
+
+def reason_of(v: Verifier) -> Callable[[str | bytes | None, bytes | None, str | None], tuple[str | None, list[str] | None]]:
+    """(reason, undischarged) of an envelope's text, its registered root and algorithm."""
+    algorithms = [a for a in v.algorithms if a == C.HASH_ALG]
+    floors = {t: [whole.encode_path(tuple(keys)) for keys in floor] for t, floor in (C.PROFILE_FLOORS if v.profiles is None else v.profiles).items()}
+    bound = binder(v)
+    ordering, need_type_map, registry, chain_id, anchored = v.ordering, v.need_type_map, v.registry, v.chain_id, v.anchored is not None
+    always = ([] if anchored and "hash_alg" in v.anchored.columns else ["algorithm-not-anchored"]) + ([] if anchored else ["root-not-anchored"])
+
+    def head(row, root, alg) -> str | None:
+        if row["canon"] != C.CANON:
+            return "envelope-malformed"
+        if row["hash_alg"] not in algorithms:
+            return "hash-alg-not-allowed"
+        if row["record_type"] not in floors:
+            return "profile-unknown"
+        if need_type_map and row["type_map_id"] is None:
+            return "outer-identity-mismatch"
+        if anchored and alg is not None and alg != row["hash_alg"]:
+            return "hash-alg-not-allowed"
+        if anchored and root != row["root"]:
+            return "root-mismatch"
+        if row.get("registry") is not None and (registry not in (None, row["registry"]) or chain_id not in (None, row["chain_id"])):
+            return "envelope-malformed"
+        return None
+
+    def one(text, root, alg):
+        try:
+            row = read_one(text)
+            full = "leaves" not in row
+            reason = head(row, root, alg) or (whole.full_reason(row, bound, ordering) if full else whole.disclosed_reason(row, floors[row["record_type"]], ordering))
+        except Rejected as e:
+            return str(e), None
+        except UnicodeEncodeError:
+            return "unpaired-surrogate", None
+        if reason:
+            return reason, None
+        return None, (["type-map-not-bound"] if row["type_map_id"] is None else []) + ([] if full else ["type-map-not-checked"]) + always
+
+    return one
+
+
+def binder(v: Verifier) -> Callable[[whole.Path, str, dict], int | None]:
+    return tag_of(v.maps or None, v.empty_containers == "mechanical")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill import constants as C
 from leafmill.functions import binary, identifiers
-from leafmill.functions.paths import display_path, encode_path, path
+from leafmill.functions.paths import display_path, encode_path, known_path, path
 from leafmill.operators import issue, leaves, typing, verify
 from leafmill.plans.queries import _hash_sql, _key_sql, _levels_sql, _salt, _spread, _t, _work, query
 from leafmill.sources import artifacts, envelopes, records
@@ -68,19 +68,14 @@ _CONFIG = verify.Verifier(profiles={"test.order": [["p"]]}, maps=_MAPS)
 def _records(spark: SparkSession, d: str) -> DataFrame:
     k, none = F.col("o_orderkey"), F.lit(None).cast("string")
     text = F.concat(F.lit('{"k":'), k.cast("string"), F.lit(',"p":"'), F.col("o_orderpriority"), F.lit('","t":'), F.col("o_custkey").cast("string"), F.lit(".50}"))
-    return _t(spark, d, "orders").select(F.concat(F.lit("order-"), k.cast("string")).alias("record_id"), text.alias("record_json"), F.lit("test.order").alias("record_type"), F.lit("1.0").alias("schema_version"), F.when(k % 11 != 0, F.lit(_MAP_ID)).alias("type_map_id"), F.lit("1.0.0").alias("type_map_version"), F.lit("urn:x").alias("issuer_id"), none.alias("issuer_key_id"))
+    return _spread(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")).select(F.concat(F.lit("order-"), k.cast("string")).alias("record_id"), text.alias("record_json"), F.lit("test.order").alias("record_type"), F.lit("1.0").alias("schema_version"), F.when(k % 11 != 0, F.lit(_MAP_ID)).alias("type_map_id"), F.lit("1.0.0").alias("type_map_version"), F.lit("urn:x").alias("issuer_id"), none.alias("issuer_key_id"))
 
 
 def _issued(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    recs = _records(spark, d)
-    work = _work(spark)
-    records.flatten(_spread(recs).select("record_id", "record_json")).write.parquet(f"{work}/leaves")
-    typed = typing.by_patterns(spark.read.parquet(f"{work}/leaves"), _MAP)
-    named = recs.select("record_id", F.explode(F.array(path("k"), path("p"), path("t"))).alias("path")).unionByName(leaves.reserved_leaves(recs).select("record_id", "path"))
-    salts = named.select("record_id", encode_path(F.col("path")).alias("encoded_path"), _salt(F.col("record_id"), display_path(F.col("path"))).alias("salt"))
-    made, refused = issue.issue_full(recs, typed, salts, ascii_only=True)
-    made.write.parquet(f"{work}/copies")
-    return spark.read.parquet(f"{work}/copies"), refused
+    named = ["k", "p", "t", C.RECORD_TYPE, C.SCHEMA_VERSION, C.TYPE_MAP_ID, C.RECORD_ID, C.ISSUER_ID]
+    salts = F.array(*[F.struct(known_path([key]).alias("encoded_path"), _salt(F.col("record_id"), F.lit(key)).alias("salt")) for key in named])
+    made = issue.issue_records(_records(spark, d).withColumn("salts", salts), _CONFIG)
+    return made.filter("reason is null").select("record_id", "envelope_json"), made.filter("reason is not null").select("record_id", "reason")
 
 
 def _leaf_sql(key: str, tag: int, value: str) -> str:
@@ -123,13 +118,13 @@ def downgrade_copies(spark, d):
     """Full copies to disclosed ones that verify; a third leaves out what the profile must show, a third asks for a leaf that isn't there."""
     copies, _ = _issued(spark, d)
     k = F.substring_index("record_id", "-", -1).cast("long") % 3
-    always = [path(x) for x in (C.RECORD_TYPE, C.SCHEMA_VERSION, C.TYPE_MAP_ID, C.RECORD_ID, C.ISSUER_ID)]
-    asked = F.concat(F.array(*always), F.when(k == 0, F.array(path("p"), path("k"))).when(k == 1, F.array(path("k"))).otherwise(F.array(path("p"), path("q"))))
-    reveal = copies.select("record_id", F.explode(asked).alias("path")).select("record_id", encode_path(F.col("path")).alias("encoded_path"))
+    always = [known_path([x]) for x in (C.RECORD_TYPE, C.SCHEMA_VERSION, C.TYPE_MAP_ID, C.RECORD_ID, C.ISSUER_ID)]
+    asked = lambda *keys: F.array(*always, *[known_path([x]) for x in keys])
+    reveal = F.when(k == 0, asked("p", "k")).when(k == 1, asked("k")).otherwise(asked("p", "q"))
     work = _work(spark)
-    made, refused = issue.downgrade(copies.withColumnRenamed("record_id", "envelope_id"), reveal, _CONFIG, work)
-    made.write.parquet(f"{work}/shown")
-    checked = verify.verify(spark.read.parquet(f"{work}/shown").withColumnRenamed("record_id", "envelope_id"), config=_CONFIG)
+    asked_for = copies.select("record_id", F.explode(reveal).alias("encoded_path"))
+    made, refused = issue.downgrade(copies.withColumnRenamed("record_id", "envelope_id"), asked_for, _CONFIG, work)
+    checked = verify.verify(made.withColumnRenamed("record_id", "envelope_id"), config=_CONFIG)
     return checked.select(F.col("envelope_id").alias("record_id"), "accepted", "reason").unionByName(refused.select("record_id", F.lit(False).alias("accepted"), "reason"))
 
 

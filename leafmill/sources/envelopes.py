@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from leafmill import constants as C
 from leafmill.functions.binary import to_hex
 from leafmill.functions.identifiers import fits
 from leafmill.functions.paths import known_path
-from leafmill.sources.records import Rejected, _Number, decoded, kind, parse, walk, write
+from leafmill.sources.records import Rejected, _Number, decoded, kind, parse, segments, walk, write
 
 # The members that each object of an envelope may have, and names that a salt's seed would go by.
 TOP = {"canon", "hashAlg", "ordering", "recordType", "schemaVersion", "typeMap", "recordId", "root", "leafCount", "issuer", "anchor", "disclosure", "record", "salts"}
@@ -31,14 +33,19 @@ _SQL = (
 )
 
 
+_HEX = re.compile("[0-9a-f]*").fullmatch
+
+
 def _need(ok: bool, reason: str = "envelope-malformed") -> None:
     if not ok:
         raise Rejected(reason)
 
 
 def _text(x) -> str:
-    _need(kind(x) == "string")
-    return str(x)
+    # The parser makes plain strings, and numbers of a class of their own.
+    if type(x) is not str:
+        raise Rejected("envelope-malformed")
+    return x
 
 
 def _whole(x, most: int = 2**53) -> int:
@@ -48,17 +55,19 @@ def _whole(x, most: int = 2**53) -> int:
 
 def _bytes(x, size: int | None = None) -> bytes:
     s = _text(x)
-    _need(len(s) % 2 == 0 and all(c in "0123456789abcdef" for c in s) and (size is None or len(s) == 2 * size))
+    if len(s) % 2 or not _HEX(s) or size is not None and len(s) != 2 * size:
+        raise Rejected("envelope-malformed")
     return bytes.fromhex(s)
 
 
-def _segments(x) -> list[dict]:
+def _segments(x) -> tuple[str | int, ...]:
     _need(isinstance(x, list))
-    out = []
+    out: list[str | int] = []
     for s in x:
-        _need(isinstance(s, dict) and len(s) == 1)
-        out.append({"key": _text(s["key"]), "index": None} if "key" in s else {"key": None, "index": _whole(s.get("index"), C.MAX_INDEX)})
-    return out
+        if type(s) is not dict or len(s) != 1:
+            raise Rejected("envelope-malformed")
+        out.append(_text(s["key"]) if "key" in s else _whole(s.get("index"), C.MAX_INDEX))
+    return tuple(out)
 
 
 def _strangers(doc: dict):
@@ -72,9 +81,11 @@ def _strangers(doc: dict):
     for items, known in lists:
         for x in items if isinstance(items, list) else []:
             if isinstance(x, dict):
-                yield from set(x) - known
+                if not x.keys() <= known:
+                    yield from set(x) - known
                 for s in x["segments"] if isinstance(x.get("segments"), list) else []:
-                    yield from set(s) - SEGMENT if isinstance(s, dict) else ()
+                    if isinstance(s, dict) and not s.keys() <= SEGMENT:
+                        yield from set(s) - SEGMENT
 
 
 def _anchor(x) -> dict:
@@ -85,6 +96,7 @@ def _anchor(x) -> dict:
 
 
 def _row(doc) -> dict:
+    """own: path, kind, literal; salts: path, salt; leaves: path, index, tag, value, salt, audit path."""
     _need(isinstance(doc, dict))
     strangers = set(_strangers(doc))
     _need(not strangers & SEEDS, "master-salt-in-envelope")
@@ -108,10 +120,10 @@ def _row(doc) -> dict:
     _need(row["leaf_count"] >= 5 + ("keyId" in issuer or type_map is not None))
     if full:
         _need(isinstance(doc["salts"], list))
-        row["salts"] = [{"path": _segments(x.get("segments")), "salt": _bytes(x.get("salt"))} for x in doc["salts"]]
+        row["salts"] = [(_segments(x.get("segments")), _bytes(x.get("salt"))) for x in doc["salts"]]
         try:
             row["record_json"] = write(doc["record"])
-            row["own"] = [{"path": p, "json_kind": k, "literal": v} for p, k, v in walk(doc["record"])]
+            row["own"] = list(walk(doc["record"]))
         except Rejected as e:
             row["record_reason"] = str(e)
         return row
@@ -121,14 +133,23 @@ def _row(doc) -> dict:
     for x in disclosure["leaves"]:
         _need(isinstance(x, dict) and isinstance(x.get("auditPath"), list))
         v = x.get("value")
-        if "value" in x:
-            _need(kind(v) in ("string", "boolean"), "value-type-mismatch")
-            v = str(v).lower() if isinstance(v, bool) else str(v)
-        out.append({"path": _segments(x.get("segments")), "index": _whole(x.get("index")), "tag": _whole(x.get("tag"), 255), "value": v, "salt": _bytes(x.get("salt")), "audit_path": [_bytes(h, 32) for h in x["auditPath"]]})
+        if "value" in x and type(v) is not str:
+            _need(isinstance(v, bool), "value-type-mismatch")
+            v = str(v).lower()
+        out.append((_segments(x.get("segments")), _whole(x.get("index")), _whole(x.get("tag"), 255), v, _bytes(x.get("salt")), [_bytes(h, 32) for h in x["auditPath"]]))
     row["leaves"] = out
     return row
 
 
+_PARTS = {"own": ("json_kind", "literal"), "salts": ("salt",), "leaves": ("index", "tag", "value", "salt", "audit_path")}
+
+
+def read_one(text: str | bytes | None) -> dict:
+    """The members of an envelope. Raises Rejected with a reason code."""
+    _need(text is not None)
+    return _row(parse(decoded(text)))
+
+
 def read_envelopes(envelopes: DataFrame) -> DataFrame:
     """envelopes: envelope_id, envelope_json. One typed row each; ``reason`` says why one can't be read. A full copy has
     own (its record's leaves) and salts, a disclosed one leaves."""
@@ -139,8 +160,10 @@ def read_envelopes(envelopes: DataFrame) -> DataFrame:
             for envelope_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 row = dict.fromkeys(_SCHEMA.names)
                 try:
-                    _need(text is not None)
-                    row |= _row(parse(decoded(text)))
+                    row |= read_one(text)
+                    for part, names in _PARTS.items():
+                        if row[part] is not None:
+                            row[part] = [{"path": segments(p), **dict(zip(names, more, strict=True))} for p, *more in row[part]]
                 except Rejected as e:
                     row["reason"] = str(e)
                 rows.append(row | {"envelope_id": envelope_id})
@@ -217,7 +240,7 @@ def read_salt_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             out: list[dict] = []
             for set_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    out += [dict(zip(schema.names, (set_id, *x), strict=True)) for x in rows(text)]
+                    out += [dict(zip(schema.names, (set_id, why, None if p is None else segments(p), *more), strict=True)) for why, p, *more in rows(text)]
                 except Rejected as e:
                     out.append({"record_id": set_id, "reason": str(e)})
             yield pa.RecordBatch.from_pylist(out, schema)

@@ -14,7 +14,7 @@ from leafmill import constants as C
 _TOKEN = re.compile(r"\[(\*|[0-9]+)\]|([^.\[\]]+)")
 
 
-def _tokens(pattern: str) -> list[str]:
+def tokens(pattern: str) -> list[str]:
     """Segments of a pattern in the form of ``functions.paths.shape``: .key, or [*]."""
     out = []
     for m in _TOKEN.finditer(unicodedata.normalize("NFC", pattern)):
@@ -34,7 +34,7 @@ class PatternMap:
 
     def __post_init__(self):
         for pattern, _, tag in self.entries:
-            if tag not in C.TAG_KINDS or "**" in _tokens(pattern)[:-1]:
+            if tag not in C.TAG_KINDS or "**" in tokens(pattern)[:-1]:
                 raise ValueError("type-map-rejected")
 
     @classmethod
@@ -47,7 +47,7 @@ class PatternMap:
         """ordinal, shape, json_kind, tag, open (ends in **; the shape is what stands before)."""
         rows = []
         for i, (pattern, kind, tag) in enumerate(self.entries):
-            t = _tokens(pattern)
+            t = tokens(pattern)
             is_open = bool(t) and t[-1] == "**"
             rows.append((i, "/".join(t[:-1] if is_open else t), kind, tag, is_open))
         return spark.createDataFrame(rows, "ordinal int, shape string, json_kind string, tag int, open boolean")

@@ -9,7 +9,7 @@ from leafmill import constants as C
 from leafmill.functions import binary, identifiers
 from leafmill.functions.paths import display_path, encode_path, known_path, path
 from leafmill.operators import issue, leaves, typing, verify
-from leafmill.plans.queries import _hash_sql, _key_sql, _levels_sql, _salt, _spread, _t, _work, query
+from leafmill.plans.queries import _hash_sql, _key_sql, _levels_sql, _salt, _spread, _t, query
 from leafmill.sources import artifacts, envelopes, records
 from leafmill.sources.type_maps import PatternMap
 
@@ -121,11 +121,9 @@ def downgrade_copies(spark, d):
     always = [known_path([x]) for x in (C.RECORD_TYPE, C.SCHEMA_VERSION, C.TYPE_MAP_ID, C.RECORD_ID, C.ISSUER_ID)]
     asked = lambda *keys: F.array(*always, *[known_path([x]) for x in keys])
     reveal = F.when(k == 0, asked("p", "k")).when(k == 1, asked("k")).otherwise(asked("p", "q"))
-    work = _work(spark)
-    asked_for = copies.select("record_id", F.explode(reveal).alias("encoded_path"))
-    made, refused = issue.downgrade(copies.withColumnRenamed("record_id", "envelope_id"), asked_for, _CONFIG, work)
-    checked = verify.verify(made.withColumnRenamed("record_id", "envelope_id"), config=_CONFIG)
-    return checked.select(F.col("envelope_id").alias("record_id"), "accepted", "reason").unionByName(refused.select("record_id", F.lit(False).alias("accepted"), "reason"))
+    made = issue.downgraded(copies.select(F.col("record_id").alias("envelope_id"), "envelope_json", reveal.alias("reveal")), _CONFIG)
+    checked = verify.verify(made.select(F.col("record_id").alias("envelope_id"), "envelope_json", F.col("reason").alias("refused")), config=_CONFIG, keep=["refused"])
+    return checked.select(F.col("envelope_id").alias("record_id"), "accepted", F.coalesce("refused", "reason").alias("reason"))
 
 
 # ---- maps

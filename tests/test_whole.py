@@ -96,3 +96,19 @@ def _record(spark, **changes):
 def test_issuing_refuses(spark, changes, reason):
     row = issue.issue_records(_record(spark, **changes), issuing._CONFIG).first()
     assert row["reason"] == reason and (row["envelope_json"] is None) == (reason is not None)
+
+
+def test_copies_are_downgraded_where_they_are_read(spark, data):
+    """Issued, downgraded and verified in one pass: three readers, no leaf dealt out, nothing stored."""
+    plan = _plan(issuing.downgrade_copies(spark, data))
+    assert plan.count("MapInArrow") == 3 and "hashpartitioning" not in plan and "plans-" not in plan
+
+
+def test_downgrading_refuses(spark):
+    made = issue.issue_records(_record(spark), issuing._CONFIG).first()["envelope_json"]
+    always = [whole.encode_path((x,)) for x in ("p", C.RECORD_TYPE, C.SCHEMA_VERSION, C.TYPE_MAP_ID, C.RECORD_ID, C.ISSUER_ID)]
+    shown = issue.downgraded(spark.createDataFrame([("e", made, always)], "envelope_id string, envelope_json string, reveal array<binary>"), issuing._CONFIG).first()
+    assert shown["reason"] is None
+    cases = [(made, None, "minimum-disclosure-floor"), (made, always[1:], "minimum-disclosure-floor"), (made, [*always, b"x"], "envelope-malformed"), (made.replace('"k":1', '"k":2'), always, "root-mismatch"), (made.replace('"k":1', '"k":"1"'), always, "type-map-fail-closed"), (shown["envelope_json"], always, "envelope-copy-kind"), (made.replace("test.order", "test.other"), always, "profile-unknown"), (None, always, "envelope-malformed")]
+    rows = spark.createDataFrame([(str(i), e, r) for i, (e, r, _) in enumerate(cases)], "envelope_id string, envelope_json string, reveal array<binary>")
+    assert [r["reason"] for r in issue.downgraded(rows, issuing._CONFIG).orderBy("record_id").collect()] == [w for _, _, w in cases]

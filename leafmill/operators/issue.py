@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ def issue_records(records: DataFrame, config: Verifier) -> DataFrame:
 
     def one(text, salts, *identity):
         own = whole.normal_identity(dict(zip(["record_id", *names], identity, strict=True)))
-        if own["type_map_id"] is None or own["type_map_version"] is None:
+        if any(own[name] is None for name in (*_NEEDED, "type_map_id", "type_map_version")):
             return None, "envelope-malformed"
         try:
             if text is None:
@@ -71,6 +71,7 @@ def issue_records(records: DataFrame, config: Verifier) -> DataFrame:
     return rows.mapInArrow(run, _ANSWER)
 
 
+_NEEDED = ("record_type", "schema_version", "record_id", "issuer_id")
 _ANSWER = "record_id string, envelope_json string, reason string"
 
 
@@ -87,6 +88,52 @@ def _listed(column: pa.Array) -> list[list[tuple]]:
     return [items[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def disclose_tables(records: DataFrame, name: str, tags: dict[str, int], shown: Callable[[whole.Path], bool], salts: Callable[[str, str], bytes] | None = None, ordering: str = "path", even_bare: bool = False) -> DataFrame:
+    """record_id, envelope_json, reason (one of both is null): disclosed copies of records that are rows of a table: record_id,
+    the identity, rows (array of structs, in order), salts (array of encoded_path and salt).
+
+    Leaves stand at name[index].column for the columns that tags names; a null cell is a NULL leaf. shown: of the own leaves'
+    paths, which are shown; the reserved ones always are. salts: for tests, a function of record id and display path in place
+    of the column. even_bare: also make copies of records without rows, which no verifier accepts.
+    """
+    merkle.domain(ordering)
+    if bad := [f.name for f in records.schema["rows"].dataType.elementType if f.name in tags and f.dataType.typeName() in ("float", "double")]:
+        raise ValueError(f"float-column: {bad}")
+    cells = F.transform("rows", lambda r: F.struct(*[r[c].cast("string").alias(c) for c in tags]))
+    stored = F.lit(None).cast("array<struct<encoded_path:binary,salt:binary>>") if salts else F.col("salts")
+    rows = records.select(F.col("record_id").cast("string").alias("record_id"), cells.alias("rows"), stored.alias("salts"), *L.IDENTITY)
+    columns = [(c, tag, C.TAG_KINDS[tag]) for c, tag in tags.items()]
+    told: dict[whole.Path, bool] = {}
+
+    def visible(_, path):
+        if path not in told:
+            if len(told) >= 4096:
+                told.clear()
+            told[path] = isinstance(path[0], str) and path[0].startswith(C.RESERVED_PREFIX) or shown(path)
+        return told[path]
+
+    def one(record_id, lines, stored, *identity):
+        own = whole.normal_identity(dict(zip(L.IDENTITY, identity, strict=True)) | {"record_id": record_id})
+        if any(own[n] is None for n in _NEEDED):
+            return None, "envelope-malformed"
+        leaves = [((name, i, c), C.NULL, "null", None) if v is None else ((name, i, c), tag, kind, v) for i, line in enumerate(lines) for (c, tag, kind), v in zip(columns, line, strict=True)]
+        by_path = dict(stored)
+        salt_of = (lambda _, path: salts(record_id, whole.described(path)[1])) if salts else lambda encoded, _: by_path.get(encoded)
+        made = whole.commit(own, leaves, salt_of, ordering)
+        if made.root is None or made.reason and not even_bare:
+            return None, made.reason
+        return whole.disclosed_copy(own, made, visible, ordering), None
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                columns = [_listed(part.column(n)) if n in (1, 2) else part.column(n).to_pylist() for n in range(part.num_columns)]
+                yield _answers(part.column(0), [one(*row) for row in zip(*columns, strict=True)])
+
+    return rows.mapInArrow(run, _ANSWER)
+
+
 def downgraded(envelopes: DataFrame, config: Verifier) -> DataFrame:
     """record_id, envelope_json, reason (one of both is null): disclosed copies of full ones: envelope_id, envelope_json,
     reveal (array of the encoded paths to show).

@@ -1,12 +1,16 @@
 """Records and envelopes held whole: the same rules as the column functions', and plans that shuffle nothing."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
 from leafmill.functions import merkle, numbers, values, whole
-from leafmill.operators import issue, typing, verify
-from leafmill.plans import issuing
+from leafmill.functions.paths import display_path
+from leafmill.operators import issue, leaves, typing, verify
+from leafmill.plans import issuing, queries as plans
+from leafmill.sources import envelopes
 from leafmill.sources.type_maps import Automaton, PatternMap
 
 LITERALS = ["0", "-0", "01", "1.50", "-0.00", "1e2", "1.5e-2", "1.00e1", "-1E+0003", "1e1023", "1e1024", "0e5", "1e99999999", ".5", "1.", "+1", "", "é", "AA==", "AB==", "AAA", "YQ==\n", "0a", "0A", "true", "False", "9" * 1025, "1\n", "١"]
@@ -112,3 +116,25 @@ def test_downgrading_refuses(spark):
     cases = [(made, None, "minimum-disclosure-floor"), (made, always[1:], "minimum-disclosure-floor"), (made, [*always, b"x"], "envelope-malformed"), (made.replace('"k":1', '"k":2'), always, "root-mismatch"), (made.replace('"k":1', '"k":"1"'), always, "type-map-fail-closed"), (shown["envelope_json"], always, "envelope-copy-kind"), (made.replace("test.order", "test.other"), always, "profile-unknown"), (None, always, "envelope-malformed")]
     rows = spark.createDataFrame([(str(i), e, r) for i, (e, r, _) in enumerate(cases)], "envelope_id string, envelope_json string, reveal array<binary>")
     assert [r["reason"] for r in issue.downgraded(rows, issuing._CONFIG).orderBy("record_id").collect()] == [w for _, _, w in cases]
+
+
+def test_tables_are_disclosed_where_their_rows_meet(spark, data):
+    """Cells and envelopes aren't dealt out: two exchanges, of lines and of orders, and nothing is stored."""
+    plan = _plan(plans.verify_envelopes(spark, data))
+    assert plan.count("MapInArrow") == 2 and "plans-" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_tables_are_disclosed_as_leaf_by_leaf(spark, data):
+    """The same copies as from single leaves, and an order without lines is refused unless it is asked for."""
+    recs, cells = plans.order_records(spark, data), plans.order_cells(spark, data)
+    both = cells.withColumn("reserved", F.lit(False)).unionByName(leaves.reserved_leaves(recs).withColumn("reserved", F.lit(True)))
+    rows = leaves.hashed(leaves.encoded(both, ascii_only=True).withColumn("salt", plans._salt(F.col("record_id"), display_path(F.col("path")))))
+    asked = rows.filter(F.col("reserved") | display_path(F.col("path")).endswith("l_partkey")).select("record_id", "encoded_path")
+    shown, _, _ = leaves.disclose(rows, asked, rows.limit(0).select("record_id", "encoded_path"))
+    old = {r["record_id"]: json.loads(r["envelope_json"]) for r in envelopes.write_disclosed(shown, recs).collect()}
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
+    by_order = plans._lines(spark, data).groupBy(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("record_id")).agg(F.sort_array(F.collect_list(line)).alias("rows"))
+    made = lambda bare: issue.disclose_tables(recs.join(by_order, "record_id", "left"), "lines", plans._CELLS, lambda path: path[-1] == "l_partkey", salts=plans._test_salt, even_bare=bare)
+    assert {r["record_id"]: json.loads(r["envelope_json"]) for r in made(True).collect()} == old
+    refused = {r["record_id"] for r in made(False).collect() if r["reason"] == "record-contributes-no-leaves"}
+    assert refused == {k for k, x in old.items() if x["leafCount"] < 6 and len(x["disclosure"]["leaves"]) == x["leafCount"]} and refused

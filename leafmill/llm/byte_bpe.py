@@ -1,8 +1,9 @@
 """Byte-level BPE by the tokenizers library, with a bounded memory of words already encoded.
 
 The library first cuts a text at fixed places (its word pattern) and then encodes each piece by itself. For texts of
-Latin script the pattern is applied here and every different piece goes to the library once; texts with any other
-character are handed to the library whole, so no result depends on two libraries agreeing about Unicode.
+Latin script the pattern is applied here and every different piece goes to the library once, or once for every call after
+KEEP others; texts with any other character are handed to the library whole, so no result depends on two libraries
+agreeing about Unicode.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import unicodedata
 
 import numpy as np
 
-#: At about 200 bytes each.
-KEEP = 1_200_000
+#: Pieces kept by a worker, of at most so many characters, at about 200 bytes each. Others are encoded again.
+KEEP, LONGEST = 500_000, 40
 
 
 def _classes() -> tuple[str, str]:
@@ -36,11 +37,26 @@ def _classes() -> tuple[str, str]:
 
 _L, _N = _classes()
 _S = r"\t-\r \x85\xa0"
-#: The pieces of byte-level BPE (a fixed pattern of the published format) for texts that _OTHER doesn't match.
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: The pieces of byte-level BPE (a fixed pattern of the published format) for texts that _OTHER doesn't match. Letters and
+#: numbers come first here, which is faster and the same: what begins with a mark can't be either.
+_PIECE = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _OTHER = re.compile(r"[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 
 
+class _Known(dict):
+    """Encodings by piece. What isn't kept gets a place in ``new``, which is filled before it is read."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, piece: str) -> bytearray:
+        place = self.new.get(piece)
+        if place is None:
+            place = self.new[piece] = bytearray()
+        return place
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,13 +64,13 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
         ids = self.library.encode("\n", add_special_tokens=False).ids
         self.line = ids[0] if len(ids) == 1 else None
 
-    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
-        """Encodes pieces into known. Many are sent as lines of one text: a line's end is a piece and an id of its own, which
-        no other piece holds, so what stands between two of them is the piece's encoding. Pieces of space go alone."""
+    def _encoded(self, pieces: list[str]):
+        """Pairs of a piece and its ids' bytes. Many are sent as lines of one text: a line's end is a piece and an id of its
+        own, which no other piece holds, so what stands between two of them is the piece's encoding. Pieces of space go alone."""
         alone = [p for p in pieces if p.isspace()] if self.line is not None else pieces
         lines = [p for p in pieces if not p.isspace()] if self.line is not None else []
         parts = [lines[k : k + 500] for k in range(0, len(lines), 500)]
@@ -68,25 +84,24 @@ class Encoder:
                     continue
                 data = ids.tobytes()
                 begins = [0, *(4 * ends + 4).tolist()]
-                known.update(zip(part, (data[x:y] for x, y in zip(begins, [*(4 * ends).tolist(), len(data)], strict=True)), strict=True))
+                yield from zip(part, (data[x:y] for x, y in zip(begins, [*(4 * ends).tolist(), len(data)], strict=True)), strict=True)
         for k in range(0, len(alone), 10_000):
             part = alone[k : k + 10_000]
             for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-
+                yield p, np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32 bits) of each text."""
-        cut = [_PIECE.findall(t) if t.isascii() or not _OTHER.search(t) else None for t in texts]
-        known = self.known
-        missing = list(set(itertools.chain.from_iterable(p for p in cut if p)).difference(known))
-        if len(known) + len(missing) > KEEP:
-            known = dict(known)  # for this batch only
-        self._learn(missing, known)
-        whole = [i for i, c in enumerate(cut) if c is None]
+        known, get = self.known, self.known.__getitem__
+        found = [list(map(get, _PIECE.findall(t))) if t.isascii() or not _OTHER.search(t) else None for t in texts]
+        for piece, data in self._encoded(list(known.new)):
+            known.new[piece][:] = data
+            if len(known) < KEEP and len(piece) <= LONGEST:
+                known[piece] = data
+        known.new = {}
+        whole = [i for i, f in enumerate(found) if f is None]
         direct = dict(zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True)) if whole else {}
-        get = known.__getitem__
-        return [np.array(direct[i].ids, "<u4") if pieces is None else np.frombuffer(b"".join(map(get, pieces)), "<u4") for i, pieces in enumerate(cut)]
+        return [np.array(direct[i].ids, "<u4") if f is None else np.frombuffer(b"".join(f), "<u4") for i, f in enumerate(found)]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -22,12 +22,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import drop_saved, new_path
+from .common import drop_saved, new_path, slices
 
 ROLL, MEAN_BITS, SHORTEST, LONGEST = 16, 8, 64, 2048
 
@@ -98,25 +99,33 @@ _STAGE = "doc_id long, n_tokens long, digests array<binary>, root binary, new ar
 def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     """Per document its recipe, and the chunks that its task has not met before."""
 
+    def lists(ends: list[int], values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values)
+
     def encode(batches):
         enc, met = byte_bpe.encoder(path), set()
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("root", pa.binary()), ("new", pa.list_(pa.struct([("digest", pa.binary()), ("payload", pa.binary())])))])
-        for big in batches:
-            for k in range(0, big.num_rows, 500):
-                batch = big.slice(k, 500)
-                rows: list[dict] = []
-                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    data, digests, new = ids.astype(f"<u{width}").tobytes(), [], []
-                    for a, b in itertools.pairwise([0, *cuts(ids)]):
-                        payload = data[a * width : b * width]
-                        digests.append(d := digest(payload))
-                        if d not in met:
-                            if len(met) < 1_000_000:
-                                met.add(d)
-                            new.append({"digest": d, "payload": payload})
-                    rows.append({"doc_id": doc_id, "n_tokens": len(ids), "digests": digests, "root": merkle(digests), "new": new})
-                yield pa.RecordBatch.from_pylist(rows, schema)
+        for batch in slices(batches):
+            n, digests, ends, roots, new, payloads, new_ends = [], [], [], [], [], [], []
+            for ids in enc.encode(batch.column(1).fill_null("").to_pylist()):
+                ids = np.append(ids, np.uint32(end_id))
+                data, own, last = ids.astype(f"<u{width}").tobytes(), [], 0
+                for end in cuts(ids):
+                    payload = data[last * width : end * width]
+                    last = end
+                    own.append(d := digest(payload))
+                    if d not in met:
+                        if len(met) < 200_000:
+                            met.add(d)
+                        new.append(d)
+                        payloads.append(payload)
+                n.append(len(ids))
+                digests += own
+                ends.append(len(digests))
+                roots.append(merkle(own))
+                new_ends.append(len(new))
+            chunks = pa.StructArray.from_arrays([pa.array(new, pa.binary()), pa.array(payloads, pa.binary())], ["digest", "payload"])
+            columns = {"n_tokens": pa.array(n, pa.int64()), "digests": lists(ends, pa.array(digests, pa.binary())), "root": pa.array(roots, pa.binary()), "new": lists(new_ends, chunks)}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | columns)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, _STAGE)
 
@@ -198,14 +207,16 @@ def verify(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            crcs, good = [], []
-            for n, root, chunks, sealed in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                crc = total = 0
-                for c in chunks or []:
-                    crc = crc_join(crc, c["crc"], 4 * c["n"])
-                    total += c["n"]
+            flat = batch.column(4).flatten()
+            lengths, parts, digests = (pc.struct_field(flat, x).to_pylist() for x in ("n", "crc", "digest"))
+            crcs, good, last = [], [], 0
+            for n, root, many, sealed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), pc.list_value_length(batch.column(4)).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                end, crc = last + (many or 0), 0
+                for c, k in zip(parts[last:end], lengths[last:end], strict=True):
+                    crc = crc_join(crc, c, 4 * k)
                 crcs.append(crc)
-                good.append(sealed and total == n and merkle([c["digest"] for c in chunks or []]) == root)
+                good.append(sealed and sum(lengths[last:end]) == n and merkle(digests[last:end]) == root)
+                last = end
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     return docs.select("doc_id", (F.col("local_start") + F.col("offset")).alias("start"), "n_tokens", "root", "chunks", "sealed").mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")

@@ -240,11 +240,17 @@ class Batch:
     leaf_of: np.ndarray  #: of every number
 
 
+def begins(doc: np.ndarray) -> np.ndarray:
+    """Of every token, where its text begins."""
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    return np.repeat(first, np.diff(first, append=len(doc)))
+
+
 def contexts(leaf: np.ndarray, doc: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every token: the last of the commonest words before it in its text, and the leaf before it (at first the end)."""
     n = len(leaf)
     place = np.arange(n)
-    begin = np.searchsorted(doc, doc)
+    begin = begins(doc)
     last = np.maximum.accumulate(np.where(leaf < min(CLASSES - 1, end), place, -1))
     last = np.concatenate([[-1], last[:-1]])
     before = np.concatenate([[end], leaf[:-1]])
@@ -314,7 +320,7 @@ class State:
 
     def __init__(self, texts: int):
         self.own = np.zeros(2 * texts * (OWN + 1), np.float32)  #: zeros and ones, by turns
-        self.weights = np.tile(np.array(WEIGHTS, np.float32), (16 * texts, 1))
+        self.weights = np.repeat(np.array(WEIGHTS, np.float32)[:, None], 16 * texts, axis=1)
         self.refined = np.tile((1 / (1 + np.exp(-np.linspace(-6, 6, BUCKETS)))).astype(np.float32), texts)
 
 
@@ -389,9 +395,9 @@ class Model:
         length = np.bincount(doc, minlength=n_docs)
         rank = np.empty(n_docs, np.int64)
         rank[np.argsort(-length, kind="stable")] = np.arange(n_docs)
-        block = (np.arange(len(leaf)) - np.searchsorted(doc, doc)) // BLOCK
+        block = (np.arange(len(leaf)) - begins(doc)) // BLOCK
         order = np.argsort(block * n_docs + rank[doc], kind="stable")
-        row, block = rank[doc][order].astype(np.int32), block[order]
+        row, block = rank[doc][order], block[order]
         leaf, last, before = leaf[order], last[order], before[order]
         state = State(n_docs)
         log_p = np.empty(len(leaf))
@@ -411,16 +417,17 @@ class Model:
         """log10 of the probability of each token's decisions; edges: where each step's tokens begin."""
         token, node, bit = decisions(self.tree, leaf)
         p = self.tree.chance.take(node)
-        x = np.empty((len(token), 3), np.float32)
-        gate = (row * 16).take(token)
+        x = np.empty((3, len(token)), np.float32)
+        at = token.astype(np.intp)  # as numpy indexes, here and below: else each use would make a copy
+        gate = (row * 16).take(at)
         for k, slot in enumerate((slots_of_class(last, token, node), slots_before(before, token, node, self.bits))):
             pair = _PAIRS.take(self.table.take(slot))
             n = pair.real + pair.imag
             p = (pair.imag + PRIORS[k] * p) / (n + PRIORS[k])
-            x[:, k] = _odds(p)
+            x[k] = _odds(p)
         gate += 4 * ((n >= 1).astype(np.int32) + (n >= 8) + (n >= 64))
-        own_at = (row * (OWN + 1)).take(token) + np.minimum(node, OWN)
-        bucket_of = (row * BUCKETS).take(token)
+        own_at = (row * (OWN + 1)).take(at) + np.minimum(node, OWN)
+        bucket_of = (row * BUCKETS).take(at)
         weights, refined, counts = state.weights, state.refined, state.own
         own = counts.view(np.complex64)
         own_bit = 2 * own_at + bit
@@ -428,28 +435,28 @@ class Model:
         final = np.empty(len(token), np.float32)
         for f, t in itertools.pairwise(np.searchsorted(token, edges).tolist()):
             texts = int(row[token[t - 1]]) + 1
-            bits, v = y[f:t], x[f:t]
+            bits, v = y[f:t], x[:, f:t]
             seen = own.take(own_at[f:t])
             n = seen.real + seen.imag
-            v[:, 2] = _odds((seen.imag + PRIORS[2] * p[f:t]) / (n + PRIORS[2]))
+            v[2] = _odds((seen.imag + PRIORS[2] * p[f:t]) / (n + PRIORS[2]))
             g = gate[f:t] + (n >= 1) + (n >= 8) + (n >= 64)
-            z = np.clip(np.einsum("ij,ij->i", v, weights.take(g, axis=0)), -LIMIT, LIMIT)
+            z = np.clip(v[0] * weights[0].take(g) + v[1] * weights[1].take(g) + v[2] * weights[2].take(g), -LIMIT, LIMIT)
             q = 1 / (1 + np.exp(-z))
-            bucket = bucket_of[f:t] + np.clip((z + 6) * ((BUCKETS - 1) / 12) + 0.5, 0, BUCKETS - 1).astype(np.int32)
+            bucket = bucket_of[f:t] + np.clip((z + 6) * ((BUCKETS - 1) / 12) + 0.5, 0, BUCKETS - 1).astype(np.intp)
             r = refined.take(bucket)
             final[f:t] = np.abs(0.75 * q + 0.25 * r + bits - 1)
             # Towards less error, at most as far as the curvature of all inputs together allows.
             error = bits - q
-            steep = np.bincount(g, q * (1 - q) * np.einsum("ij,ij->i", v, v), minlength=16 * texts) + STILL
+            steep = np.bincount(g, q * (1 - q) * (v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), minlength=16 * texts) + STILL
             for j in range(3):
-                weights[: 16 * texts, j] += RATE * np.bincount(g, error * v[:, j], minlength=16 * texts) / steep
+                weights[j, : 16 * texts] += RATE * np.bincount(g, error * v[j], minlength=16 * texts) / steep
             size = BUCKETS * texts
             k = np.bincount(2 * bucket + bit[f:t], minlength=2 * size).reshape(-1, 2)
             refined[:size] += (k[:, 1] - k.sum(axis=1) * refined[:size]) / (k.sum(axis=1) + STILL)
             size = texts * (OWN + 1)
-            counts[: 2 * size] += np.bincount(own_bit[f:t], minlength=2 * size)
+            np.add.at(counts, own_bit[f:t], np.float32(1))
             own[OWN : size : OWN + 1] = 0
-        return np.bincount(token, np.log10(np.maximum(final, _FLOOR)), minlength=len(leaf))
+        return np.bincount(at, np.log10(np.maximum(final, _FLOOR)), minlength=len(leaf))
 
     def score(self, texts: pa.Array) -> dict[str, pa.Array]:
         batch = self.numbered(texts)
@@ -512,26 +519,14 @@ def _fewer(rows: DataFrame) -> DataFrame:
 
 
 class Slots:
-    """Counts (zeros, ones) by slot. Decisions are gathered and counted many at a time."""
+    """Counts (zeros, ones) by slot. Each decision is added in its place, so its cost doesn't grow with the table."""
 
     def __init__(self, size: int):
-        self.table, self.waiting, self.held = np.zeros(size * 2, np.uint32), [], 0
-
-    def add_times(self, slot: np.ndarray, bit: np.ndarray, times: np.ndarray) -> None:
-        n = np.bincount(slot * 2 + bit, times)
-        self.table[: len(n)] += n.astype(np.uint32)
-
-    def add(self, slot: np.ndarray, bit: np.ndarray) -> None:
-        self.waiting.append(slot.reshape(-1).astype(np.int32) * 2 + bit.reshape(-1))
-        self.held += slot.size
-        if self.held > 6_000_000:
-            self.count()
+        self.table = np.zeros(size * 2, np.uint32)
 
-    def count(self) -> None:
-        for some in self.waiting:
-            n = np.bincount(some)
-            self.table[: len(n)] += n.astype(np.uint32)
-        self.waiting, self.held = [], 0
+    def add(self, slot: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
+        at = slot.reshape(-1).astype(np.intp) * 2 + bit.reshape(-1)
+        np.add.at(self.table, at, np.uint32(1) if times is None else times.astype(np.uint32))
 
 
 def _common(counts: DataFrame) -> tuple[dict[bytes, int], int, int]:
@@ -586,12 +581,11 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
                 for k in range(0, len(leaf), TOKENS):
                     token, node, bit = decisions(tree, leaf[k : k + TOKENS])
                     found.add(slots_before(before[k : k + TOKENS], token, node, bits), bit)
-        found.count()
         seen = np.flatnonzero(by_class)
         for k in range(0, len(seen), TOKENS):
             some = seen[k : k + TOKENS]
             token, node, bit = decisions(tree, some % leaves)
-            found.add_times(slots_of_class(some // leaves, token, node), bit, by_class[some][token])
+            found.add(slots_of_class(some // leaves, token, node), bit, by_class[some][token])
         yield from _pieces(found.table, 0)
 
     def learn_spelling(batches):
@@ -602,7 +596,6 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
                 at, bit = _spelled(_bytes(some[k : k + 10_000])[0])
                 for slot in at:
                     found.add(slot, bit)
-        found.count()
         yield from _pieces(found.table, size)
 
     shape = "piece int, counts binary"

@@ -1,6 +1,7 @@
 """The language model bit by bit, in plain loops, against the operator; and what it is worth on texts held out."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -180,3 +181,21 @@ def test_hot_words(spark):
     model, counts = M.fit(docs.withColumn("score", F.lit("mine")))
     got = M.score(docs, model, counts).collect()
     assert len(got) == 180 and len({r["score"] for r in got if r["doc_id"] < 60}) == 1
+
+
+def test_slots_cost_what_is_added():
+    """Not what the table holds, which is far more than a batch adds."""
+    rng = np.random.default_rng(5)
+    slot, bit = rng.integers(0, 3_000_000, 5000).astype(np.int32), rng.integers(0, 2, 5000).astype(np.uint8)
+    found = M.Slots(3_000_000)
+    tracemalloc.start()
+    found.add(slot, bit)
+    found.add(slot[:100].reshape(50, 2), bit[:100].reshape(50, 2))
+    found.add(slot[:9], bit[:9], np.arange(1, 10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Counter(zip(slot.tolist(), bit.tolist())) + Counter(zip(slot[:100].tolist(), bit[:100].tolist()))
+    for k in range(9):
+        want[int(slot[k]), int(bit[k])] += k + 1
+    got = found.table.reshape(-1, 2)
+    assert peak < 1_000_000 and got.sum() == 5145 and all(got[key] == c for key, c in want.items())

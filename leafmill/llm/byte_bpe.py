@@ -1,60 +1,78 @@
 """Byte-level BPE by the tokenizers library, with a bounded memory of words already encoded.
 
-The library first cuts a text at fixed places (its word pattern) and then encodes each piece by itself. For texts of
-Latin script the pattern is applied here and every different piece goes to the library once, or once for every call after
-KEEP others; texts with any other character are handed to the library whole, so no result depends on two libraries
-agreeing about Unicode.
+The library first cuts a text at fixed places (its word pattern) and then encodes each piece by itself. Texts of Latin
+script are cut here, by the classes of their characters and many texts at once, and every different piece goes to the
+library once, or once for every call after KEEP others; texts with any other character are handed to the library whole,
+so no result depends on two libraries agreeing about Unicode.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 #: Pieces kept by a worker, of at most so many characters, at about 200 bytes each. Others are encoded again.
 KEEP, LONGEST = 500_000, 40
 
 
-def _classes() -> tuple[str, str]:
-    """Letters and numbers among the first 0x250 characters, as the inside of a character class."""
+#: Texts are cut in groups of about so many characters, which bounds a worker's memory.
+GROUP = 3 << 20
+#: Classes of characters: what is none of the others, letters, numbers, space.
+_MARK, _LETTER, _NUMBER, _SPACE = range(4)
 
-    def spans(kind: str) -> str:
-        out, start = "", None
-        for c in range(0x251):
-            inside = c < 0x250 and unicodedata.category(chr(c))[0] == kind
-            if inside and start is None:
-                start = c
-            if not inside and start is not None:
-                out, start = out + f"\\u{start:04x}-\\u{c - 1:04x}", None
-        return out
 
-    return spans("L"), spans("N")
+def _classes() -> np.ndarray:
+    """Of the first 0x250 characters."""
+    kinds = {"L": _LETTER, "N": _NUMBER}
+    of = np.array([kinds.get(unicodedata.category(chr(c))[0], _MARK) for c in range(0x250)], np.uint8)
+    of[[*range(9, 14), 32, 0x85, 0xA0]] = _SPACE
+    return of
 
 
-_L, _N = _classes()
-_S = r"\t-\r \x85\xa0"
-#: The pieces of byte-level BPE (a fixed pattern of the published format) for texts that _OTHER doesn't match. Letters and
-#: numbers come first here, which is faster and the same: what begins with a mark can't be either.
-_PIECE = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_CLASS = _classes()
+#: Of bytes; those of longer characters are marks at first.
+_OF_BYTE = _CLASS[:128].tobytes() + bytes(128)
 _OTHER = re.compile(r"[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 
 
-class _Known(dict):
-    """Encodings by piece. What isn't kept gets a place in ``new``, which is filled before it is read."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: dict[str, bytearray] = {}
-
-    def __missing__(self, piece: str) -> bytearray:
-        place = self.new.get(piece)
-        if place is None:
-            place = self.new[piece] = bytearray()
-        return place
+def starts(text: bytes, texts: np.ndarray) -> np.ndarray:
+    """Where the pieces of byte-level BPE begin (a fixed pattern of the published format) in texts that _OTHER doesn't match.
+    text: all of them in UTF-8, one after another; texts: where each begins.
+
+    A run of letters, of numbers or of marks is a piece, with the space character right before it. A run of space is a
+    piece up to its last character if anything follows in its text; that character is one too, unless it is a space
+    character. An apostrophe by itself, not after a space character, takes s, t, m, d, re, ve or ll after it along.
+    """
+    data = np.frombuffer(text, np.uint8)
+    of = np.frombuffer(bytearray(text.translate(_OF_BYTE)), np.uint8)
+    two = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))
+    of[two] = of[two + 1] = _CLASS[(data[two].astype(np.intp) & 31) << 6 | data[two + 1] & 63]
+    begins = np.ones(len(data) + 4, bool)
+    np.not_equal(of[1:], of[:-1], out=begins[1 : len(data)])
+    first = np.zeros(len(data) + 4, bool)
+    first[texts] = True
+    first[len(data) :] = True
+    # Apostrophes, before runs of space move what begins.
+    at = np.flatnonzero(data == 39)
+    at = at[(begins[at] | first[at]) & (first[at] | (data[at - 1] != 32)) & ~first[at + 1]]
+    more = np.append(data, np.zeros(4, np.uint8))
+    one, other = more[at + 1], more[at + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ~first[at + 2] & ((np.isin(one, np.frombuffer(b"rv", np.uint8)) & (other == 101)) | ((one == 108) & (other == 108)))
+    # Runs of space that something follows in the same text.
+    after = np.flatnonzero(begins[1 : len(data)] & (of[:-1] == _SPACE)) + 1
+    after = after[~first[after]]
+    last = data[after - 1]
+    begins[after[last == 32]] = False
+    begins[after - 1 - (last >= 0x80)] = True
+    begins[at[short | long] + 1] = False
+    begins[at[short] + 2] = True
+    begins[at[long] + 3] = True
+    return np.flatnonzero(begins[: len(data)] | first[: len(data)])
 
 
 class Encoder:
@@ -64,7 +82,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known = _Known()
+        self.known: dict[bytes, bytes] = {}
         ids = self.library.encode("\n", add_special_tokens=False).ids
         self.line = ids[0] if len(ids) == 1 else None
 
@@ -90,18 +108,47 @@ class Encoder:
             for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 yield p, np.array(e.ids, "<u4").tobytes()
 
+    def _cut(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of some texts that _OTHER doesn't match."""
+        data, known = b"".join(texts), self.known
+        if not data:
+            return [np.zeros(0, "<u4") for _ in texts]
+        ends = np.cumsum([len(t) for t in texts])
+        begins = starts(data, ends - [len(t) for t in texts])
+        offsets = pa.py_buffer(np.append(begins, len(data)).astype(np.int32))
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        different, at = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
+        values = list(map(known.get, different))
+        missing = [i for i, v in enumerate(values) if v is None]
+        place = {different[i].decode(): i for i in missing}
+        for piece, ids in self._encoded(list(place)):
+            values[i := place[piece]] = ids
+            if len(known) < KEEP and len(different[i]) <= LONGEST:
+                known[different[i]] = ids
+        # All ids, piece by piece.
+        n = np.fromiter(map(len, values), np.intp, len(values)) // 4
+        begin, n_at = (np.cumsum(n) - n)[at], n[at]
+        to = np.cumsum(n_at)
+        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(begin - (to - n_at), n_at) + np.arange(to[-1])]
+        return np.split(ids, np.append(0, to)[np.searchsorted(begins, ends[:-1])])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32 bits) of each text."""
-        known, get = self.known, self.known.__getitem__
-        found = [list(map(get, _PIECE.findall(t))) if t.isascii() or not _OTHER.search(t) else None for t in texts]
-        for piece, data in self._encoded(list(known.new)):
-            known.new[piece][:] = data
-            if len(known) < KEEP and len(piece) <= LONGEST:
-                known[piece] = data
-        known.new = {}
-        whole = [i for i, f in enumerate(found) if f is None]
-        direct = dict(zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True)) if whole else {}
-        return [np.array(direct[i].ids, "<u4") if f is None else np.frombuffer(b"".join(f), "<u4") for i, f in enumerate(found)]
+        out: list[np.ndarray] = [None] * len(texts)
+        whole = [i for i, t in enumerate(texts) if not t.isascii() and _OTHER.search(t)]
+        if whole:
+            for i, e in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4")
+        rest = [i for i in range(len(texts)) if out[i] is None]
+        group, size = [], 0
+        for i in rest:
+            group.append(i)
+            size += len(texts[i])
+            if size > GROUP or i == rest[-1]:
+                for j, ids in zip(group, self._cut([texts[j].encode() for j in group]), strict=True):
+                    out[j] = ids
+                group, size = [], 0
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

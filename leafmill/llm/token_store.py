@@ -104,7 +104,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
     def encode(batches):
         enc, met = byte_bpe.encoder(path), set()
-        for batch in slices(batches):
+        for batch in slices(batches, 1000):
             n, digests, ends, roots, new, payloads, new_ends = [], [], [], [], [], [], []
             for ids in enc.encode(batch.column(1).fill_null("").to_pylist()):
                 ids = np.append(ids, np.uint32(end_id))

@@ -59,6 +59,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n] if n > last else out
 
 
+def values(column: pa.Array) -> list:
+    """Those of a column without nulls, which is faster this way than one by one."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
@@ -182,13 +187,14 @@ def _chunk_facts(spark: SparkSession, store: str, width: int) -> DataFrame:
 
     def facts(batches):
         for batch in batches:
-            rows: dict[str, list] = {"digest": batch.column(0).to_pylist(), "n": [], "crc": []}
-            for d, payload in zip(rows["digest"], batch.column(1).to_pylist(), strict=True):
+            payloads = values(batch.column(1))
+            for d, payload in zip(values(batch.column(0)), payloads, strict=True):
                 if digest(payload) != d:
                     raise ValueError(f"chunk {d.hex()} doesn't have its digest")
-                rows["n"].append(len(payload) // width)
-                rows["crc"].append(zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(rows["digest"], pa.binary()), "n": pa.array(rows["n"], pa.int64()), "crc": pa.array(rows["crc"], pa.int64())})
+            wide = memoryview(np.frombuffer(b"".join(payloads), f"<u{width}").astype("<u4").view(np.uint8))
+            n = [len(payload) // width for payload in payloads]
+            crcs = [zlib.crc32(wide[4 * (end - k) : 4 * end]) for k, end in zip(n, itertools.accumulate(n), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
 
     return spark.read.parquet(f"{store}/chunks").select("digest", "payload").mapInArrow(facts, "digest binary, n long, crc long")
 
@@ -208,7 +214,7 @@ def verify(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     def check(batches):
         for batch in batches:
             flat = batch.column(4).flatten()
-            lengths, parts, digests = (pc.struct_field(flat, x).to_pylist() for x in ("n", "crc", "digest"))
+            lengths, parts, digests = (values(pc.struct_field(flat, x)) for x in ("n", "crc", "digest"))
             crcs, good, last = [], [], 0
             for n, root, many, sealed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), pc.list_value_length(batch.column(4)).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 end, crc = last + (many or 0), 0

@@ -15,7 +15,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-#: Pieces kept by a worker, of at most so many characters, at about 200 bytes each. Others are encoded again.
+#: Pieces kept by a worker, of at most so many bytes, which take about 200 each. Others are encoded again.
 KEEP, LONGEST = 500_000, 40
 
 

@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 from .common import saved
 
 HEAD, BASE_HEAD = 8192, 300_000
-#: Texts are taken in parts of about so many bytes and at most so many rows, and decisions made of so many tokens at a
-#: time, which bounds a worker's memory.
-PART, ROWS, TOKENS = 4 << 20, 2000, 1 << 17
+#: Texts are taken in parts of about so many bytes and at most so many rows, and decisions made of so many tokens (or
+#: grams or words to spell) at a time, which bounds a worker's memory and keeps what it works on in a core's cache.
+PART, ROWS, TOKENS, GRAMS = 4 << 20, 2000, 1 << 12, 1 << 11
+#: Texts whose decisions are mixed side by side.
+SIDE = 256
 #: The commonest words that serve as contexts, and the last of these, which stands for none yet.
 CLASSES = 64
 #: Nodes, the heaviest first, that are told apart with a class; nodes of which a text's own counts are kept.
@@ -127,17 +129,13 @@ def _steps_of_counts() -> np.ndarray:
 
 
 _COUNTS = _steps_of_counts()
+_SHORT = _COUNTS.astype(np.float32)
 
 
-def _decoded() -> np.ndarray:
-    """(zeros, ones) of both codes of a slot, as one number each."""
-    pair = np.zeros(1 << 16, np.complex64)
-    both = np.arange(1 << 16, dtype=np.uint16).view(np.uint8).reshape(-1, 2)
-    pair.real, pair.imag = _COUNTS[both[:, 0]], _COUNTS[both[:, 1]]
-    return pair
-
-
-_PAIRS = _decoded()
+def _seen(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The decisions counted in each slot, by its two codes, and the ones among them."""
+    ones = _SHORT.take((codes >> np.uint16(8)).astype(np.intp))
+    return _SHORT.take((codes & np.uint16(255)).astype(np.intp)) + ones, ones
 
 
 def _pieces(table: np.ndarray, at: int):
@@ -260,14 +258,14 @@ def contexts(leaf: np.ndarray, doc: np.ndarray, end: int) -> tuple[np.ndarray, n
 def decisions(tree: Tree, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every decision: its token's place, its node and its bit."""
     n = (tree.offset[1:] - tree.offset[:-1])[leaf]
-    token = np.repeat(np.arange(len(leaf), dtype=np.int32), n)
+    token = np.repeat(np.arange(len(leaf)), n)
     at = np.arange(len(token)) + np.repeat(tree.offset[leaf] - (np.cumsum(n) - n), n)
     return token, tree.nodes.take(at), tree.bits.take(at)
 
 
 def slots_of_class(last: np.ndarray, token: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Of every decision, its slot with the last of the commonest words."""
-    return (last.astype(np.int32) * NODES).take(token) + np.minimum(node, NODES - 1)
+    return (last * NODES).take(token) + np.minimum(node, NODES - 1)
 
 
 def slots_before(before: np.ndarray, token: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -275,7 +273,7 @@ def slots_before(before: np.ndarray, token: np.ndarray, node: np.ndarray, bits:
     mixed = ((before + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).take(token) ^ (node + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int32) + CLASSES * NODES
+    return (mixed >> np.uint64(64 - bits)).view(np.int64) + CLASSES * NODES
 
 
 # ---- spelling
@@ -310,6 +308,11 @@ def _spelled(grams: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return out, bits
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """How much has been seen, from 0 to 3."""
+    return (n >= 1).view(np.int8) + (n >= 8).view(np.int8) + (n >= 64).view(np.int8)
+
+
 def _odds(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, _FLOOR, 1 - _FLOOR)
     return np.log(p / (1 - p))
@@ -339,6 +342,7 @@ class Model:
     log_of: np.ndarray  #: of a word within its group, by its count; that it might have been spelled would add next to nothing
     table: np.ndarray | None = None  #: coded counts: with the class, with the word before
     spelling: np.ndarray | None = None  #: coded counts of spelling
+    by_class: np.ndarray | None = None  #: chances and log-odds with the class, which the first scoring works out
 
     @classmethod
     def plain(cls, tree: Tree, head: dict[bytes, int], total: int, distinct: int, ends: int, drawn: np.ndarray, kinds: np.ndarray, bits: int) -> Model:
@@ -373,16 +377,16 @@ class Model:
         grams, word = grams[keep], word[keep]
         different, inverse = np.unique(grams, return_inverse=True)
         score = np.empty(len(different))
-        for k in range(0, len(different), 50_000):
-            at, bits = _spelled(different[k : k + 50_000])
+        for k in range(0, len(different), GRAMS):
+            at, bits = _spelled(different[k : k + GRAMS])
             p, z = np.float32(0.5), np.float32(0)
             for j, (slot, w) in enumerate(zip(at, SPELL_WEIGHTS, strict=True)):
-                pair = _PAIRS.take(self.spelling.take(slot))
+                n, ones = _seen(self.spelling.take(slot))
                 own = SPELL_PRIOR if j else np.float32(0.8)
-                p = (pair.imag + own * p) / (pair.real + pair.imag + own)
+                p = (ones + own * p) / (n + own)
                 z = z + np.float32(w) * _odds(p)
             z = np.clip(z, -LIMIT, LIMIT)
-            score[k : k + 50_000] = -np.logaddexp(0, np.where(bits == 1, -z, z)).sum(axis=1)
+            score[k : k + GRAMS] = -np.logaddexp(0, np.where(bits == 1, -z, z)).sum(axis=1)
         return np.bincount(word, score[inverse], minlength=len(words)) / math.log(10)
 
     def mix(self, leaf: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -391,72 +395,93 @@ class Model:
             return np.zeros(0)
         n_docs = int(doc[-1]) + 1
         last, before = contexts(leaf, doc, self.tree.end)
-        # Blocks of all texts side by side, the longest texts first, so that a step has all its decisions in one piece.
+        # Texts of like length side by side, the longest first, block by block, so that a step has all its decisions in one piece.
         length = np.bincount(doc, minlength=n_docs)
         rank = np.empty(n_docs, np.int64)
         rank[np.argsort(-length, kind="stable")] = np.arange(n_docs)
-        block = (np.arange(len(leaf)) - begins(doc)) // BLOCK
-        order = np.argsort(block * n_docs + rank[doc], kind="stable")
-        row, block = rank[doc][order], block[order]
-        leaf, last, before = leaf[order], last[order], before[order]
-        state = State(n_docs)
+        row = rank[doc]
+        step = row // SIDE * (int(length.max()) // BLOCK + 1) + (np.arange(len(leaf)) - begins(doc)) // BLOCK
+        order = np.argsort(step * SIDE + row % SIDE, kind="stable")
+        row, step, leaf, last, before = row[order], step[order], leaf[order], last[order], before[order]
         log_p = np.empty(len(leaf))
+        edges = np.append(np.flatnonzero(np.diff(step, prepend=-1)), len(leaf))
+        side = row[edges[:-1]] // SIDE
+        row %= SIDE
         # Whole steps, of about TOKENS tokens together.
-        edges = np.searchsorted(block, np.arange(block[-1] + 2))
-        at = 0
-        while at < len(edges) - 1:
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + TOKENS, side="right")) - 1)
-            some = slice(edges[at], edges[to])
-            log_p[some] = self._steps(state, leaf[some], last[some], before[some], row[some], edges[at : to + 1] - edges[at])
-            at = to
+        for steps in np.split(np.arange(len(side)), np.flatnonzero(np.diff(side)) + 1):
+            at, end = int(steps[0]), int(steps[-1]) + 1
+            state = State(int(row[edges[at + 1] - 1]) + 1)
+            while at < end:
+                to = min(end, max(at + 1, int(np.searchsorted(edges, edges[at] + TOKENS, side="right")) - 1))
+                some = slice(edges[at], edges[to])
+                log_p[some] = self._steps(state, leaf[some], last[some], before[some], row[some], edges[at : to + 1] - edges[at])
+                at = to
         out = np.empty(len(leaf))
         out[order] = log_p
         return out
 
+    def with_class(self, last: np.ndarray, token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every decision, the chance of a one with the class, and its log-odds: worked out once for all but the nodes
+        that share a slot."""
+        own = min(NODES - 1, len(self.tree.chance))
+        if self.by_class is None:
+            self.by_class = np.empty((CLASSES, own), np.complex64)
+            for k, row in enumerate(self.by_class):
+                row.real, row.imag = self._with_class(k * NODES + np.arange(own), np.arange(own))
+        found = self.by_class.take((last * own).take(token) + np.minimum(node, own - 1))
+        p, x = found.real, found.imag
+        if own < len(self.tree.chance):
+            at = np.flatnonzero(node >= own)
+            p[at], x[at] = self._with_class(slots_of_class(last, token[at], node[at]), node[at])
+        return p, x
+
+    def _with_class(self, slot: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, ones = _seen(self.table.take(slot))
+        p = (ones + PRIORS[0] * self.tree.chance.take(node)) / (n + PRIORS[0])
+        return p, _odds(p)
+
     def _steps(self, state: State, leaf: np.ndarray, last: np.ndarray, before: np.ndarray, row: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token's decisions; edges: where each step's tokens begin."""
         token, node, bit = decisions(self.tree, leaf)
-        p = self.tree.chance.take(node)
         x = np.empty((3, len(token)), np.float32)
-        at = token.astype(np.intp)  # as numpy indexes, here and below: else each use would make a copy
-        gate = (row * 16).take(at)
-        for k, slot in enumerate((slots_of_class(last, token, node), slots_before(before, token, node, self.bits))):
-            pair = _PAIRS.take(self.table.take(slot))
-            n = pair.real + pair.imag
-            p = (pair.imag + PRIORS[k] * p) / (n + PRIORS[k])
-            x[k] = _odds(p)
-        gate += 4 * ((n >= 1).astype(np.int32) + (n >= 8) + (n >= 64))
-        own_at = (row * (OWN + 1)).take(at) + np.minimum(node, OWN)
-        bucket_of = (row * BUCKETS).take(at)
+        p, x[0] = self.with_class(last, token, node)
+        n, ones = _seen(self.table.take(slots_before(before, token, node, self.bits)))
+        p = (ones + PRIORS[1] * p) / (n + PRIORS[1])
+        x[1] = _odds(p)
+        at = row.take(token)
+        gate = at * 16 + 4 * _level(n)
+        own_at = at * (OWN + 1) + np.minimum(node, OWN)
+        bucket_of = at * BUCKETS
         weights, refined, counts = state.weights, state.refined, state.own
         own = counts.view(np.complex64)
         own_bit = 2 * own_at + bit
+        prior = PRIORS[2] * p
         y = bit.astype(np.float32)
         final = np.empty(len(token), np.float32)
         for f, t in itertools.pairwise(np.searchsorted(token, edges).tolist()):
             texts = int(row[token[t - 1]]) + 1
-            bits, v = y[f:t], x[:, f:t]
+            bits, (v0, v1, v2) = y[f:t], x[:, f:t]
             seen = own.take(own_at[f:t])
             n = seen.real + seen.imag
-            v[2] = _odds((seen.imag + PRIORS[2] * p[f:t]) / (n + PRIORS[2]))
-            g = gate[f:t] + (n >= 1) + (n >= 8) + (n >= 64)
-            z = np.clip(v[0] * weights[0].take(g) + v[1] * weights[1].take(g) + v[2] * weights[2].take(g), -LIMIT, LIMIT)
+            v2[:] = _odds((seen.imag + prior[f:t]) / (n + PRIORS[2]))
+            g = gate[f:t] + _level(n)
+            z = np.clip(v0 * weights[0].take(g) + v1 * weights[1].take(g) + v2 * weights[2].take(g), -LIMIT, LIMIT)
             q = 1 / (1 + np.exp(-z))
-            bucket = bucket_of[f:t] + np.clip((z + 6) * ((BUCKETS - 1) / 12) + 0.5, 0, BUCKETS - 1).astype(np.intp)
-            r = refined.take(bucket)
-            final[f:t] = np.abs(0.75 * q + 0.25 * r + bits - 1)
+            bucket = bucket_of[f:t] + np.clip((z + 6) * ((BUCKETS - 1) / 12) + 0.5, 0, BUCKETS - 1).astype(np.int32)
+            final[f:t] = np.abs(0.75 * q + 0.25 * refined.take(bucket) + bits - 1)
             # Towards less error, at most as far as the curvature of all inputs together allows.
             error = bits - q
-            steep = np.bincount(g, q * (1 - q) * (v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), minlength=16 * texts) + STILL
-            for j in range(3):
-                weights[j, : 16 * texts] += RATE * np.bincount(g, error * v[j], minlength=16 * texts) / steep
+            steep = np.bincount(g, q * (1 - q) * (v0 * v0 + v1 * v1 + v2 * v2), minlength=16 * texts) + STILL
+            for j, v in enumerate((v0, v1, v2)):
+                weights[j, : 16 * texts] += RATE * np.bincount(g, error * v, minlength=16 * texts) / steep
             size = BUCKETS * texts
             k = np.bincount(2 * bucket + bit[f:t], minlength=2 * size).reshape(-1, 2)
-            refined[:size] += (k[:, 1] - k.sum(axis=1) * refined[:size]) / (k.sum(axis=1) + STILL)
+            n = k[:, 0] + k[:, 1]
+            refined[:size] += (k[:, 1] - n * refined[:size]) / (n + STILL)
             size = texts * (OWN + 1)
             np.add.at(counts, own_bit[f:t], np.float32(1))
             own[OWN : size : OWN + 1] = 0
-        return np.bincount(at, np.log10(np.maximum(final, _FLOOR)), minlength=len(leaf))
+        return np.bincount(token, np.log(np.maximum(final, _FLOOR)), minlength=len(leaf)) / math.log(10)
 
     def score(self, texts: pa.Array) -> dict[str, pa.Array]:
         batch = self.numbered(texts)
@@ -592,8 +617,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         found = Slots(_SPELL_AT[-1])
         for batch in batches:
             some = [w for w in batch.column(0).to_pylist() if w != b" "]
-            for k in range(0, len(some), 10_000):
-                at, bit = _spelled(_bytes(some[k : k + 10_000])[0])
+            for k in range(0, len(some), GRAMS):
+                at, bit = _spelled(_bytes(some[k : k + GRAMS])[0])
                 for slot in at:
                     found.add(slot, bit)
         yield from _pieces(found.table, size)

@@ -4,6 +4,7 @@ import math
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -199,3 +200,25 @@ def test_slots_cost_what_is_added():
         want[int(slot[k]), int(bit[k])] += k + 1
     got = found.table.reshape(-1, 2)
     assert peak < 1_000_000 and got.sum() == 5145 and all(got[key] == c for key, c in want.items())
+
+
+def test_what_is_held_at_once(fitted, monkeypatch):
+    """A window of decisions stays in a core's cache, however many texts a part has; how texts are grouped changes nothing."""
+    docs, model, *_ = fitted
+    texts = pa.array([r["text"] for r in docs.orderBy("doc_id").limit(600).collect()])
+    held, decisions = [], M.decisions
+    monkeypatch.setattr(M, "decisions", lambda tree, leaf: held.append(len(leaf)) or decisions(tree, leaf))
+    score = model.score(texts)["score"].to_numpy()
+    assert sum(held) > 100_000 and max(held) <= 4096
+    monkeypatch.setattr(M, "SIDE", 7)
+    assert np.allclose(model.score(texts)["score"].to_numpy(), score, rtol=1e-9)
+
+
+def test_nodes_that_share_a_slot(fitted, monkeypatch):
+    """All nodes from the last slot on share it, each with its own chance."""
+    docs, model, _, all_counts = fitted
+    monkeypatch.setattr(M, "NODES", 64)
+    model = replace(model, by_class=None)
+    texts = [r["text"] for r in docs.filter(~M.held_out() & (F.col("n_chars") < 1500)).orderBy("doc_id").limit(5).collect()]
+    for text, got in zip(texts, model.score(pa.array(texts))["score"].to_pylist(), strict=True):
+        assert math.isclose(got, _slow(model, all_counts, text), rel_tol=2e-4)
